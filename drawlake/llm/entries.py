@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from drawlake.llm import mixing, pii
+from drawlake.llm import licenses, mixing, pii, rollups
 
 
 def queries() -> dict:
-    return {"op2_pii": pii.op2_pii, "op10_mix_sources": mixing.op10_mix_sources}
+    return {"op2_pii": pii.op2_pii, "op7_license_scan": licenses.op7_license_scan, "op8_token_rollups": rollups.op8_token_rollups, "op10_mix_sources": mixing.op10_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.SQL}
+    return {"op7_license_scan": licenses.SQL, "op10_mix_sources": mixing.SQL}
