@@ -49,3 +49,10 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def whole_text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of whole texts hold fewer rows than the default of 10,000, so that long texts stay a few MB a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)

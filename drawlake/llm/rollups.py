@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import materialize, shared_dir, table, whole, word_count
+from drawlake.llm.common import materialize, shared_dir, table, whole, whole_text_batches, word_count
 
 KEYS = ("source", "lang", "tokenizer")
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -106,6 +106,7 @@ def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     Batches: ``load`` inserts word counts, ``retokenize`` revises every count to the new version and keeps the old
     version's total beside it, ``dedup`` deletes repeats from both. ``load`` is sent twice and counts once.
     """
+    whole_text_batches(spark)
     docs = table(spark, sf_dir, "documents")
     counts = docs.select("doc_id", "source", "lang", F.sha2(whole(F.col("text")), 256).alias("text_key"), word_count(F.col("text")).alias("words"), token_count(spark, F.col("text")).alias("bpe"))
     counts = materialize(counts, "token-counts")

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton reports, at each position, every piece that ends there (its output links); each relaxes the best
-score of that position. No piece holds a blank mark after another character, so the best path of a text is that of
-its chunks (blanks and the word after them), and the path of a chunk is kept and used again. Characters without a
+score of that position. Where no piece spans two neighbouring characters (a letter and the blank or the comma after
+it) the best path of a text is that of its chunks, and the path of a chunk is kept and used again. Characters without a
 piece become their UTF-8 bytes. Decoding an encoding gives the text back exactly.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import table
+from drawlake.llm.common import table, whole_text_batches
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Chunks whose path a worker keeps, and their length at most; beyond it the store is emptied.
-KEPT_CHUNKS, KEPT_LENGTH = 300_000, 48
+#: Chunks whose path a worker keeps in each of two generations, and their length at most.
+KEPT_CHUNKS, KEPT_LENGTH = 100_000, 48
 #: What an unknown character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -66,7 +67,16 @@ class PieceCodec:
             raise ValueError("a piece holds a blank mark after another character")
         # A line feed that no piece holds is a chunk of its own.
         feed = "" if any("\n" in p for p in plain) else r"\n"
-        self.chunk = re.compile(rf" *[^ {feed}]+|\n| +")
+        # Marks that pieces hold only after blanks and such marks: the text may be cut before a run of them.
+        before: dict[str, set[str]] = {}
+        for p in plain:
+            for a, b in zip(p, p[1:]):
+                before.setdefault(b, set()).add(a)
+        marks = {c for c in string.punctuation}
+        while odd := {c for c in marks if before.get(c, set()) - marks - {BLANK}}:
+            marks -= odd
+        m = re.escape("".join(sorted(marks)))
+        self.chunk = re.compile(rf" *[{m}]*[^ {feed}{m}]+| *[{m}]+|\n| +" if m else rf" *[^ {feed}]+|\n| +")
         self.surface = [p.replace(BLANK, " ") if k == 0 else "" for p, _, k in pieces]
         self.value = np.full(len(pieces), -1, dtype=np.int16)
         for b, i in enumerate(self.bytes):
@@ -74,6 +84,7 @@ class PieceCodec:
             if b < 128:
                 self.surface[i] = chr(b)
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def viterbi(self, marked: str) -> list[int]:
         """Best path over a string whose blanks are marks already; ties go to the longer piece."""
@@ -124,10 +135,10 @@ class PieceCodec:
         for chunk in self.chunk.findall(" " + text):
             path = kept.get(chunk)
             if path is None:
-                path = self._path(chunk)
+                path = self.older.get(chunk) or self._path(chunk)
                 if len(chunk) <= KEPT_LENGTH:
                     if len(kept) >= KEPT_CHUNKS:
-                        kept.clear()
+                        self.older, self.kept = kept, (kept := {})
                     kept[chunk] = path
             out += path
         return out
@@ -171,6 +182,7 @@ def _codec(holder) -> PieceCodec:
 
 def encode(spark: SparkSession, text: Column, path: str = MODEL_FILE) -> Column:
     """Ids of each whole text (array of int)."""
+    whole_text_batches(spark)
     holder = _shared(spark, path)
 
     def f(texts: pd.Series) -> pd.Series:
@@ -181,6 +193,7 @@ def encode(spark: SparkSession, text: Column, path: str = MODEL_FILE) -> Column:
 
 def decode(spark: SparkSession, ids: Column, path: str = MODEL_FILE) -> Column:
     """Texts of arrays of ids; null stays null."""
+    whole_text_batches(spark)
     holder = _shared(spark, path)
 
     def f(arrays: pd.Series) -> pd.Series:
@@ -195,6 +208,7 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     ``decoded_ok`` says that decoding the ids gave the text back. A null text has null ids, 0 pieces, and is in order.
     """
     spark = docs.sparkSession
+    whole_text_batches(spark)
     holder = _shared(spark, path)
 
     def f(texts: pd.Series) -> pd.DataFrame:
