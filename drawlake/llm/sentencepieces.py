@@ -67,16 +67,12 @@ class PieceCodec:
             raise ValueError("a piece holds a blank mark after another character")
         # A line feed that no piece holds is a chunk of its own.
         feed = "" if any("\n" in p for p in plain) else r"\n"
-        # Marks that pieces hold only after blanks and such marks: the text may be cut before a run of them.
-        before: dict[str, set[str]] = {}
-        for p in plain:
-            for a, b in zip(p, p[1:]):
-                before.setdefault(b, set()).add(a)
-        marks = {c for c in string.punctuation}
-        while odd := {c for c in marks if before.get(c, set()) - marks - {BLANK}}:
-            marks -= odd
-        m = re.escape("".join(sorted(marks)))
-        self.chunk = re.compile(rf" *[{m}]*[^ {feed}{m}]+| *[{m}]+|\n| +" if m else rf" *[^ {feed}]+|\n| +")
+        # ASCII marks that no piece holds after an ASCII letter: a word of such letters may be cut before them.
+        letters = set(string.ascii_letters)
+        held = {b for p in plain for a, b in zip(p, p[1:]) if a in letters}
+        marks = re.escape("".join(c for c in string.punctuation if c not in held))
+        self.chunk = re.compile((rf" *[A-Za-z]++(?=[{marks}])|" if marks else "") + rf" *[^ {feed}]+|\n| +")
+        self.single = {p for p in plain if len(p) == 1}
         self.surface = [p.replace(BLANK, " ") if k == 0 else "" for p, _, k in pieces]
         self.value = np.full(len(pieces), -1, dtype=np.int16)
         for b, i in enumerate(self.bytes):
@@ -87,33 +83,33 @@ class PieceCodec:
         self.older: dict[str, tuple[int, ...]] = {}
 
     def viterbi(self, marked: str) -> list[int]:
-        """Best path over a string whose blanks are marks already; ties go to the longer piece."""
+        """Best path over a string whose blanks are marks already; of equal ones, that with the longer last piece."""
         n = len(marked)
-        best, back = [0.0] + [-math.inf] * n, [(-1, 0)] * (n + 1)
-        reached = 0  # positions up to here have their final score
-        for end, (i, length, score) in self.automaton.iter(marked):
+        best, back = [0.0] + [-math.inf] * n, [(-1, 1, 0.0)] * (n + 1)
+        # A character that is a piece costs less so than as an unknown one: unknowns are tried only where it is none.
+        odd = () if self.single.issuperset(marked) else [k for k, c in enumerate(marked, 1) if c not in self.single]
+        waiting = iter(odd)
+        gap = next(waiting, n + 1)
+        for end, hit in self.automaton.iter(marked):  # by end, the longest first
             end += 1
-            while reached < end - 1:
-                reached += 1
-                self._unknown(best, back, reached)
-            s = best[end - length] + score
-            if s > best[end] or (s == best[end] and length > back[end][1]):
-                best[end], back[end] = s, (i, length)
-        while reached < n:
-            reached += 1
-            self._unknown(best, back, reached)
+            while gap < end:
+                if best[gap - 1] + self.unknown > best[gap]:
+                    best[gap], back[gap] = best[gap - 1] + self.unknown, (-1, 1, 0.0)
+                gap = next(waiting, n + 1)
+            s = best[end - hit[1]] + hit[2]
+            if s > best[end]:
+                best[end], back[end] = s, hit
+        while gap <= n:
+            if best[gap - 1] + self.unknown > best[gap]:
+                best[gap], back[gap] = best[gap - 1] + self.unknown, (-1, 1, 0.0)
+            gap = next(waiting, n + 1)
         out, at = [], n
         while at:
-            i, length = back[at]
+            i, length, _ = back[at]
             out += [i] if i >= 0 else [self.bytes[b] for b in reversed(marked[at - 1].encode())]
             at -= length
         return out[::-1]
 
-    def _unknown(self, best: list[float], back: list[tuple[int, int]], end: int) -> None:
-        s = best[end - 1] + self.unknown
-        if s > best[end]:
-            best[end], back[end] = s, (-1, 1)
-
     def _path(self, chunk: str) -> tuple[int, ...]:
         blanks = len(chunk) - len(chunk.lstrip(" "))
         marked = BLANK * blanks + chunk[blanks:]
