@@ -208,11 +208,11 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
         shared = np.bincount(owner_by[at], minlength=len(sets))
         hit = 100 * shared >= percent * (size + size[a] - shared)
         hit &= (sides != sides[a]) | (sides == 0)
-        for b in np.unique(root[hit]).tolist():
-            if b != root[a]:
-                b_at = int(np.flatnonzero(hit & (root == b))[0])
-                out.append((a, b_at))
-                low, high = sorted((int(root[a]), b))
+        others = np.flatnonzero(hit)
+        for b in others[np.unique(root[others], return_index=True)[1]].tolist():
+            if root[b] != root[a]:
+                out.append((a, b))
+                low, high = sorted((int(root[a]), int(root[b])))
                 root[root == high] = low
     return out
 
