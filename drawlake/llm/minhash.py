@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import materialize, table, whole, whole_text_batches
+from drawlake.llm.common import WORD, materialize, table, whole, whole_text_batches
 from drawlake.llm.graph import components
 
 #: Words of a shingle and percent of similarity, where no contract says otherwise.
@@ -218,7 +218,9 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id`` for each document; text_key is the MD5 of its text.
+    """``doc_id, text_key, n_shingles, component_id, group`` for each document; text_key is the MD5 of its text.
+
+    group names the component by a hash, null where there are no shingles.
 
     Documents with the same set, or linked directly or through others, share the smallest doc_id among them. Null and
     empty texts have no shingles, link with nothing and keep their own id. Rows with a null id link like others and
@@ -264,10 +266,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grouped = components(links)
 
     name = nodes.join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    named = name.join(name.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    named = name.join(name.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", F.col("root").alias("group"), "component_id")
     out = sig.join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "group")
 
 
 def kept() -> Column:
@@ -275,6 +277,21 @@ def kept() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
+    """The documents, their columns as they are, with one of each group: that of the smallest doc_id, null ids last, then of the smallest text hash.
+
+    Texts without words are in no group and all stay.
+    """
+    found = near_duplicates(docs, text, doc_id, **params)
+    best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("w"))
+    name = lambda i, k: F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), F.hex(k)))
+    best = best.select(name(F.col("w.doc_id"), F.col("w.text_key")).alias("name"))
+    t = whole(F.col(text))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.rlike(WORD).alias("worded"), name(F.col(doc_id), F.unhex(F.md5(t))).alias("name"))
+    one = d.where("worded").join(best, "name", "left_semi").dropDuplicates(["name"])
+    return one.select("row").unionByName(d.where("NOT worded").select("row")).select("row.*")
+
+
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", kept().alias("kept"))

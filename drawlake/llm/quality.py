@@ -167,6 +167,15 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return with_counts(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """The documents that the list keeps, their columns as they are.
+
+    The choice is made by a generator: a filter would be pushed below the counts and spell each of them out again.
+    """
+    chosen = judge(docs, labels, **params).select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return chosen.where(F.col("row").isNotNull()).select("row.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
