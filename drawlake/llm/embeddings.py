@@ -127,8 +127,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = good.groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     named = known.join(counted, "node", "left").join(grouped, "node", "left")
-    named = named.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"), "least")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "n_links", "component_id")
+    named = materialize(named.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"), "least"), "vector-nodes")
+    # Written, so that the join shuffles both sides for itself and a large component's rows can be split.
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "vector-names")
+    named = named.join(least, "root").select("node", "n_links", "component_id")
     own = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return v.select("vec_id", "node").join(named, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
 
