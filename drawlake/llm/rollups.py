@@ -110,7 +110,9 @@ def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = docs.select("doc_id", "source", "lang", F.sha2(whole(F.col("text")), 256).alias("text_key"), word_count(F.col("text")).alias("words"), token_count(spark, F.col("text")).alias("bpe"))
     counts = materialize(counts, "token-counts")
-    first = counts.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
+    # Texts that occur once need no join; written, so that the join can split the rows of a frequent text.
+    first = counts.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select("text_key", "first_id"), "first-of-text")
     repeats = counts.join(first, "text_key").where("doc_id > first_id")
     roll = TokenRollup(spark, f"{shared_dir(spark)}/drawlake/rollup-{uuid.uuid4().hex}")
     roll.commit("load", deltas(inserts=versions(counts, {"words-1": "words"})))
