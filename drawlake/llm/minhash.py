@@ -236,13 +236,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     nodes = sig.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
     keyed = sig.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     groups = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
+    groups = materialize(groups, "bands")  # so that the join can split a band that very many share
     ties = keyed.join(groups, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     tied = components(ties)
 
     # Components in blocks: small ones share a bin, large ones are cut into parts of which every two meet.
     weight = tied.join(nodes, "node").select("node", F.col("root").alias("comp"), "rep", "n")
     weight = materialize(weight, "tied")
-    total = weight.groupBy("comp").agg(F.sum("n").alias("mass"))
+    total = materialize(weight.groupBy("comp").agg(F.sum("n").alias("mass")), "mass")
     parts = F.ceil(F.col("mass") / (BLOCK // 2)).cast("int")
     bins = max(1, int((weight.agg(F.sum("n")).first()[0] or 0) / BLOCK * 2))
     w = weight.join(total, "comp").withColumn("parts", F.when(F.col("mass") <= BLOCK, F.lit(1)).otherwise(parts))
@@ -266,7 +267,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grouped = components(links)
 
     name = nodes.join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    named = name.join(name.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", F.col("root").alias("group"), "component_id")
+    name = materialize(name, "nodes")
+    least = materialize(name.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named = name.join(least, "root").select("node", F.col("root").alias("group"), "component_id")
     out = sig.join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "group")
