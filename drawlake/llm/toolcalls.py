@@ -97,6 +97,7 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         .groupBy("conv_id", "call_id")
         .agg(F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("result_turn"), F.max(F.col("kind") == "call").alias("has_call"), F.max(F.col("kind") == "result").alias("has_result"))
     )
+    peers = materialize(peers, "peers")  # so that the join can split the turns of a frequent id
     edges = t.where("kind = 'call' AND call_id IS NOT NULL").select("conv_id", "call_id", "turn", F.explode("parents").alias("parent"))
     known = peers.where("has_call").select("conv_id", F.col("call_id").alias("parent"), F.col("call_turn").alias("parent_turn"))
     edges = edges.join(known, ["conv_id", "parent"])
