@@ -101,8 +101,12 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def learn(labelled: DataFrame) -> list[list[Condition]]:
     """Rules in order, each a conjunction that marks a document as bad; none without examples of both kinds."""
     over = {n: F.col(n) for n in STATISTICS}
-    grid = labelled.agg(*[F.percentile_approx(n, [k / BINS for k in range(1, BINS)], 10_000).alias(n) for n in STATISTICS]).first()
-    cuts = {n: sorted(set(grid[n] or [])) for n in STATISTICS}
+    # Thresholds lie half way between neighbours among the quantiles of both kinds, so that they keep clear of either.
+    grid = labelled.groupBy("bad").agg(*[F.percentile_approx(n, [k / BINS for k in range(BINS + 1)], 10_000).alias(n) for n in STATISTICS]).collect()
+    cuts = {}
+    for n in STATISTICS:
+        values = sorted({v for row in grid for v in row[n] or []})
+        cuts[n] = [(a + b) / 2 for a, b in zip(values, values[1:])]
     number = {n: sum((F.when(F.col(n) > t, 1).otherwise(0) for t in cuts[n]), F.lit(0)) for n in STATISTICS if cuts[n]}
     bins = F.array(*[F.struct(F.lit(n).alias("s"), b.alias("b")) for n, b in number.items()])
     left = ~F.col("base_failed")  # those are rejected before any rule is asked
@@ -131,7 +135,10 @@ def learn(labelled: DataFrame) -> list[list[Condition]]:
 
 
 def _best_condition(rows, cuts: dict[str, list[float]]) -> Condition | None:
-    """The threshold with the greatest gain in information about bad documents, from counts per statistic and bin."""
+    """The threshold with the greatest gain in information about bad documents, from counts per statistic and bin.
+
+    Of equal ones the one farthest from its neighbours counts.
+    """
     bins: dict[str, dict[int, tuple[int, int]]] = {}
     for r in rows:
         bins.setdefault(r["s"], {})[r["b"]] = (r["p"], r["n"])
@@ -142,14 +149,16 @@ def _best_condition(rows, cuts: dict[str, list[float]]) -> Condition | None:
         return None
     best = None
     for s in STATISTICS:
-        for k, t in enumerate(cuts.get(s, ())):
+        own = cuts.get(s, ())
+        for k, t in enumerate(own):
+            room = min([abs(t - o) for o in own[max(0, k - 1) : k] + own[k + 1 : k + 2]], default=0.0) / (abs(own[-1]) or 1.0)
             low = [sum(v[i] for b, v in bins[s].items() if b <= k) for i in (0, 1)]
             for above, (p, n) in ((False, low), (True, (p0 - low[0], n0 - low[1]))):
                 if p and p + n < p0 + n0:
                     gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
-                    if gain > 1e-9 and (best is None or gain > best[0]):
-                        best = gain, Condition(s, above, t)
-    return best and best[1]
+                    if gain > 1e-9 and (best is None or (round(gain, 9), room) > best[:2]):
+                        best = round(gain, 9), room, Condition(s, above, t)
+    return best and best[2]
 
 
 def verdict(rules: list[list[Condition]]) -> Column:
