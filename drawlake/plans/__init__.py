@@ -1,6 +1,6 @@
 """The registered queries; importing a module here registers what it holds."""
 
-from drawlake.plans import ordering, reporting  # noqa: F401
+from drawlake.plans import ordering, reporting, text  # noqa: F401
 from drawlake.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
