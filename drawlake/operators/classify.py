@@ -108,8 +108,8 @@ def manifest(pages: DataFrame, outline: DataFrame, index: DataFrame) -> DataFram
     ``file_id, seq, sheet_number, title``.
     """
     marks = first_of(outline.where("page IS NOT NULL"), ["file_id", "page"], ["seq"]).select("file_id", "page", F.col("title").alias("mark"))
-    listed = first_of(index.withColumn("_n", squeezed_id(F.col("sheet_number"), ".")), ["file_id", "_n"], ["seq"]).select("file_id", "_n", F.col("title").alias("listed"))
-    d = pages.withColumn("_n", squeezed_id(F.col("sheet_number"), ".")).join(marks, ["file_id", "page"], "left").join(listed, ["file_id", "_n"], "left")
+    listed = first_of(index.withColumn("_sheet", squeezed_id(F.col("sheet_number"), ".")), ["file_id", "_sheet"], ["seq"]).select("file_id", "_sheet", F.col("title").alias("listed"))
+    d = pages.withColumn("_sheet", squeezed_id(F.col("sheet_number"), ".")).join(marks, ["file_id", "page"], "left").join(listed, ["file_id", "_sheet"], "left")
     source = F.when(F.col("mark").isNotNull(), "bookmark").when(F.col("listed").isNotNull(), "index_page").when(F.col("title").isNotNull(), "title_block").otherwise("none")
     d = d.withColumn("source", source).withColumn("title", F.coalesce("mark", "listed", "title"))
     return d.select("file_id", "page", "sheet_number", "title", "source", title_bucket(F.col("title"), F.col("sheet_number")).alias("bucket"), level(F.col("title")).alias("level"))

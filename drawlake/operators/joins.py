@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,21 +58,21 @@ def k_nearest(pairs: DataFrame, key: list[str], distance: str, tie: str, k: int
 def greedy_pairs(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
     """One-to-one pairs within each group: left rows in order take their best free right row, the first of equals.
 
-    What a left row may take depends on all before it, so a group (a job) is worked on in one task.
+    What a left row may take depends on all before it: a fold over each group's pairs, sorted by left row and score. A
+    group is a job; its candidates are those that an equi-join leaves.
     """
-    names = [*group, left, right, score]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*names).schema)
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    item = F.struct(F.col(left).alias("l"), (-F.col(score)).alias("s"), F.col(right).alias("r"))
+    items = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_i"))
+    empty = f"cast(array() AS array<struct<l:{types[left]},s:{types[score]},r:{types[right]}>>)"
+    start = F.struct(F.lit(None).cast(types[left]).alias("last"), F.expr(empty).alias("out"))
 
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for _, own in p.sort_values([left, score, right], ascending=[True, False, True]).groupby(left, sort=True):
-            free = own[~own[right].isin(taken)]
-            if len(free):
-                taken.add(free[right].iloc[0])
-                out.append(free.iloc[:1])
-        return pd.concat(out)[names] if out else p.iloc[:0][names]
+    def step(a: Column, x: Column) -> Column:
+        free = ~a["last"].eqNullSafe(x["l"]) & ~F.exists(a["out"], lambda o: o["r"] == x["r"])
+        return F.struct(F.when(free, x["l"]).otherwise(a["last"]).alias("last"), F.when(free, F.array_append(a["out"], x)).otherwise(a["out"]).alias("out"))
 
-    return pairs.select(*names).groupBy(*group).applyInPandas(pick, schema)
+    d = items.select(*group, F.explode(F.aggregate("_i", start, step)["out"]).alias("o"))
+    return d.select(*group, F.col("o.l").alias(left), F.col("o.r").alias(right), (-F.col("o.s")).alias(score))
 
 
 def or_join_first(left: DataFrame, right: DataFrame, conditions: list[tuple[list[Column], list[Column]]], left_id: str, right_id: str, right_columns: list[str]) -> DataFrame:
@@ -90,5 +87,3 @@ def or_join_first(left: DataFrame, right: DataFrame, conditions: list[tuple[list
     best = found.groupBy(left_id).agg(F.min_by(F.struct(right_id, *right_columns), right_id).alias("_")).select(left_id, "_.*")
     return left.join(best, left_id, "left")
 
-
-Scorer = Callable[[Column, Column], Column]

@@ -16,7 +16,7 @@ from drawlake.functions.text import chunk_id, trimmed
 
 def knowledge_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, content`` of the .md and .txt files of a folder and those below it, without README.md."""
-    d = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").option("pathGlobFilter", "*.{md,txt}").text(folder)
+    d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt}").text(folder, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).where(~F.col("path").rlike("(?i)/README\\.md$"))
 
 

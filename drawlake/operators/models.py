@@ -62,7 +62,7 @@ def registry(spark: SparkSession) -> DataFrame:
 
 def call_model(rows: DataFrame, kind: str, client: ModelClient, prompt: str = "prompt", retries: int = 4) -> DataFrame:
     """``rows`` with ``response, error, duration_ms``: one call a row, failures in ``error`` and never the task's."""
-    schema = rows.select("*", F.lit("").alias("response"), F.lit("").alias("error"), F.lit(0).cast("long").alias("duration_ms")).schema
+    schema = rows.select("*", F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("long").alias("duration_ms")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,7 +98,7 @@ def complete_objects(text: str) -> list | None:
         if c == '"':
             break  # a string that never ends
         if c == "[":
-            depth += depth == 0
+            depth += 1
         elif c == "{":
             if depth == 1:
                 begin = m.start()

@@ -87,7 +87,7 @@ def overlay(spark: SparkSession, path: str) -> dict[str, str]:
     """A JSON object of names to labels; a vocabulary, so it is read whole."""
     import json
 
-    rows = spark.read.option("wholetext", "true").text(path).limit(1).collect()
+    rows = spark.read.text(path, wholetext=True).limit(1).collect()
     return {str(k): str(v) for k, v in json.loads(rows[0][0]).items()} if rows else {}
 
 
