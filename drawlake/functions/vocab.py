@@ -102,3 +102,33 @@ KNOWLEDGE_FIELDS = ("jurisdiction", "doc_type", "section", "effective_date", "st
 KNOWLEDGE_STATUS = ("active", "superseded", "draft")
 KNOWLEDGE_TYPES = ("federal_codes", "state_codes", "city_codes", "sign_glossary", "plan_guides", "customer_standards")
 SENTENCE_ENDS = (". ", ".\n", "! ", "!\n", "? ", "?\n", "\n\n")
+
+# Sign schedules.
+SIGN_TYPE_CODE = r"^\d{1,2}[A-Za-z]{0,2}$"
+SCHEDULE_ROOM_NUMBER = r"^(?:[A-Za-z]{0,2}-?\d{2,4}[A-Za-z]?|[A-Za-z]\d{2,3}[A-Za-z]?|\d{1,4}[A-Za-z]{1,2}|\d{1,4})$"
+QUANTITY = r"^\d{1,3}$"
+DIMENSION = "[\\d/][\\d\\s/]*[\"'′″]"
+KEYNOTE_CODE = "^[A-Z]$"
+DIAGRAM_LABEL = r"(?i)^SIGN\s+TYPE\s+(\d{1,2}[A-Za-z]{1,2})$"
+HEADING_PREFIXES = ("UNIT", "SUITE", "ROOM", "APT", "STE", "RM")
+HEADING_ROOM_WORDS = (
+    "COLLAB", "COLLABORATION", "CONFERENCE", "CONF", "WOMEN", "WOMENS", "MEN", "MENS", "RESTROOM", "RESTROOMS", "BREAKOUT", "BREAKROOM", "LOUNGE", "LOBBY", "CORRIDOR", "HALLWAY", "RECEPTION", "OFFICE",
+    "SANCTUARY", "CHAPEL", "FELLOWSHIP", "COMMONS", "VESTIBULE", "NARTHEX", "STORAGE", "UTILITY", "JANITOR", "MECHANICAL", "ELECTRICAL", "SERVER", "KITCHEN", "CAFE", "GYMNASIUM", "GYM", "CLASSROOM",
+    "LIBRARY", "AUDITORIUM", "STAGE",
+)
+
+# Labels on plans.
+ROOM_NUMBER = r"^(?:[A-Za-z]{1,3}[-_]?\d{2,4}[A-Za-z]?|\d{2,4}[A-Za-z]?)$"
+NOT_A_LABEL = r"""\d+'|\d+"|\d+\s*[-x]\s*\d|1\s*/\s*\d{1,3}\s*=|^\d+[\s.]*$"""
+DOOR_WORDS = ("door", "doors", "entry", "entries", "egress", "exit", "exits")
+OCCUPANT_SIGNALS = ("OCCUPANT LOAD", "OCCUPANCY LOAD", "OCC LOAD", "OCCUPANCY GROUP", "TABLE OF OCCUPANCY")
+OCCUPANT_ROW = r"(?i)([A-Za-z]{0,3}[-_]?\d{2,4}[A-Za-z]?)\s+.*?(\d{1,4})\s*(?:OCC|OCCUPANT|LOAD)?(?:\s+([A-E][-\s]?\d?))?"
+
+# Intake of a drawing set.
+INDEX_PAGES = ("drawing index", "sheet index", "sheet list", "index of drawings", "list of drawings", "drawing list")
+PROJECT_NAME = (r"(?i)project\s+name\s*[:\-]\s*([^\n\r]{3,80})", r"(?i)project\s*[:\-]\s*([^\n\r]{3,80})", r"(?i)building\s+name\s*[:\-]\s*([^\n\r]{3,80})")
+JURISDICTION = (r"(?i)(?:authority\s+having\s+jurisdiction|ahj)\s*[:\-]\s*([^\n\r]{3,80})", r"(?i)jurisdiction\s*[:\-]\s*([^\n\r]{3,80})")
+ISSUE_DATE = (
+    r"(?i)issue\s*date\s*[:\-]?\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})", r"(?i)issued\s*[:\-]\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})", r"(?i)date\s+issued\s*[:\-]?\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})",
+    r"(?i)issue\s*date\s*[:\-]?\s*([A-Za-z]+\.?\s+\d{1,2},?\s+\d{4})", r"(?i)issued\s*[:\-]\s*([A-Za-z]+\.?\s+\d{1,2},?\s+\d{4})",
+)
