@@ -132,3 +132,26 @@ ISSUE_DATE = (
     r"(?i)issue\s*date\s*[:\-]?\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})", r"(?i)issued\s*[:\-]\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})", r"(?i)date\s+issued\s*[:\-]?\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})",
     r"(?i)issue\s*date\s*[:\-]?\s*([A-Za-z]+\.?\s+\d{1,2},?\s+\d{4})", r"(?i)issued\s*[:\-]\s*([A-Za-z]+\.?\s+\d{1,2},?\s+\d{4})",
 )
+
+# Outline sections of other disciplines.
+OTHER_DISCIPLINES = (
+    "civil", "electrical", "mechanical", "structural", "plumbing", "fire protection", "technology", "telecom", "telecommunications", "low voltage", "data/communications", "data / communications",
+    "it drawings", "it plans", "hvac", "lighting", "power", "sprinkler",
+)
+HARD_DISCIPLINES = ("framing plan", "reflected ceiling plan", "demolition plan", "roof framing", "structural plan")
+
+# Building types by words of the project's name; the first type with a word counts.
+BUILDING_TYPES = (
+    ("school", ("school", "elementary", "middle school", "high school", "college", "university", "academy", "institute", "campus", "learning center", "stem center", "educational")),
+    ("hotel", ("hotel", "inn", "suites", "resort", "motel", "lodge", "hospitality", "marriott", "hilton", "hyatt", "sheraton", "westin")),
+    ("apartment", ("apartment", "apartments", "flats", "residences", "residential", "multifamily", "multi-family", "condominiums", "condos", "lofts", "townhomes", "housing")),
+    ("office", ("tower", "plaza", "center", "office", "headquarters", "hq", "corporate", "commercial", "business park", "tech park")),
+    ("church", ("church", "chapel", "worship", "cathedral", "mosque", "synagogue", "temple", "parish", "congregation", "ministry", "faith", "baptist", "methodist", "lutheran", "presbyterian", "catholic")),
+    ("lab", ("laboratory", "labs", "research", "sciences", "biotech", "pharmaceutical", "clinical", "medical research")),
+    ("library", ("library", "libraries", "archives", "reading")),
+    ("sports", ("arena", "stadium", "gymnasium", "athletic", "recreation center", "sports", "aquatic", "natatorium", "field house", "fitness center")),
+)
+
+# Steps of the processing log.
+FAILURE_STEPS = ("sheet_manifest", "phase-2-classification", "text_extraction", "sign_schedule_extract")
+FILE_STEP = r"^(.+?)_([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
