@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.SQL, "op3_hnsw": embeddings.SQL, "op5_tool_links": toolcalls.SQL, "op6_superminhash": minhash.SQL, "op7_license_scan": licenses.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op1_secrets": secrets.SQL, "op2_pii": pii.SQL, "op3_hnsw": embeddings.SQL, "op5_tool_links": toolcalls.SQL, "op6_superminhash": minhash.SQL, "op7_license_scan": licenses.SQL, "op10_mix_sources": mixing.SQL}

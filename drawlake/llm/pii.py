@@ -139,3 +139,38 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole_text_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", pandas_udf(_digests, DIGEST)(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+def _sql() -> str:
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len([p FOR p IN string_split(x, '.') IF length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255]) = 0"),
+        "card": (r"[0-9](?:[ -]?[0-9])+", "length(dg) BETWEEN 16 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN substr(rv, i, 1)::INT ELSE (substr(rv, i, 1)::INT * 2 - CASE WHEN substr(rv, i, 1)::INT > 4 THEN 9 ELSE 0 END) END FOR i IN generate_series(1, length(rv))]) % 10 = 0"),
+        "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "length(dg) BETWEEN 8 AND 15"),
+        "iban": (
+            r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+            "list_reduce([c::INT FOR c IN string_split(array_to_string([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END FOR c IN string_split(substr(replace(x, ' ', ''), 5) || substr(replace(x, ' ', ''), 1, 4), '')], ''), '')], lambda a, b: (a * 10 + b) % 97) = 1",
+        ),
+    }
+    sure = {"email": 1, "ip": 0, "card": 1, "phone": 0, "iban": 1}
+    parts = []
+    for k, (kind, (rx, test)) in enumerate(kinds.items()):
+        near = " OR ".join(f"contains(nr, '{w}')" for w in CONTEXT[kind])
+        parts.append(
+            f"""SELECT rid, {k} AS k, '{kind}' AS kind, a, a + length(x) AS b, round(0.4 + 0.4 * {sure[kind]} + CASE WHEN {near} THEN 0.2 ELSE 0 END, 2) AS score FROM
+      (SELECT rid, x, a, regexp_replace(x, '[^0-9]', '', 'g') AS dg, reverse(regexp_replace(x, '[^0-9]', '', 'g')) AS rv,
+              lower(substr(t, greatest(1, a - {REACH - 1}), a - greatest(1, a - {REACH - 1}) + 1) || ' ' || substr(t, a + length(x) + 1, {REACH})) AS nr FROM
+       (SELECT rid, t, m[i] AS x, (list_sum([length(y) FOR y IN p[1:i]]) + coalesce(list_sum([length(y) FOR y IN m[1:i - 1]]), 0))::BIGINT AS a FROM
+        (SELECT rid, t, m, p, unnest(generate_series(1, len(m))) AS i FROM (SELECT rid, t, regexp_extract_all(t, '{rx}') AS m, string_split_regex(t, '{rx}') AS p FROM d WHERE regexp_matches(t, '{rx}'))))) WHERE {test}"""
+        )
+    counts = ", ".join(f"count(*) FILTER (s.k = {k})::BIGINT AS n_{kind}" for k, kind in enumerate(KINDS[:4]))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) FILTER (k < 4), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a), '') AS spans, max(score)::DOUBLE AS max_score
+FROM d LEFT JOIN s USING (rid) GROUP BY d.rid, d.doc_id
+"""
+
+
+SQL = _sql()
