@@ -47,7 +47,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         count("[#*$%&|<>]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(again, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("hs").isNotNull(), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         count("!").alias("n_exclaim"),
         count(r"\p{Lu}").alias("n_upper"),
         count("[0-9]").alias("n_digits"),
