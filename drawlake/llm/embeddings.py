@@ -19,8 +19,8 @@ from drawlake.llm.graph import components
 from drawlake.llm.hnsw import Hnsw
 
 COSINE = 0.98
-#: Vectors of a shard, about: what a task holds twice.
-SHARD = 20_000
+#: Vectors of a shard, about, and bytes of them: what a task holds twice.
+SHARD, SHARD_BYTES = 20_000, 64_000_000
 #: First beam, queries of a pair of shards that are audited, and the recall they must reach.
 BEAM, AUDITED, RECALL = 32, 96, 0.995
 
@@ -114,7 +114,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     v = v.withColumn("node", F.when(F.coalesce(usable, F.lit(False)), F.unhex(F.concat(half(1), half(2)))))
     good = v.where("node IS NOT NULL").withColumn("dim", F.size("embedding"))
     nodes = good.groupBy("label", "dim", "node").agg(F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    per = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    per = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    most = F.greatest(F.lit(1), F.least(F.lit(shard), F.floor(F.lit(SHARD_BYTES) / (F.col("dim") * 8))))
+    per = per.select("label", "dim", F.ceil(F.col("n") / most).cast("int").alias("shards"))
     dealt = nodes.join(per, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     index = dealt.groupBy("label", "dim", "shard").applyInPandas(_indexed, "label string, dim int, shard int, shards int, nodes binary, copies binary, vectors binary, graph binary")
     index = materialize(index, "hnsw")
