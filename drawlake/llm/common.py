@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); one is set only where none is."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     now = spark.sparkContext.getCheckpointDir()
@@ -37,6 +37,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_tables(spark: SparkSession) -> None:
+    """Delete the tables that operators wrote in the shared folder; for when nothing that reads them is left to run."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/drawlake")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def whole(text: Column) -> Column:
     """A text, null as the empty one."""
     return F.coalesce(text.cast("string"), F.lit(""))
