@@ -173,3 +173,58 @@ def failure_alert(calls: DataFrame, most: float = 0.5) -> DataFrame:
     """Jobs of whose calls more than the share failed."""
     rate = F.avg(F.col("error").isNotNull().cast("int"))
     return calls.groupBy("job_id").agg(rate.alias("failed")).where(F.col("failed") > most)
+
+
+def batched_prompts(pages: DataFrame, capacity: int = 240_000, longest: int = 5_000) -> DataFrame:
+    """Page texts (``file_id, page, text``) in prompts of bounded length, next-fit in order of pages (M3, F-9)."""
+    from drawlake.operators.windows import next_fit
+
+    d = pages.withColumn("n", F.least(F.length("text"), F.lit(longest)))
+    batch = next_fit(d, ["file_id"], "page", "n", capacity).select("file_id", "page", "batch")
+    text = F.transform(F.array_sort(F.collect_list(F.struct("page", F.substring("text", 1, longest).alias("t")))), lambda s: F.concat(F.lit("--- page "), s["page"].cast("string"), F.lit(" ---\n"), s["t"]))
+    return pages.join(batch, ["file_id", "page"]).groupBy("file_id", "batch").agg(F.min("page").alias("first_page"), F.array_join(text, "\n").alias("prompt"))
+
+
+def page_batches(pages: DataFrame, size: int = 25) -> DataFrame:
+    """Pages in calls of ``size``; answers count from the call's first page (M5, M6)."""
+    b = F.floor((F.col("page") - 1) / size)
+    return pages.withColumn("batch", b).withColumn("first_page", b * size + 1)
+
+
+def answered_rows(called: DataFrame, schema: str) -> DataFrame:
+    """The rows of repaired answers under a schema, with the call's page offset added to ``page`` if both are there (M3-M5)."""
+    rows = F.from_json(repaired(F.col("response")), f"array<struct<{schema}>>")
+    d = called.withColumn("_r", F.explode(rows))
+    keep = [c for c in called.columns if c not in ("prompt", "response")]
+    d = d.select(*keep, "_r.*")
+    return d.withColumn("page", F.col("page") + F.col("first_page") - 1) if {"page", "first_page"} <= set(d.columns) else d
+
+
+def valid_loads(rows: DataFrame) -> DataFrame:
+    """Occupant loads of 0 to 9999 with a room number."""
+    return rows.where("room_number IS NOT NULL AND occupant_load BETWEEN 0 AND 9999")
+
+
+def asks_for_rooms(rooms: DataFrame, manifest: DataFrame, size: int = 20) -> DataFrame:
+    """Ambiguous rooms in batches, of files with a life-safety page only."""
+    from pyspark.sql import Window
+
+    from drawlake.operators.rooms import ambiguous
+
+    safe = manifest.where("bucket = 'life_safety'").select("file_id").distinct()
+    d = rooms.where(ambiguous()).join(safe, "file_id", "left_semi")
+    return d.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("file_id").orderBy("seq")) - 1) / size))
+
+
+def located(candidates: DataFrame, signs: DataFrame, most: int = 20, keep: int = 3) -> DataFrame:
+    """Candidates with a place on the page, three a sign at most, of twenty signs at most."""
+    from drawlake.operators.windows import first_of
+
+    asked = signs.orderBy("sign_id").limit(most).select("sign_id")
+    good = candidates.where("x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1").join(asked, "sign_id", "left_semi")
+    return first_of(good, ["sign_id"], [F.desc("confidence"), "seq"], keep)
+
+
+def fallback_pages(pages: DataFrame, outline: DataFrame) -> DataFrame:
+    """All pages of the files whose outline names none."""
+    return pages.join(outline.where("page IS NOT NULL").select("file_id").distinct(), "file_id", "left_anti")
