@@ -55,6 +55,32 @@ def k_nearest(pairs: DataFrame, key: list[str], distance: str, tie: str, k: int
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def nearest_by_value(left: DataFrame, right: DataFrame, on: list[str], x: str, rx: str, tie: str, k: int) -> DataFrame:
+    """Of each left row the k right rows of equal ``on`` with the nearest value, ties by ``tie``, with ``distance`` and ``rank``.
+
+    Never all pairs: right rows are numbered upwards and downwards by value, a running count says how many stand below a
+    left row, and the k numbers on either side are joined by equality. Rows without a value have no neighbours. Left
+    columns other than ``on`` and right columns must have different names.
+    """
+    r = right.where(F.col(rx).isNotNull())
+    up, down = Window.partitionBy(*on).orderBy(F.col(rx).asc(), tie), Window.partitionBy(*on).orderBy(F.col(rx).desc(), tie)
+    r = r.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
+    marks = left.where(F.col(x).isNotNull()).select(*on, F.col(x).alias("_v"), F.lit(0).alias("_r"), F.struct(*left.columns).alias("_l"))
+    marks = marks.unionByName(r.select(*on, F.col(rx).alias("_v"), F.lit(1).alias("_r")), allowMissingColumns=True)
+    # Right rows below a left row: those counted before it, as at equal values left rows come first.
+    below = Window.partitionBy(*on).orderBy("_v", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("_below", F.sum("_r").over(below)).withColumn("_all", F.sum("_r").over(Window.partitionBy(*on))).where("_r = 0")
+    near = F.concat(
+        F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.struct(F.lit("_up").alias("side"), (F.col("_below") + i).cast("int").alias("n"))),
+        F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.struct(F.lit("_down").alias("side"), (F.col("_all") - F.col("_below") + i).cast("int").alias("n"))),
+    )
+    asked = marks.select("_l", F.explode(near).alias("_a")).select("_l.*", F.col("_a.side").alias("_side"), F.col("_a.n").alias("_n"))
+    sides = F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).alias("n")) for c in ("_up", "_down")])
+    numbered = r.withColumn("_e", F.explode(sides)).select(*right.columns, F.col("_e.s").alias("_side"), F.col("_e.n").alias("_n"))
+    pairs = asked.join(numbered, [*on, "_side", "_n"]).withColumn("distance", F.abs(F.col(x) - F.col(rx)))
+    return k_nearest(pairs, left.columns, "distance", tie, k).drop("_side", "_n")
+
+
 def greedy_pairs(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
     """One-to-one pairs within each group: left rows in order take their best free right row, the first of equals.
 

@@ -156,11 +156,11 @@ def interval_join_first(spark, root):
        FROM customer JOIN supplier ON c_nationkey = s_nationkey) WHERE rank <= 5""",
 )
 def knn_join_k5(spark, root):
-    """The five nearest suppliers of each customer's nation by balance: page-local pairs, as a page holds few items."""
-    c = table(spark, root, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
-    s = table(spark, root, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
-    pairs = c.join(s, c.c_nationkey == s.s_nationkey).withColumn("d", F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
-    return J.k_nearest(pairs, ["c_custkey"], "d", "s_suppkey").select(F.col("c_custkey").alias("c"), F.col("s_suppkey").alias("s"), "rank")
+    """The five suppliers of each customer's nation with the nearest balance."""
+    c = table(spark, root, "customer", ["c_custkey", "c_nationkey", "c_acctbal"]).withColumnRenamed("c_nationkey", "k")
+    s = table(spark, root, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]).withColumnRenamed("s_nationkey", "k")
+    near = J.nearest_by_value(c, s, ["k"], "c_acctbal", "s_acctbal", "s_suppkey", 5)
+    return near.select(F.col("c_custkey").alias("c"), F.col("s_suppkey").alias("s"), "rank")
 
 
 @query(

@@ -265,7 +265,7 @@ def metadata_validation(spark, root):
     """SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
 )
 def stream_tumbling(spark, root):
-    """The events as a stream of their file, counted by the hour; the finished stream's rows."""
+    """Events by the hour: the form that batch and stream share, here over the whole table."""
     from drawlake.streaming.events import tumbling_counts
 
     e = table(spark, root, "events", ["ts", "event_type", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -280,3 +280,15 @@ def error_windows(spark, root):
     e = table(spark, root, "events", ["ts", "event_type"]).withColumn("ts", F.col("ts").cast("timestamp")).where("event_type = 'error'")
     g = e.groupBy(F.window("ts", "60 minutes", "1 minute").alias("w")).agg(F.count("*").alias("n")).where("n > 1")
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("L1 L5", "SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT ON (event_id) event_type, value FROM events) GROUP BY 1")
+def stream_dedup(spark, root):
+    """The events read as a stream, de-duplicated under a watermark and written once; the finished stream's rows by type."""
+    from drawlake.session import scratch
+    from drawlake.streaming.events import deduplicated, event_stream, run_to_end
+
+    path = f"{root}/event[s].parquet"  # a pattern, as a stream reads folders or patterns
+    out, state = scratch(spark, "events"), scratch(spark, "state")
+    run_to_end(deduplicated(event_stream(spark, path, table(spark, root, "events")), ["event_id"], "3650 days"), out, state)
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

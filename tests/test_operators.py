@@ -250,3 +250,12 @@ def test_stream_ends_with_the_batch_rows(spark, tmp_path):
     assert sum(seen) >= src.select("user_id").distinct().count()
     assert E.session_counts(src.withColumn("ts", F.col("ts").cast("timestamp"))).agg(F.sum("n")).first()[0] == src.count()
     assert E.error_rates(src.withColumn("ts", F.col("ts").cast("timestamp")), warn=0).count() >= 0
+
+
+def test_nearest_by_value_equals_a_loop(spark):
+    rng = random.Random(7)
+    a = [(i, i % 2, float(rng.randint(0, 12))) for i in range(40)] + [(40, 0, None), (41, 7, 1.0)]
+    b = [(i, i % 2, float(rng.randint(0, 12))) for i in range(25)] + [(25, 1, None)]
+    got = J.nearest_by_value(spark.createDataFrame(a, "i int, k int, x double"), spark.createDataFrame(b, "j int, k int, rx double"), ["k"], "x", "rx", "j", 3)
+    want = {(i, j, n + 1) for i, k, x in a if x is not None for n, (_, j) in enumerate(sorted((abs(x - y), j) for j, m, y in b if m == k and y is not None)[:3])}
+    assert {(r["i"], r["j"], r["rank"]) for r in got.collect()} == want
