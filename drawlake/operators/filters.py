@@ -141,3 +141,17 @@ def calls_of_jobs(calls: DataFrame, jobs: DataFrame, who: Principal, org: str, j
     if asked is not None:
         own = own.where(F.col(job) == asked)
     return calls.join(own.distinct(), job, "left_semi")
+
+
+def memberships(users: DataFrame, members: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Each user with organisation and role; without a membership the lowest role and no organisation."""
+    d = users.join(members.select("user_id", "org_id", "role"), "user_id", "left").join(orgs.select("org_id", F.col("name").alias("org_name")), "org_id", "left")
+    return d.withColumn("role", F.coalesce("role", F.lit(ROLES[0])))
+
+
+def organisations(orgs: DataFrame, members: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Organisations with their numbers of members and jobs and their latest job; those without stay."""
+    m = members.groupBy("org_id").agg(F.count("*").alias("members"))
+    j = jobs.groupBy("org_id").agg(F.count("*").alias("jobs"), F.max("created_at").alias("last_job"))
+    d = orgs.join(m, "org_id", "left").join(j, "org_id", "left")
+    return d.withColumns({"members": F.coalesce("members", F.lit(0)), "jobs": F.coalesce("jobs", F.lit(0))})

@@ -124,3 +124,41 @@ def intake(phrases: DataFrame, pages: int = 10) -> DataFrame:
         F.min(F.when(early & any_substring(F.col("t"), list(V.INDEX_PAGES)), F.col("page"))).alias("index_page"),
         F.array_sort(F.collect_set("level")).alias("levels"), F.countDistinct("level").alias("level_count"),
     )
+
+
+def candidate_token(text: Column, abbreviations: tuple[str, ...] = V.KNOWN_SHORT) -> Column:
+    """May be part of a room's label: no bare figures, dimensions or grid marks, four characters or a known abbreviation of three."""
+    t = F.trim(text)
+    bare = t.rlike(r"""^[0-9\s\-_/().,'"]+$""") | (t.rlike("['\"/]") & t.rlike("[0-9]")) | t.rlike("^[A-Z][0-9]{1,3}$")
+    return ~bare & ((F.length(t) > 3) | ((F.length(t) == 3) & F.upper(t).isin(*abbreviations)))
+
+
+def label_candidates(phrases: DataFrame, keywords: tuple[str, ...] = V.HEADING_ROOM_WORDS, dx: float = 60.0, dy: float = 20.0, short: int = 8) -> DataFrame:
+    """Labels of a drawing (G9): phrases outside title block and tables, each joined with the first free one close to its right.
+
+    Two join if both are short or one is a room's keyword. Which are free depends on the joins before: a fold over each
+    page's pairs in order. Out come ``file_id, page, seq, text, x, y``, the place in the middle of what was joined.
+    """
+    from drawlake.operators.geometry import without_table_columns
+
+    d = without_table_columns(phrases.where(~in_title_block())).where(candidate_token(F.col("text")))
+    d = d.select("file_id", "page", "seq", F.trim("text").alias("text"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), "page_width", "page_height")
+    d = d.withColumn("small", F.length("text") < short).withColumn("word", F.upper("text").isin(*keywords))
+    b = d.select("file_id", "page", F.col("seq").alias("b_seq"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("small").alias("b_small"), F.col("word").alias("b_word"))
+    right = (F.col("bx") - F.col("x")) * F.col("page_width")
+    near = d.join(b, ["file_id", "page"]).where((F.col("b_seq") > F.col("seq")) & (right > 0) & (right <= dx) & (F.abs(F.col("by") - F.col("y")) * F.col("page_height") <= dy))
+    near = near.where((F.col("small") & F.col("b_small")) | F.col("word") | (F.col("b_word") & F.col("small")))
+    kind = dict(near.dtypes)["seq"]
+    items = near.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("a"), F.col("b_seq").alias("b")))).alias("_i"))
+    start = F.struct(F.expr(f"cast(array() AS array<{kind}>)").alias("used"), F.expr(f"cast(array() AS array<struct<a:{kind},b:{kind}>>)").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        free = ~F.array_contains(s["used"], p["a"]) & ~F.array_contains(s["used"], p["b"])
+        return F.struct(F.when(free, F.concat(s["used"], F.array(p["a"], p["b"]))).otherwise(s["used"]).alias("used"), F.when(free, F.array_append(s["out"], p)).otherwise(s["out"]).alias("out"))
+
+    joined = items.select("file_id", "page", F.explode(F.aggregate("_i", start, step)["out"]).alias("o")).select("file_id", "page", F.col("o.a").alias("seq"), F.col("o.b").alias("b_seq"))
+    second = d.select("file_id", "page", F.col("seq").alias("b_seq"), F.col("text").alias("bt"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    gone = joined.select("file_id", "page", F.col("b_seq").alias("seq"))
+    out = d.join(gone, ["file_id", "page", "seq"], "left_anti").join(joined, ["file_id", "page", "seq"], "left").join(second, ["file_id", "page", "b_seq"], "left")
+    mid = lambda a, c: F.when(F.col("bt").isNull(), F.col(a)).otherwise((F.col(a) + F.col(c)) / 2)
+    return out.select("file_id", "page", "seq", F.concat_ws(" ", "text", "bt").alias("text"), mid("x", "bx").alias("x"), mid("y", "by").alias("y"))

@@ -90,3 +90,20 @@ def test_matching(spark):
     assert sorted(r["sign_id"] for r in M.signs_of_page(signs, 1, [7]).collect()) == ["a", "b", "e"]
     c = spark.createDataFrame([("b", 0.1, 0.1, False)], "sign_id string, x double, y double, ambiguous boolean")
     assert {r["sign_id"]: r["outcome"] for r in M.auto_located(c, signs).collect()} == {"b": "applied", "e": "failed"}
+
+
+def test_label_candidates(spark):
+    rows = [phrase(1, "CONFERENCE", 0.10, 0.10), phrase(2, "WEST", 0.14, 0.105), phrase(3, "WING", 0.18, 0.105), phrase(4, "12'-0\"", 0.3, 0.1), phrase(5, "A1", 0.3, 0.2), phrase(6, "LAB", 0.4, 0.4), phrase(7, "LONGER LABEL", 0.44, 0.4), phrase(8, "TITLES", 0.9, 0.9), phrase(9, "ABC", 0.6, 0.1)]
+    got = {r["text"]: round(r["x"], 3) for r in L.label_candidates(spark.createDataFrame(rows, PHRASES)).collect()}
+    assert got == {"CONFERENCE WEST": 0.145, "WING": 0.205, "LAB": 0.425, "LONGER LABEL": 0.465}
+
+
+def test_memberships(spark):
+    from drawlake.operators import filters as P
+
+    users = spark.createDataFrame([(1,), (2,)], "user_id int")
+    members = spark.createDataFrame([(1, 10, "ADMIN")], "user_id int, org_id int, role string")
+    orgs = spark.createDataFrame([(10, "a"), (11, "b")], "org_id int, name string")
+    assert {r["user_id"]: (r["role"], r["org_name"]) for r in P.memberships(users, members, orgs).collect()} == {1: ("ADMIN", "a"), 2: ("SALES", None)}
+    jobs = spark.createDataFrame([(10, 5), (10, 7)], "org_id int, created_at int")
+    assert {r["org_id"]: (r["members"], r["jobs"], r["last_job"]) for r in P.organisations(orgs, members, jobs).collect()} == {10: (1, 2, 7), 11: (0, 0, None)}
