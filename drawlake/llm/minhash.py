@@ -57,40 +57,61 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """The set of each whole text: sorted distinct 64-bit hashes of its ``k``-word shingles, A-Z lowered.
-
-    With fewer words, the whole sequence is the only one; without words or text the set is empty.
-    """
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)] if raw else np.zeros(0, np.uint8)
-    if not len(data):
-        return [np.zeros(0, np.uint64) for _ in raw]
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word. A hash is a polynomial in the word's bytes: running sums at its end less those at its start, shifted to 0."""
     inside = ~_BLANK[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
     start, end = edge[::2], edge[1::2]
-    # A word's hash is a polynomial in its bytes, from running sums: those at its end less those at its start, shifted to 0.
+    if not len(start):
+        return np.zeros(0, np.uint64), start
     up, down = _powers(_BASE, len(data)), _powers(_INVERSE, len(data))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up, dtype=np.uint64)))
-    word = _mix((total[end] - total[start]) * down[start]) if len(start) else np.zeros(0, np.uint64)
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    bound = np.concatenate(([0], np.searchsorted(start, ends)))
+    return _mix((total[end] - total[start]) * down[start]), start
+
+
+def _pieces(raw: bytes):
+    """A long text in pieces of a slab at most, cut at blanks; a word that is longer stays whole."""
+    at = 0
+    while len(raw) - at > SLAB:
+        cut = max(raw.rfind(c, at, at + SLAB) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut <= at:
+            found = [i for i in (raw.find(c, at + SLAB) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if i >= 0]
+            cut = min(found, default=len(raw))
+        yield raw[at:cut]
+        at = cut
+    yield raw[at:]
+
+
+def _set(word: np.ndarray, k: int) -> np.ndarray:
     n = len(word)
     if n >= k:
         shingle = np.zeros(n - k + 1, dtype=np.uint64)
         for j in range(k):
             shingle = _mix(shingle * np.uint64(0xD6E8FEB86659FD93) + word[j : n - k + 1 + j])
+        return np.unique(shingle)
+    h = np.zeros(min(n, 1), np.uint64)
+    for w in word:
+        h = _mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + w)
+    return h
+
+
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """The set of each whole text: sorted distinct 64-bit hashes of its ``k``-word shingles, A-Z lowered.
+
+    With fewer words, the whole sequence is the only one; without words or text the set is empty. Texts longer than a
+    slab are hashed piece by piece.
+    """
+    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    short = [r if len(r) <= SLAB else b"" for r in raw]
+    data = _LOWER[np.frombuffer(b" ".join([*short, b""]), dtype=np.uint8)]
+    word, start = _words(data)
+    bound = np.concatenate(([0], np.searchsorted(start, np.cumsum([len(r) + 1 for r in short]))))
     out = []
-    for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(shingle[a : b - k + 1]))
-        elif b > a:
-            h = np.zeros(1, np.uint64)
-            for w in word[a:b]:
-                h = _mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + w)
-            out.append(h)
-        else:
-            out.append(np.zeros(0, np.uint64))
+    for r, a, b in zip(raw, bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+        own = word[a:b]
+        if len(r) > SLAB:
+            own = np.concatenate([_words(_LOWER[np.frombuffer(p, dtype=np.uint8)])[0] for p in _pieces(r)])
+        out.append(_set(own, k))
     return out
 
 

@@ -107,6 +107,14 @@ def test_shingle_sets_match_words():
         assert (sets[0] == sets[6]).all()
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab \n\t") for _ in range(n)) for n in (0, 5, 300, 2000)] + ["x" * 500 + " y z " + "w" * 90]
+    want = minhash.shingle_sets(texts, 3)
+    monkeypatch.setattr(minhash, "SLAB", 64)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(want, minhash.shingle_sets(texts, 3), strict=True))
+
+
 def test_components(spark):
     rng = random.Random(5)
     ids = [f"{rng.random():.12f}" for _ in range(300)]
