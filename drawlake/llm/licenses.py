@@ -1,6 +1,7 @@
 """License scans: normalised passages against licence templates by the Dice coefficient over word bigrams.
 
-A passage is a line of a text or the whole text. Words are runs of a-z and 0-9 (with inner version dots) after
+A passage is a line of a text, the whole text, or a window of its words wherever it stands. The SQL has lines and whole
+texts only; windows add what these miss. Words are runs of a-z and 0-9 (with inner version dots) after
 A-Z are lowered. A template is looked at only if its size allows the coefficient to reach the threshold:
 2·min/(a+b) >= t bounds the sizes of both sides.
 """
@@ -8,8 +9,11 @@ A-Z are lowered. A template is looked at only if its size allows the coefficient
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,33 +59,126 @@ def _prepared(templates: tuple[tuple[str, str], ...], threshold: float):
     return bounds, min(b[2] for b in bounds), frozenset().union(*[s for _, s in sets])
 
 
-def scan_text(text: str | None, templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[int, str, float]]:
-    """``(line, licence, dice)`` of each passage that reaches the threshold, with its best licence (ties: by name); line -1 is the whole text."""
-    if not text:
-        return []
-    bounds, least, known = _prepared(templates, threshold)
-    lines = text.split("\n")
+def _within_reach(have: set, templates, threshold: float) -> list:
+    """Templates of which a text has enough bigrams for any of its passages to reach the threshold."""
+    bounds, _, known = _prepared(templates, threshold)
+    common = have & known
+    return [b for b in bounds if len(common) >= b[2] - 1e-9 and len(common & b[1]) >= b[2] - 1e-9]
+
+
+def _passages(lines: list[list[str]], bounds, threshold: float) -> list[tuple[int, int, float, str]]:
+    """``(line, template, -dice, licence)`` of the lines and the whole text, -1, that reach the threshold; templates count within bounds."""
+    least = min(b[2] for b in bounds)
     out = []
-    for i, passage in enumerate([*lines, text] if len(lines) > 1 else lines):
-        found = _WORD.findall(passage.translate(_LOWER))
-        if len(found) - 1 < least:
+    for i, found in enumerate([*lines, [w for words in lines for w in words]] if len(lines) > 1 else lines):
+        if len(found) - 1 < least - 1e-9:
             continue
         have = set(zip(found, found[1:]))
-        if have.isdisjoint(known):
-            continue
         n, best = len(have), None
-        for name, s, low, high in bounds:
+        for k, (name, s, low, high) in enumerate(bounds):
             if low - 1e-9 <= n <= high + 1e-9:
                 dice = 2 * len(have & s) / (n + len(s))
-                if dice >= threshold and (best is None or (-dice, name) < best):
-                    best = (-dice, name)
+                if dice >= threshold and (best is None or (-dice, name) < best[1:]):
+                    best = (k, -dice, name)
         if best:
-            out.append((-1 if i == len(lines) else i, best[1], -best[0]))
+            out.append((-1 if i == len(lines) else i, *best))
+    return out
+
+
+def scan_text(text: str | None, templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[int, str, float]]:
+    """``(line, licence, dice)`` of each line that reaches the threshold, with its best licence (ties: by name); line -1 is the whole text."""
+    if not text:
+        return []
+    lines = [_WORD.findall(line) for line in text.translate(_LOWER).split("\n")]
+    found = [w for words in lines for w in words]
+    bounds = _within_reach(set(zip(found, found[1:])), templates, threshold)
+    return [(i, name, -dice) for i, _, dice, name in _passages(lines, bounds, threshold)] if bounds else []
+
+
+def _segments(grams: list, at: list[int], need: float, high: float):
+    """Runs of hits that one window can join: between neighbours stand no more distinct bigrams than a window has room for."""
+    start = 0
+    for k in range(1, len(at) + 1):
+        if k < len(at):
+            gap = at[k] - at[k - 1] - 1
+            if gap <= high - need or len(set(grams[at[k - 1] + 1 : at[k]])) <= high - need + 1e-9:
+                continue
+        if k - start >= need:
+            yield at[start], at[k - 1] + 1
+        start = k
+
+
+def _windows(grams: list, previous: list[int], template: frozenset, low: float, high: float, threshold: float):
+    """``(dice, first, last)`` of the best windows of bigrams that do not overlap. Any number of words is tried, from every hit to every later one."""
+    n, found = len(template), []
+    for begin, end in _segments(grams, [i for i, g in enumerate(grams) if g in template], low - 1e-9, high + 1e-9):
+        have, hits = np.zeros(end - begin, np.int32), np.zeros(end - begin, np.int32)
+        left = 0  # windows from further left are too large
+        for r in range(end - begin):
+            # The r-th bigram is new to the windows that start behind its last occurrence.
+            new = slice(max(previous[begin + r] - begin + 1, left), r + 1)
+            have[new] += 1
+            if grams[begin + r] in template:
+                hits[new] += 1
+                while have[left] > high + 1e-9:
+                    left += 1
+                dice = 2 * hits[left : r + 1] / (have[left : r + 1] + n)
+                k = len(dice) - 1 - int(dice[::-1].argmax())
+                if dice[k] >= threshold:
+                    found.append((-dice[k], begin + left + k, begin + r))
+    taken: list[tuple[int, int]] = []
+    for dice, first, last in sorted(found):
+        k = bisect_left(taken, (first, last))
+        if (k == len(taken) or taken[k][0] > last) and (k == 0 or taken[k - 1][1] < first):
+            taken.insert(k, (first, last))
+            yield -dice, first, last
+
+
+def find_licenses(text: str | None, templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[int, str, float]]:
+    """What ``scan_text`` finds, then notices in windows of words that it misses, with the line where they begin.
+
+    A window may span lines or be a part of one. Bigrams that a passage shares with its template are not counted again
+    for another one; of windows that meet, the one with the most bigrams beyond the threshold goes first.
+    """
+    if not text:
+        return []
+    lines = [_WORD.findall(line) for line in text.translate(_LOWER).split("\n")]
+    found = [w for words in lines for w in words]
+    grams = list(zip(found, found[1:]))
+    bounds = _within_reach(set(grams), templates, threshold)
+    if not bounds:
+        return []
+    starts = list(accumulate(map(len, lines), initial=0))
+    claimed = bytearray(len(grams))
+
+    def claim(first: int, last: int, template: frozenset) -> None:
+        for i in range(first, last + 1):
+            claimed[i] |= grams[i] in template
+
+    out = []
+    for i, k, dice, name in _passages(lines, bounds, threshold):
+        out.append((i, name, -dice))
+        claim(*((0, len(grams) - 1) if i < 0 else (starts[i], starts[i + 1] - 2)), bounds[k][1])
+    seen: dict = {}
+    previous = []
+    for i, g in enumerate(grams):
+        previous.append(seen.get(g, -1))
+        seen[g] = i
+    windows = []
+    for name, s, low, high in bounds:
+        for dice, first, last in _windows(grams, previous, s, low, high, threshold):
+            size = len(set(grams[first : last + 1])) + len(s)
+            windows.append((-(dice - threshold) * size, name, first, last, dice, size, s))
+    for _, name, first, last, dice, size, s in sorted(windows, key=lambda w: w[:4]):
+        fresh = {grams[i] for i in range(first, last + 1) if not claimed[i] and grams[i] in s}
+        if 2 * len(fresh) / size >= threshold:
+            out.append((bisect_right(starts, first) - 1, name, float(dice)))
+            claim(first, last, s)
     return out
 
 
 def _scan(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [dict(zip(("line", "license", "dice"), m, strict=True)) for m in scan_text(t)])
+    return text.map(lambda t: [dict(zip(("line", "license", "dice"), m, strict=True)) for m in find_licenses(t)])
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

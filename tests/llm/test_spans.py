@@ -121,3 +121,41 @@ def test_license_bounds_lose_nothing():
         best = min(((-v, n) for n, v in score.items() if v >= licenses.THRESHOLD), default=None)
         got = licenses.scan_text(line)
         assert [(g[1], round(g[2], 9)) for g in got] == ([] if best is None else [(best[1], round(-best[0], 9))])
+
+
+def test_licenses_inside_documents():
+    import random
+    import textwrap
+
+    rng = random.Random(5)
+    prose = [" ".join(rng.choice(["of", "the", "to", "any", f"w{rng.randrange(999)}"]) for _ in range(300)) for _ in range(2)]
+    for name, t in licenses.TEMPLATES:
+        for notice in (t, *("\n".join(textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)) for width in (80, 25))):
+            for text in (f"{prose[0]} {notice} {prose[1]}", f"{prose[0]}\n{notice}\n{prose[1]}", f"{notice} {prose[0]}", f"{prose[0]} {notice}"):
+                assert {m[1] for m in licenses.find_licenses(text)} == {name}, (name, notice)
+                assert notice != t or any(m[2] == 1.0 for m in licenses.find_licenses(text)), (name, notice)
+    one = "Thank you for the help last year. Released under the MIT License. Contributions are welcome at any time."
+    assert licenses.find_licenses(one) == [(0, "mit", 1.0)]
+    held = "Copyright 2024 The Example Authors. Licensed under the Apache License, Version 2.0. All rights reserved."
+    assert licenses.find_licenses("x\n" + held) == [(1, "apache-2.0", 1.0)]
+    assert licenses.find_licenses("Released under the MIT License. Licensed under CC BY 4.0.") == [(0, "cc-by-4.0", 1.0), (0, "mit", 1.0)]
+    mit = licenses.TEMPLATES[14][1]
+    assert [m[1] for m in licenses.find_licenses(mit.replace("subject to", "subject Licensed under CC BY 4.0. to"))] == ["mit", "cc-by-4.0"]
+    assert licenses.find_licenses(f"{prose[0]}\n{mit}\n{prose[1]}\n{mit} and more words\n") == [(1, "mit", 1.0), (3, "mit", licenses.scan_text(mit + " and more words")[0][2])]
+
+
+def test_license_windows_by_brute_force():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(60):
+        name, t = rng.choice([x for x in licenses.TEMPLATES if len(x[1]) < 100])
+        ws = [w for w in t.split() if rng.random() > 0.1]
+        text = " ".join(rng.choices(["zz", "under", "the", "license", "yy"], k=rng.randint(0, 12)) + ws + rng.choices(["zz", "4.0", "work", "is"], k=rng.randint(0, 12)))
+        s, found = licenses.bigrams(t), licenses._WORD.findall(text.lower())
+        pairs = list(zip(found, found[1:]))
+        best = max((2 * len(s & set(pairs[a:b])) / (len(s) + len(set(pairs[a:b]))) for a in range(len(pairs)) for b in range(a + 1, len(pairs) + 1)), default=0)
+        previous = [max((j for j in range(i) if pairs[j] == g), default=-1) for i, g in enumerate(pairs)]
+        ratio = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+        got = [w[0] for w in licenses._windows(pairs, previous, s, len(s) * ratio, len(s) / ratio, licenses.THRESHOLD)]
+        assert (round(max(got), 9) if got else None) == (round(best, 9) if best >= licenses.THRESHOLD else None), text
