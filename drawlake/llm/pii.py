@@ -32,6 +32,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?a:\b)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?a:\b)")
+#: Characters of an IBAN by its country.
+_IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
 _ODD = str.maketrans("", "", " -")
 
 
@@ -62,6 +67,23 @@ def _emails(text: str):
             done = m.end()
 
 
+def _ibans(text: str):
+    # A match may take words that follow the number: the end that the country's length gives goes first, then the whole
+    # match; of other countries, each end of a group from long to short. The search resumes behind what was accepted.
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, groups = m.start(), m[0].split(" ")
+        size = _IBAN_LENGTHS.get(m[0][:2])
+        ends = [(sum(map(len, groups[:k])), start + len(" ".join(groups[:k]))) for k in range(len(groups), 0, -1)]
+        tries = [e for e in ends if e[0] >= 12] if size is None else [e for e in ends if e[0] == size] + ends[:1]
+        at = start + 1
+        for _, end in tries:
+            if mod97(text[start:end].replace(" ", "")):
+                yield start, end
+                at = end
+                break
+
+
 def _score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
     near = (text[max(0, start - REACH) : start] + " " + text[end : end + REACH]).lower()
     return round(0.4 + 0.4 * confirmed + 0.2 * any(w in near for w in CONTEXT[kind]), 2)
@@ -85,9 +107,9 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                 found.append(("phone", m.start(), m.end(), _score("phone", text, m.start(), m.end(), False)))
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")) and (s := _score("iban", text, m.start(), m.end(), True)) >= ADDED_SCORE:
-            found.append(("iban", m.start(), m.end(), s))
+    for a, b in _ibans(text):
+        if (score := _score("iban", text, a, b, True)) >= ADDED_SCORE:
+            found.append(("iban", a, b, score))
     return found
 
 

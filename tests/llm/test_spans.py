@@ -92,6 +92,18 @@ def test_iban_and_scores():
     assert near > far
 
 
+def test_ibans_before_other_words():
+    for iban in ("ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for after in ("", " EUR 500", " BANK", " 12 March", " EUR", " please", " BANK CODE 1234 5678", "."):
+            text = f"transfer to {iban}{after}"
+            assert [s[:3] for s in pii.spans(text) if s[0] == "iban"] == [("iban", 12, 12 + len(iban))], text
+            assert pii.redacted(text).startswith("transfer to <IBAN>" + after[:1]), text
+    two = "ES91 2100 0418 4502 0005 1332 BE68 5390 0754 7034 EUR"
+    assert [s[1:3] for s in pii.spans(two)] == [(0, 29), (30, 49)]
+    assert [s[1:3] for s in pii.spans("AB12 CDEF " + two) if s[0] == "iban"] == [(10, 39), (40, 59)]
+    assert pii.spans("ES92 2100 0418 4502 0005 1332 EUR") == []
+
+
 def test_redaction():
     assert pii.redacted("mail joe@example.com or +1 (274) 555-9629!") == "mail <EMAIL> or <PHONE>!"
     assert pii.redacted(None) is None and pii.redacted("none") == "none"
