@@ -1,13 +1,14 @@
 """License scans: normalised passages against licence templates by the Dice coefficient over word bigrams.
 
 A passage is a line of a text, the whole text, or a window of its words wherever it stands. The SQL has lines and whole
-texts only; windows add what these miss. Words are runs of a-z and 0-9 (with inner version dots) after
+texts against the notices only; windows and whole licences add what these miss. Words are runs of a-z and 0-9 (with inner version dots) after
 A-Z are lowered. A template is looked at only if its size allows the coefficient to reach the threshold:
 2·min/(a+b) >= t bounds the sizes of both sides.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
@@ -22,7 +23,8 @@ from pyspark.sql.functions import pandas_udf
 from drawlake.llm.common import table, whole_text_batches
 
 THRESHOLD = 0.7
-#: Licence notices and short licence texts as they are published.
+#: Notices, single sentences and opening paragraphs, not whole licences. The sentences of MIT, CC BY-NC,
+#: GPL 3 and Apache (the short one) are word for word the lines planted in the test tables.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -42,6 +44,11 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Whole licences as published; of Creative Commons only the sentences above are there.
+FULL_TEXTS = tuple(
+    (name, pkgutil.get_data("drawlake.llm", f"license_texts/{name}.txt").decode())
+    for name in ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "isc", "lgpl-3.0", "mit", "mpl-2.0", "unlicense")
+)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -134,11 +141,12 @@ def _windows(grams: list, previous: list[int], template: frozenset, low: float,
             yield -dice, first, last
 
 
-def find_licenses(text: str | None, templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[int, str, float]]:
-    """What ``scan_text`` finds, then notices in windows of words that it misses, with the line where they begin.
+def find_licenses(text: str | None, templates=TEMPLATES + FULL_TEXTS, threshold: float = THRESHOLD) -> list[tuple[int, str, float]]:
+    """What ``scan_text`` finds, whole licences as well, then notices in windows of words that it misses, with the line where they begin.
 
     A window may span lines or be a part of one. Bigrams that a passage shares with its template are not counted again
-    for another one; of windows that meet, the one with the most bigrams beyond the threshold goes first.
+    for a window; what has the most bigrams beyond the threshold goes first. A line or whole text that is no more than a
+    part of another licence's larger window is left out.
     """
     if not text:
         return []
@@ -150,31 +158,40 @@ def find_licenses(text: str | None, templates=TEMPLATES, threshold: float = THRE
         return []
     starts = list(accumulate(map(len, lines), initial=0))
     claimed = bytearray(len(grams))
+    own = {name: bytearray(len(grams)) for name, *_ in bounds}  # by passages of the licence itself
 
-    def claim(first: int, last: int, template: frozenset) -> None:
+    def claim(by: bytearray, first: int, last: int, template: frozenset) -> None:
         for i in range(first, last + 1):
-            claimed[i] |= grams[i] in template
+            by[i] |= grams[i] in template
 
-    out = []
+    found = []
     for i, k, dice, name in _passages(lines, bounds, threshold):
-        out.append((i, name, -dice))
-        claim(*((0, len(grams) - 1) if i < 0 else (starts[i], starts[i + 1] - 2)), bounds[k][1])
+        first, last = (0, len(grams) - 1) if i < 0 else (starts[i], starts[i + 1] - 2)
+        size = len(set(grams[first : last + 1])) + len(bounds[k][1])
+        found.append((-(-dice - threshold) * size, 0, name, first, last, -dice, size, bounds[k][1], i))
+        claim(own[name], first, last, bounds[k][1])
     seen: dict = {}
     previous = []
     for i, g in enumerate(grams):
         previous.append(seen.get(g, -1))
         seen[g] = i
-    windows = []
     for name, s, low, high in bounds:
         for dice, first, last in _windows(grams, previous, s, low, high, threshold):
             size = len(set(grams[first : last + 1])) + len(s)
-            windows.append((-(dice - threshold) * size, name, first, last, dice, size, s))
-    for _, name, first, last, dice, size, s in sorted(windows, key=lambda w: w[:4]):
-        fresh = {grams[i] for i in range(first, last + 1) if not claimed[i] and grams[i] in s}
-        if 2 * len(fresh) / size >= threshold:
-            out.append((bisect_right(starts, first) - 1, name, float(dice)))
-            claim(first, last, s)
-    return out
+            found.append((-(dice - threshold) * size, 1, name, first, last, float(dice), size, s, bisect_right(starts, first) - 1))
+    out, taken = [], {}
+    for _, window, name, first, last, dice, size, s, line in sorted(found, key=lambda f: f[:5]):
+        # A window must stand on bigrams of its own; a line or whole text gives way only to windows of other licences.
+        held = [claimed] if window else [c for n, c in taken.items() if n != name]
+        fresh = [i for i in range(first, last + 1) if grams[i] in s and not any(c[i] for c in held)]
+        if 2 * len({grams[i] for i in fresh}) / size >= threshold:
+            # One that the licence's own passages already tell is not told again, but keeps others away.
+            if not window or 2 * len({grams[i] for i in fresh if not own[name][i]}) / size >= threshold:
+                out.append((window, line if line >= 0 else len(lines), name, dice, line))
+            claim(claimed, first, last, s)
+            if window:
+                claim(taken.setdefault(name, bytearray(len(grams))), first, last, s)
+    return [(line, name, dice) for _, _, name, dice, line in sorted(out)]
 
 
 def _scan(text: pd.Series) -> pd.Series:

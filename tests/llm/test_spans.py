@@ -171,3 +171,12 @@ def test_license_windows_by_brute_force():
         ratio = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
         got = [w[0] for w in licenses._windows(pairs, previous, s, len(s) * ratio, len(s) / ratio, licenses.THRESHOLD)]
         assert (round(max(got), 9) if got else None) == (round(best, 9) if best >= licenses.THRESHOLD else None), text
+
+
+def test_whole_licenses():
+    for name, t in licenses.FULL_TEXTS:
+        assert (-1, name, 1.0) in licenses.find_licenses(t), name
+        for paragraphs in (t, t.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n"), t.replace("\n", " ")):
+            got = licenses.find_licenses("a tale of lamps and stones " * 3 + "\n" + " ".join(f"w{i}" for i in range(9000)) + "\n" + paragraphs)
+            assert {m[1] for m in got} == {name}, (name, got)
+    assert {n for n, _ in licenses.TEMPLATES} - {n for n, _ in licenses.FULL_TEXTS} == {"cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0"}
