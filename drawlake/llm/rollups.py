@@ -103,8 +103,8 @@ def versions(counts: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under a word count and a byte-level BPE, less the repeats of a text (all but its smallest doc_id).
 
-    Batches: ``load`` inserts word counts, ``retokenize`` revises every count to the new version and keeps the old
-    version's total beside it, ``dedup`` deletes repeats from both. ``load`` is sent twice and counts once.
+    Batches: ``load`` inserts word counts, ``retokenize`` inserts those of the second tokenizer beside them, ``dedup`` deletes
+    repeats from both. No count is revised: the query shows inserts and deletes only. ``load`` is sent twice and counts once.
     """
     whole_text_batches(spark)
     docs = table(spark, sf_dir, "documents")
