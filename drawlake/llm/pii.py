@@ -1,4 +1,8 @@
-"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score."""
+"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
+
+Spans of the base kinds always count. Those of the added kinds (iban, ssn, birth, account) count from a score on: a
+checksum alone reaches it, a bare pattern only beside a word that speaks for its kind and none that speaks against it.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from drawlake.llm.common import table, whole_text_batches
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "birth", "account")
 #: An added span (a kind that is not of the base) needs this score.
 ADDED_SCORE = 0.5
 #: Characters before and after a span in which context words count.
@@ -23,15 +27,23 @@ CONTEXT = {
     "card": ("card", "visa", "credit", "payment", "cvv"),
     "phone": ("phone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
+    "ssn": ("ssn", "social security", "national id", "taxpayer"),
+    "birth": ("born", "birth", "dob"),
+    "account": ("account", "acct", "routing"),
 }
+#: Words that speak against a kind.
+AGAINST = {"ssn": ("part no", "order no", "isbn"), "birth": ("updated", "released", "version"), "account": ("order no", "tracking", "isbn")}
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
-DIGEST = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,max_score:double>"
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+DIGEST = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,scores:string,max_score:double>"
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?a:\b)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?a:\b)")
+_SSN = re.compile(r"(?a:\b)[0-9]{3}-[0-9]{2}-[0-9]{4}(?a:\b)")
+_BIRTH = re.compile(r"(?a:\b)(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2})(?a:\b)")
+_ACCOUNT = re.compile(r"(?a:\b)[0-9]{8,12}(?a:\b)")
 #: Characters of an IBAN by its country.
 _IBAN_LENGTHS = {c: n for n, cs in {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
@@ -55,14 +67,14 @@ def mod97(iban: str) -> bool:
 
 
 def _emails(text: str):
-    # Each @ is reached once; what stands left of it goes back to the last match at most, so long words cost no more than their length.
+    # From each @ to the left as far as characters of a local part go, the last match at most: no @ is one, so every
+    # character is passed once and a text costs no more than its length.
     done = 0
     for m in _DOMAIN.finditer(text):
-        at = m.start()
-        if at < done:
-            continue
-        left = at - _LOCAL.match(text[done:at][::-1]).end()
-        if left < at:
+        left = at = m.start()
+        while left > done and text[left - 1] in _LOCAL:
+            left -= 1
+        if done <= left < at:
             yield left, m.end()
             done = m.end()
 
@@ -86,7 +98,19 @@ def _ibans(text: str):
 
 def _score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
     near = (text[max(0, start - REACH) : start] + " " + text[end : end + REACH]).lower()
-    return round(0.4 + 0.4 * confirmed + 0.2 * any(w in near for w in CONTEXT[kind]), 2)
+    return round(0.4 + 0.4 * confirmed + 0.2 * any(w in near for w in CONTEXT[kind]) - 0.2 * any(w in near for w in AGAINST.get(kind, ())), 2)
+
+
+def _added(text: str):
+    """Proposals of the kinds that are not of the base: kind, start, end, confirmed by a checksum."""
+    for a, b in _ibans(text):
+        yield "iban", a, b, True
+    for m in _SSN.finditer(text):
+        if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
+            yield "ssn", m.start(), m.end(), False
+    for kind, rx in (("birth", _BIRTH), ("account", _ACCOUNT)):
+        for m in rx.finditer(text):
+            yield kind, m.start(), m.end(), False
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -107,9 +131,9 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                 found.append(("phone", m.start(), m.end(), _score("phone", text, m.start(), m.end(), False)))
-    for a, b in _ibans(text):
-        if (score := _score("iban", text, a, b, True)) >= ADDED_SCORE:
-            found.append(("iban", a, b, score))
+    for kind, a, b, sure in _added(text):
+        if (score := _score(kind, text, a, b, sure)) >= ADDED_SCORE:
+            found.append((kind, a, b, score))
     return found
 
 
@@ -143,17 +167,21 @@ def _digests(text: pd.Series) -> pd.DataFrame:
         n = [sum(s[0] == k for s in found) for k in KINDS[:4]]
         each = [f"{k}:{a}:{b}" for k, a, b, _ in found]
         base = ",".join(each[: sum(n)])
-        rows.append((*n, hashlib.sha256(base.encode()).hexdigest(), ",".join(each), max((s[3] for s in found), default=None)))
-    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "max_score"])
+        rows.append((*n, hashlib.sha256(base.encode()).hexdigest(), ",".join(each), ",".join(f"{s[3]:.1f}" for s in found), max((s[3] for s in found), default=None)))
+    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores", "max_score"])
 
 
 def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, spans`` with kind, start, end and score of each span; other columns are ignored."""
+    """``doc_id, spans`` with kind, start, end and score of each span; other columns are ignored.
+
+    Null and empty texts have none. Long texts are searched whole, in time that grows with their length. Spans of
+    different kinds may overlap and all stay; repeated rows stay.
+    """
     return docs.select(F.col(doc_id).alias("doc_id"), pandas_udf(_span_lists, SPANS)(F.col(text).cast("string")).alias("spans"))
 
 
 def redact(text: Column) -> Column:
-    """The text with its personal data replaced; null stays null."""
+    """The text with its personal data replaced by its kind; null and empty texts stay as they are. Of spans that overlap the first stands for all."""
     return pandas_udf(_redacted, "string")(text.cast("string"))
 
 
@@ -174,12 +202,16 @@ def _sql() -> str:
             "list_reduce([c::INT FOR c IN string_split(array_to_string([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END FOR c IN string_split(substr(replace(x, ' ', ''), 5) || substr(replace(x, ' ', ''), 1, 4), '')], ''), '')], lambda a, b: (a * 10 + b) % 97) = 1",
         ),
     }
-    sure = {"email": 1, "ip": 0, "card": 1, "phone": 0, "iban": 1}
+    kinds["ssn"] = (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "substr(x, 1, 3) NOT IN ('000', '666') AND substr(x, 1, 1) <> '9' AND substr(x, 5, 2) <> '00' AND substr(x, 8) <> '0000'")
+    kinds["birth"] = (r"\b(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2})\b", "true")
+    kinds["account"] = (r"\b[0-9]{8,12}\b", "true")
+    sure = {"email": 1, "ip": 0, "card": 1, "phone": 0, "iban": 1, "ssn": 0, "birth": 0, "account": 0}
     parts = []
     for k, (kind, (rx, test)) in enumerate(kinds.items()):
         near = " OR ".join(f"contains(nr, '{w}')" for w in CONTEXT[kind])
+        against = " OR ".join(f"contains(nr, '{w}')" for w in AGAINST.get(kind, ())) or "false"
         parts.append(
-            f"""SELECT rid, {k} AS k, '{kind}' AS kind, a, a + length(x) AS b, round(0.4 + 0.4 * {sure[kind]} + CASE WHEN {near} THEN 0.2 ELSE 0 END, 2) AS score FROM
+            f"""SELECT rid, {k} AS k, '{kind}' AS kind, a, a + length(x) AS b, round(0.4 + 0.4 * {sure[kind]} + CASE WHEN {near} THEN 0.2 ELSE 0 END - CASE WHEN {against} THEN 0.2 ELSE 0 END, 2) AS score FROM
       (SELECT rid, x, a, regexp_replace(x, '[^0-9]', '', 'g') AS dg, reverse(regexp_replace(x, '[^0-9]', '', 'g')) AS rv,
               lower(substr(t, greatest(1, a - {REACH - 1}), a - greatest(1, a - {REACH - 1}) + 1) || ' ' || substr(t, a + length(x) + 1, {REACH})) AS nr FROM
        (SELECT rid, t, m[i] AS x, (list_sum([length(y) FOR y IN p[1:i]]) + coalesce(list_sum([length(y) FOR y IN m[1:i - 1]]), 0))::BIGINT AS a FROM
@@ -188,9 +220,10 @@ def _sql() -> str:
     counts = ", ".join(f"count(*) FILTER (s.k = {k})::BIGINT AS n_{kind}" for k, kind in enumerate(KINDS[:4]))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-s AS ({" UNION ALL ".join(parts)})
+s AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE k < 4 OR score >= {ADDED_SCORE})
 SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) FILTER (k < 4), '')) AS base_sha256,
-       coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a), '') AS spans, max(score)::DOUBLE AS max_score
+       coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a), '') AS spans,
+       coalesce(string_agg(printf('%.1f', score::DOUBLE), ',' ORDER BY k, a), '') AS scores, max(score)::DOUBLE AS max_score
 FROM d LEFT JOIN s USING (rid) GROUP BY d.rid, d.doc_id
 """
 
