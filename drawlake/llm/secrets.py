@@ -16,7 +16,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import table, whole
+from drawlake.llm.common import materialize, table, whole
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ru
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"))
     d = d.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = candidates(d.select("key", F.lower("text").alias("low")), rules)
+    # Written, so that the join knows how few the candidates are: texts stay where they are while a broadcast holds them, and
+    # beyond that both sides are shuffled and hot keys can be split.
+    found = materialize(candidates(d.select("key", F.lower("text").alias("low")), rules), "secret-candidates")
     d = d.join(found, "key", "left")
     stretch, names = 0, []
     for rank, rule in enumerate(rules):
