@@ -1,10 +1,10 @@
 """Embedding near-duplicates: an HNSW graph per shard, every shard queried, audited beams, verified cosine, union.
 
 Equal vectors of a label are one node with a count. A label's nodes are dealt to shards by hash; each shard's vectors
-and graph become one row of the index table. Every shard's vectors are then the queries of every shard of their label:
-one row for each pair of shards, so that a task holds two shards at a time. For a fixed sample of queries the shard is
-also searched by brute force, and beams widen until they find what it finds. Links are verified in double precision;
-a pair of shards gives each query's number of links and a spanning set of the links, never all pairs.
+and graph become one row of the index table. Every shard's vectors are then the queries of its own shard and all before
+it, and a link counts at both ends: one row for each pair of shards, so that a task holds two shards at a time. A sample
+of queries is also searched by brute force, and beams widen until they find what it finds. Links are verified in double
+precision; a pair of shards gives each vector's number of links and a spanning set of the links, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from drawlake.llm.hnsw import Hnsw
 COSINE = 0.98
 #: Vectors of a shard, about, and bytes of them: what a task holds twice.
 SHARD, SHARD_BYTES = 20_000, 64_000_000
-#: First beam, queries of a pair of shards that are audited, and the recall they must reach.
-BEAM, AUDITED, RECALL = 32, 96, 0.995
+#: First beam, the beam where no audited query has a link, audited queries with links of a pair of shards, and the recall they must reach.
+BEAM, WITHOUT_EVIDENCE, AUDITED, RECALL = 32, 64, 96, 0.995
 
 
 def _units(v: np.ndarray) -> np.ndarray:
+    """Unit vectors; the greatest component goes first, so that squares neither vanish nor overflow."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -39,22 +41,46 @@ def _indexed(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row], columns=["label", "dim", "shard", "shards", "nodes", "copies", "vectors", "graph"])
 
 
-def audited_links(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links (query, node) between double-precision unit vectors; beams double until the audit passes."""
+def _audit(unit: np.ndarray, q: np.ndarray, least: float, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``queries, true links of each`` by brute force: batches of queries until AUDITED of them have a link, an eighth of all at most."""
+    order = np.random.default_rng(0).permutation(len(q))
+    most, done, asked, truth = max(AUDITED, len(q) // 8), 0, [], []
+    while done < min(most, len(q)) and sum(map(np.count_nonzero, truth)) < AUDITED:
+        part = order[done : done + 2 * AUDITED]
+        hit = q[part] @ unit.T >= least
+        if skip_self:
+            hit[np.arange(len(part)), part] = False
+        asked.append(part)
+        truth.append(hit.sum(1))
+        done += len(part)
+    return np.concatenate(asked), np.concatenate(truth)
+
+
+def audited_links(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, skip_self: bool) -> tuple[np.ndarray, np.ndarray, float | None]:
+    """Verified links (query, node) between double-precision unit vectors, and the recall that the last audit saw.
+
+    Beams double until the audited queries find, on average over those that have links at all, RECALL of their links: a
+    large group of copies weighs no more than a small one. Where no audited query has a link, recall is None and the
+    beam is WITHOUT_EVIDENCE.
+    """
     q32 = q.astype(np.float32)
-    audit = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)  # queries are in random order
-    truth = int((q[audit] @ unit.T >= least).sum())
-    width = BEAM
+    asked, truth = _audit(unit, q, least, skip_self) if len(q) else (np.zeros(0, int), np.zeros(0, int))
+    some = truth > 0
+    width, recall = (BEAM if some.any() else WITHOUT_EVIDENCE), None
     while True:
         a, b = index.within(q32, least, width)
         sure = np.einsum("ij,ij->i", q[a], unit[b]) >= least if len(a) else np.zeros(0, bool)
         a, b = a[sure], b[sure]
-        if width >= len(unit) or np.isin(a, audit).sum() >= RECALL * truth:
+        if skip_self:
+            a, b = a[a != b], b[a != b]
+        if not some.any():
+            break
+        found = np.bincount(a, minlength=len(q))[asked[some]]
+        recall = float((found / truth[some]).mean())
+        if width >= len(unit) or recall >= RECALL:
             break
         width *= 2
-    if skip_self:
-        a, b = a[a != b], b[a != b]
-    return a, b
+    return a, b, recall
 
 
 def _spanning(pairs: list[tuple[int, int]], n: int) -> np.ndarray:
@@ -83,20 +109,20 @@ def _searched(least: float):
 
 
 def _pair(p, least: float) -> pd.DataFrame:
-    """One shard's vectors as queries of another: ``node, links, root`` of each node that has a link here."""
+    """One shard's vectors as queries of another, once for both: ``node, links, root, recall`` of each node that has a link here."""
     same = p.shard == p.q_shard
     unit = _units(np.frombuffer(p.vectors).reshape(-1, p.dim))
     q = unit if same else _units(np.frombuffer(p.q_vectors).reshape(-1, p.dim))
-    a, b = audited_links(Hnsw.load(p.graph, unit.astype(np.float32)), unit, q, least, same)
-    links = np.bincount(a, np.frombuffer(p.copies, np.int64)[b], minlength=len(q)).astype(np.int64)
-    names = np.frombuffer(p.nodes, "V16")
-    if not same:  # queries come first, the shard's own after them
+    a, b, recall = audited_links(Hnsw.load(p.graph, unit.astype(np.float32)), unit, q, least, same)
+    copies, names = np.frombuffer(p.copies, np.int64), np.frombuffer(p.nodes, "V16")
+    links = np.bincount(a, copies[b], minlength=len(q))
+    if not same:  # queries come first, the shard's own after them, and each end of a link counts it
+        links = np.concatenate([links, np.bincount(b, np.frombuffer(p.q_copies, np.int64)[a], minlength=len(unit))])
         names = np.concatenate([np.frombuffer(p.q_nodes, "V16"), names])
         b = b + len(q)
-        links = np.concatenate([links, np.zeros(len(unit), np.int64)])
     root = _spanning(list(zip(a.tolist(), b.tolist(), strict=True)), len(names))
     met = np.unique(np.concatenate([a, b]))
-    return pd.DataFrame({"node": [x.tobytes() for x in names[met]], "links": links[met], "root": [x.tobytes() for x in names[root[met]]]})
+    return pd.DataFrame({"node": [x.tobytes() for x in names[met]], "links": links[met].astype(np.int64), "root": [x.tobytes() for x in names[root[met]]], "recall": recall})
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
@@ -121,9 +147,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     index = dealt.groupBy("label", "dim", "shard").applyInPandas(_indexed, "label string, dim int, shard int, shards int, nodes binary, copies binary, vectors binary, graph binary")
     index = materialize(index, "hnsw")
 
-    queries = index.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("shard").alias("q_shard"), F.col("nodes").alias("q_nodes"), F.col("vectors").alias("q_vectors"))
-    pairs = index.join(queries, ["label", "dim", "shard"]).select("dim", "shard", "nodes", "copies", "vectors", "graph", "q_shard", "q_nodes", "q_vectors")
-    found = materialize(pairs.mapInPandas(_searched(cosine), "node binary, links long, root binary"), "vector-links")
+    queries = index.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("shard"), F.col("shard").alias("q_shard"), F.col("nodes").alias("q_nodes"), F.col("copies").alias("q_copies"), F.col("vectors").alias("q_vectors"))
+    pairs = index.join(queries, ["label", "dim", "shard"]).select("dim", "shard", "nodes", "copies", "vectors", "graph", "q_shard", "q_nodes", "q_copies", "q_vectors")
+    found = materialize(pairs.mapInPandas(_searched(cosine), "node binary, links long, root binary, recall double"), "vector-links")
 
     grouped = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
