@@ -2,13 +2,15 @@
 
 Calls and results meet by (conversation, call id) in one hash join with pre-aggregated peers, so that repeated ids
 never multiply rows. Calls name the calls they depend on; where all of those are earlier turns the turn order is a
-topological order already, and only conversations in which one is not are ordered wave by wave. Arguments are held
+topological order already, and only conversations in which one is not are ordered by what they wait for. Arguments are held
 against the tool's schema, and every turn becomes one canonical JSON object (sorted keys, no blanks).
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,39 +19,106 @@ from pyspark.sql.functions import pandas_udf
 
 from drawlake.llm.common import materialize, table
 
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: Depth of arrays and objects that arguments may have.
+DEEPEST = 64
+#: Calls of a conversation that one task orders; larger conversations are ordered wave by wave.
+CONVERSATION = 100_000
+_TYPES = {"string": str, "integer": (int, float), "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+_ANNOTATIONS = {"$schema", "$id", "title", "description", "default", "examples"}
+_KEYWORDS = {"type", "enum", "const", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "anyOf", "oneOf", "allOf", "not"}
 
 
-def valid(value, schema: dict) -> bool:
-    """A value under the subset of JSON Schema that tool arguments use: type, enum, minLength, minimum, required, properties, additionalProperties, items."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return False
-    if "enum" in schema and value not in schema["enum"]:
+def check_schema(schema: dict | bool) -> None:
+    """ValueError for a schema that ``valid`` does not understand in full: an unknown keyword or type, or a pattern that is none."""
+    if isinstance(schema, bool):
+        return
+    if unknown := set(schema) - _KEYWORDS - _ANNOTATIONS:
+        raise ValueError(f"unknown keywords in a tool's schema: {sorted(unknown)}")
+    kinds = schema.get("type", [])
+    if unknown := set([kinds] if isinstance(kinds, str) else kinds) - set(_TYPES):
+        raise ValueError(f"unknown types in a tool's schema: {sorted(unknown)}")
+    try:
+        re.compile(schema.get("pattern", ""))
+    except re.error as e:
+        raise ValueError(f"not a pattern: {schema['pattern']!r}") from e
+    parts = [*schema.get("properties", {}).values(), *schema.get("anyOf", ()), *schema.get("oneOf", ()), *schema.get("allOf", ())]
+    for part in [*parts, *(schema[k] for k in ("items", "additionalProperties", "not") if k in schema)]:
+        check_schema(part)
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: numbers by value, and true is no number."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("integer", "number") and isinstance(value, bool):
         return False
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
+    return isinstance(value, _TYPES[kind]) and (kind != "integer" or value == int(value))
+
+
+def valid(value, schema: dict | bool) -> bool:
+    """A value under the part of JSON Schema that ``check_schema`` accepts."""
+    if isinstance(schema, bool):
+        return schema
+    kinds = schema.get("type")
+    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return False
-    if isinstance(value, int | float) and value < schema.get("minimum", value):
+    if "enum" in schema and not any(_same(value, v) for v in schema["enum"]) or "const" in schema and not _same(value, schema["const"]):
         return False
-    if isinstance(value, list):
-        return all(valid(v, schema.get("items", {})) for v in value)
-    if isinstance(value, dict):
-        own = schema.get("properties", {})
-        if any(k not in value for k in schema.get("required", ())) or not schema.get("additionalProperties", True) and any(k not in own for k in value):
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)) or "pattern" in schema and not re.search(schema["pattern"], value):
+            return False
+    elif _is(value, "number"):
+        if not schema.get("minimum", value) <= value <= schema.get("maximum", value) or "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"] or "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+            return False
+    elif isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)) or not all(valid(v, schema.get("items", True)) for v in value):
+            return False
+    elif isinstance(value, dict):
+        own, rest = schema.get("properties", {}), schema.get("additionalProperties", True)
+        if any(k not in value for k in schema.get("required", ())) or not all(valid(v, own.get(k, rest)) for k, v in value.items()):
             return False
-        return all(valid(v, own[k]) for k, v in value.items() if k in own)
-    return True
+    if not all(valid(value, s) for s in schema.get("allOf", ())) or "anyOf" in schema and not any(valid(value, s) for s in schema["anyOf"]):
+        return False
+    return ("oneOf" not in schema or sum(valid(value, s) for s in schema["oneOf"]) == 1) and ("not" not in schema or not valid(value, schema["not"]))
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[{\]}]', re.S)
+
+
+def _no_number(text: str):
+    raise ValueError(text)
+
+
+def _finite(text: str) -> float:
+    number = float(text)
+    return number if math.isfinite(number) else _no_number(text)
 
 
 def _parsed(text: str | None):
+    """``(value, True)``, or ``(None, False)`` for what is no JSON text, goes too deep, or holds what no JSON text in UTF-8 can: NaN, infinities, lone surrogates."""
+    depth = 0
+    for m in _MARK.finditer(text or ""):
+        depth += (m[0] in "[{") - (m[0] in "]}")
+        if depth > DEEPEST:
+            return None, False
     try:
-        return json.loads(text)
-    except (TypeError, ValueError):
-        return None
+        value = json.loads(text, parse_constant=_no_number, parse_float=_finite)
+        canonical(value).encode()
+    except (TypeError, ValueError):  # UnicodeEncodeError is a ValueError
+        return None, False
+    return value, True
 
 
 def _serialise(schemas: dict[str, dict]):
@@ -57,9 +126,9 @@ def _serialise(schemas: dict[str, dict]):
         rows = []
         for k, r, c, n, a, t in zip(kind, role, call_id, name, arguments, content, strict=True):
             if k == "call":
-                args = _parsed(a)
-                ok = n in schemas and valid(args, schemas[n])
-                rows.append((ok, canonical({"role": r, "tool_call": {"arguments": a if args is None else args, "id": c, "name": n}})))
+                args, there = _parsed(a)
+                ok = there and n in schemas and valid(args, schemas[n])
+                rows.append((ok, canonical({"role": r, "tool_call": {"arguments": args if there else a, "id": c, "name": n}})))
             else:
                 body = {"content": t, "role": r}
                 rows.append((None, canonical(body | ({"tool_call_id": c} if k == "result" else {}))))
@@ -68,15 +137,57 @@ def _serialise(schemas: dict[str, dict]):
     return f
 
 
-def _waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``conv_id, call_id, wave``: 0 for calls that wait for none, else one more than what they wait for; those on a cycle are missing."""
-    left, done, wave = materialize(nodes.distinct(), "calls"), None, 0
+def _ordered(links: pd.DataFrame) -> pd.DataFrame:
+    """Calls of one conversation with what they wait for (null: nothing) -> their waves; calls on a cycle or behind one are missing."""
+    waits: dict = {}
+    for call, parent in zip(links["call_id"], links["parent"], strict=True):
+        waits.setdefault(call, set())
+        if parent is not None:
+            waits[call].add(parent)
+    behind: dict = {}
+    for call, parents in waits.items():
+        for p in parents:
+            behind.setdefault(p, []).append(call)
+    left = {call: len(parents) for call, parents in waits.items()}
+    done, ready = [], [call for call, n in left.items() if n == 0]
+    wave = 0
+    while ready:
+        done += [(call, wave) for call in ready]
+        after = []
+        for call in ready:
+            for b in behind.get(call, ()):
+                left[b] -= 1
+                if left[b] == 0:
+                    after.append(b)
+        ready, wave = after, wave + 1
+    found = pd.Series(dict(done), dtype="int32")
+    out = links.drop_duplicates("call_id")
+    return out[out["call_id"].isin(found.index)][["conv_id", "call_id"]].assign(wave=lambda d: d["call_id"].map(found).astype("int32"))
+
+
+def _waves(nodes: DataFrame, edges: DataFrame, most: int = CONVERSATION) -> DataFrame:
+    """``conv_id, call_id, wave``: 0 for calls that wait for none, else one more than the last they wait for; those on a cycle, or behind one, are missing.
+
+    A conversation of up to ``most`` calls and links is ordered in one task. Larger ones go wave by wave, in joins whose
+    rounds are as many as the longest chain of the largest conversations; the result is the same.
+    """
+    links = nodes.distinct().withColumn("parent", F.lit(None).cast(nodes.schema["call_id"].dataType)).unionByName(edges.select("conv_id", "call_id", "parent"))
+    links = materialize(links, "tool-links")
+    large = links.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("conv_id")
+    large = materialize(large, "large-conversations")
+    schema = f"conv_id {dict(nodes.dtypes)['conv_id']}, call_id {dict(nodes.dtypes)['call_id']}, wave int"
+    done = links.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_ordered, schema)
+    if large.isEmpty():
+        return done
+    links = links.join(large, "conv_id", "left_semi")
+    edges = materialize(links.where("parent IS NOT NULL"), "tool-links")
+    left, wave = materialize(links.select("conv_id", "call_id").distinct(), "calls"), 0
     while True:
         waiting = edges.join(left.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi").select("conv_id", "call_id").distinct()
         ready = materialize(left.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("wave", F.lit(wave)), "ready")
-        done = ready if done is None else done.unionByName(ready)
         if ready.isEmpty():
             return done
+        done = done.unionByName(ready)
         left = materialize(left.join(ready, ["conv_id", "call_id"], "left_anti"), "calls")
         wave += 1
 
@@ -89,8 +200,13 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     status is answered or unanswered for calls, linked or orphan for results, message else; result_turn is the
     first result's turn; wave orders a conversation's calls before their turn does (0 where turns already do, null on
     a cycle). A null or repeated id: rows stay as they are, a null id links with nothing, and repeated ids share
-    their first result. Unknown tools and arguments that are no JSON are not valid. Other columns are ignored.
+    their first result. Not valid, and kept as the raw text, are arguments that are no JSON, nest deeper than DEEPEST, or
+    hold NaN, an infinity or a lone surrogate; unknown tools are not valid either. Of a repeated key the last value
+    counts. A schema with a keyword or type that is not understood is refused (ValueError). Long texts and repeated rows
+    stay as they are; an empty table gives an empty result. Other columns are ignored.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     t = turns.select("conv_id", "turn", "role", "kind", "call_id", "name", "arguments", "parents", "content")
     peers = (
         t.where("call_id IS NOT NULL AND kind IN ('call', 'result')")
@@ -123,25 +239,27 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 def tool_turns(conversations: DataFrame) -> DataFrame:
     """Turns of a chat log as ``link_tool_calls`` takes them.
 
-    A user's turn is a call of the tool ``respond`` that waits for the call two turns before it; the assistant's next
-    turn is its result. Everything else is a message.
+    A user's turn is a call of the tool ``respond``; the assistant's next turn is its result. A call of an odd number of
+    characters waits for the user's next turn, one of a multiple of seven for the last, so that calls come out of order
+    and on cycles. Everything else is a message.
     """
     call_of = lambda turn: F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")))
     turn = F.col("turn")
     kind = F.when(F.col("conv_id").isNull() | turn.isNull(), F.lit("message")).when(F.col("role") == "user", F.lit("call")).when(F.col("role") == "assistant", F.lit("result")).otherwise(F.lit("message"))
     text = F.coalesce(F.col("text"), F.lit(""))
+    waits = F.array_compact(F.array(F.when(F.length(text) % 2 == 1, call_of(turn + 2)), F.when(F.length(text) % 7 == 0, call_of(turn - 2))))
     return conversations.select("conv_id", "turn", "role", "text").withColumn("kind", kind).select(
         "conv_id", "turn", "role", "kind",
         F.when(F.col("kind") == "call", call_of(turn)).when(F.col("kind") == "result", call_of(turn - 1)).alias("call_id"),
         F.when(F.col("kind") == "call", F.lit("respond")).alias("name"),
         F.when(F.col("kind") == "call", F.to_json(F.struct(text.alias("prompt"), turn.alias("turn")))).alias("arguments"),
-        F.when(F.col("kind") == "call", F.array(call_of(turn - 2))).alias("parents"),
+        F.when(F.col("kind") == "call", waits).alias("parents"),
         text.alias("content"),
     )
 
 
 #: The schema of the tool above.
-SCHEMAS = {"respond": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}}
+SCHEMAS = {"respond": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 1000}, "turn": {"type": "integer", "minimum": 0}}}}
 
 
 def op5_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,17 +267,23 @@ def op5_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
   CASE WHEN conv_id IS NULL OR turn IS NULL THEN 'message' WHEN role = 'user' THEN 'call' WHEN role = 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations),
 c AS (SELECT *, CASE kind WHEN 'call' THEN md5(conv_id || ':' || turn) WHEN 'result' THEN md5(conv_id || ':' || (turn - 1)) END AS call_id FROM t),
 p AS (SELECT call_id, bool_or(kind = 'call') AS has_call, bool_or(kind = 'result') AS has_result, min(CASE WHEN kind = 'result' THEN turn END) AS result_turn
-      FROM c WHERE call_id IS NOT NULL GROUP BY call_id)
-SELECT conv_id, turn, role, kind, c.call_id,
+      FROM c WHERE call_id IS NOT NULL GROUP BY call_id),
+k AS (SELECT DISTINCT conv_id, call_id, turn, length(text) AS n FROM c WHERE kind = 'call'),
+e AS (SELECT a.conv_id, a.call_id, b.call_id AS parent, b.turn >= a.turn AS late FROM k a JOIN k b ON a.conv_id = b.conv_id AND (a.n % 2 = 1 AND b.turn = a.turn + 2 OR a.n % 7 = 0 AND b.turn = a.turn - 2)),
+m AS (SELECT conv_id, count(DISTINCT call_id) AS calls FROM k GROUP BY conv_id),
+r AS (SELECT conv_id, call_id, 0 AS d FROM k UNION SELECT e.conv_id, e.call_id, r.d + 1 FROM r JOIN e ON r.conv_id = e.conv_id AND r.call_id = e.parent JOIN m ON m.conv_id = e.conv_id WHERE r.d < m.calls),
+w AS (SELECT r.conv_id, r.call_id, CASE WHEN max(d) < max(m.calls) THEN max(d) END AS wave FROM r JOIN m USING (conv_id) GROUP BY ALL),
+o AS (SELECT DISTINCT conv_id FROM e WHERE late)
+SELECT c.conv_id, turn, role, kind, c.call_id,
   CASE kind WHEN 'call' THEN CASE WHEN has_result THEN 'answered' ELSE 'unanswered' END WHEN 'result' THEN CASE WHEN has_call THEN 'linked' ELSE 'orphan' END ELSE 'message' END AS status,
   CASE WHEN kind = 'call' THEN p.result_turn END AS result_turn,
-  CASE WHEN kind = 'call' THEN 0 END AS wave,
-  CASE WHEN kind = 'call' THEN length(text) >= 1 AND turn >= 0 END AS args_valid,
+  CASE WHEN kind = 'call' THEN CASE WHEN o.conv_id IS NULL THEN 0 ELSE w.wave END END AS wave,
+  CASE WHEN kind = 'call' THEN length(text) BETWEEN 1 AND 1000 AND turn >= 0 END AS args_valid,
   CASE WHEN kind = 'call' THEN '{"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"tool_call":{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || c.call_id || '","name":"respond"}}'
        ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || CASE WHEN kind = 'result' THEN ',"tool_call_id":"' || c.call_id || '"' ELSE '' END || '}' END AS json
-FROM c LEFT JOIN p USING (call_id)
+FROM c LEFT JOIN p USING (call_id) LEFT JOIN w ON w.conv_id = c.conv_id AND w.call_id = c.call_id LEFT JOIN o ON o.conv_id = c.conv_id
 """
