@@ -281,9 +281,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             ),
         )
     )
-    w = w.select("node", "comp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), meets.alias("meets"))
-    texts = d.join(w, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-    texts = texts.select("node", "comp", "text", F.explode("meets").alias("m")).select("node", "comp", "text", "m.*")
+    w = w.select("node", "comp", _name(F.col("rep.doc_id"), F.col("rep.text_key")).alias("name"), meets.alias("meets"))
+    # A row that repeats is one before its text moves: the first step of this aggregate runs where the rows are read.
+    once = d.select(_name(F.col("doc_id"), F.col("text_key")).alias("name"), "text").dropDuplicates(["name"])
+    texts = once.join(w, "name").select("node", "comp", "text", F.explode("meets").alias("m")).select("node", "comp", "text", "m.*")
     links = texts.groupBy("block").applyInPandas(_verified(words, percent), "a binary, b binary")
     grouped = components(links)
 
@@ -296,6 +297,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "group")
 
 
+def _name(doc_id: Column, text_key: Column) -> Column:
+    """A hash that names a row by id and text; null ids are ids."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.hex(text_key))))
+
+
 def kept() -> Column:
     """One of each component stays: the smallest doc_id."""
     return F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -308,11 +314,10 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "
     """
     found = near_duplicates(docs, text, doc_id, **params)
     best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("w"))
-    name = lambda i, k: F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), F.hex(k)))
-    best = best.select(name(F.col("w.doc_id"), F.col("w.text_key")).alias("name"))
+    best = best.select(_name(F.col("w.doc_id"), F.col("w.text_key")).alias("name"))
     t = whole(F.col(text))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.rlike(WORD).alias("worded"), name(F.col(doc_id), F.unhex(F.md5(t))).alias("name"))
-    one = d.where("worded").join(best, "name", "left_semi").dropDuplicates(["name"])
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.rlike(WORD).alias("worded"), _name(F.col(doc_id), F.unhex(F.md5(t))).alias("name"))
+    one = d.where("worded").dropDuplicates(["name"]).join(best, "name", "left_semi")
     return one.select("row").unionByName(d.where("NOT worded").select("row")).select("row.*")
 
 
