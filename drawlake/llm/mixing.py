@@ -1,10 +1,11 @@
 """Mixing sources to target weights: hash-random keys, distributed prefix sums, exact cuts.
 
-A source's documents are put in a random but repeatable order by the MD5 of their id. The key's first
-hex digits are range buckets of that order. Sizes are summed per (source, bucket); a running sum over the
-buckets and one inside each bucket give every document the number of words before it, so that no task ever
-holds a whole source. A source's budget is then cut exactly: ``budget div size`` full epochs, and one more
-pass that stops inside the document where the budget ends.
+A source's documents are put in a random but repeatable order by the MD5 of their id and text. Rows of equal id and
+text are one row with a count from the start, so that neither a bulk of null ids nor a row that repeats a million times
+is a task of its own. The key's first hex digits are range buckets of that order. Sizes are summed per (source,
+bucket); a running sum over the buckets and one inside each bucket give every document the number of words before it,
+so that no task ever holds a whole source. A source's budget is then cut exactly: ``budget div size`` full epochs, and
+one more pass that stops inside the document where the budget ends.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import table, whole, word_count
+from drawlake.llm.common import materialize, table, whole, word_count
 
 #: Documents of a (source, bucket) at most, about: the unit of the second prefix sum.
 ROWS_PER_BUCKET = 2000
@@ -25,7 +26,8 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: in
 
     Weights repeat over the sources by code point, null last, and share the sum of all sizes; a target stops
     at ``cap`` times its source's size and what is over goes to the others by weight. Sources in the order of
-    size per weight reach their cap first, so that running sums in that order say which do.
+    size per weight reach their cap first, so that running sums in that order say which do. One row a source, in one
+    task: sources are a vocabulary (a million of them would still be 50 MB), not hosts or documents.
     """
     everything = Window.partitionBy()
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -43,6 +45,42 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: in
     return w.select("source", "source_size", F.when(F.col("capped"), limit.cast("double")).otherwise(shared).alias("target"))
 
 
+def _name(source: Column) -> Column:
+    """A source as a key that is never null, so that a null source joins like others."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    """The hash that orders a source's documents: rows that differ in id or text have different ones."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(whole(text))))
+
+
+def _cuts(docs: DataFrame, text: str, source: str, doc_id: str, weights: tuple[int, ...], cap: int, rows_per_bucket: int, tie: Column | None = None) -> DataFrame:
+    """One row for rows of equal id, text and ``tie``: ``key, tie, doc_id, size, n`` (how many), source_size, target, ``epochs`` of each and ``rest``, the words left for the last pass of the first of them."""
+    ids = docs.select(
+        _name(F.col(source)).alias("name"),
+        F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"),
+        _key(F.col(doc_id), F.col(text)).alias("key"), (F.lit(0).cast("long") if tie is None else tie).alias("tie"),
+    )
+    # Written, so that texts are cut into words once; equal rows meet before they are shuffled.
+    ids = materialize(ids.groupBy("name", "source", "doc_id", "size", "key", "tie").agg(F.count("*").alias("n")), "mix-sizes")
+    digits = max(1, math.ceil(math.log(max(ids.count() / rows_per_bucket, 1), 16)))
+    d = ids.withColumn("bucket", F.substring("key", 1, digits))
+
+    sums = d.groupBy("name", "source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("bucket_size"))
+    earlier = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("source").join(goals.select(_name(F.col("source")).alias("name"), "source_size", "target"), "name")
+
+    d = d.join(offsets.select("name", "bucket", "offset", "source_size", "target"), ["name", "bucket"])
+    inside = Window.partitionBy("name", "bucket").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))
+    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(F.lit(0))
+    d = d.withColumn("before", before).withColumn("epochs", epochs)
+    rest = F.floor(F.col("target") + 0.5) - F.col("epochs") * F.col("source_size") - F.col("before")
+    return d.select("key", "tie", "doc_id", "size", "n", "source_size", "target", "epochs", rest.alias("rest"))
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -50,44 +88,34 @@ def mix(
     doc_id: str = "doc_id",
     weights: tuple[int, ...] = (5, 2, 1),
     cap: int = 3,
-    payload: Column | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each document (and ``row``, the payload, where one is given).
+    """``doc_id, size, source_size, target, taken`` for each document.
 
-    Null or empty texts have size 0 and take 0. A null source is a source of its own, last in order. Rows with
-    the same id follow each other by size and text; equal rows are interchangeable. An empty table gives an
-    empty result. Columns that are not named are ignored.
+    Null or empty texts have size 0 and take 0. A null source is a source of its own, last in order. Rows with the same
+    id and text follow each other and are interchangeable; those with a null id are documents like others. An empty
+    table gives an empty result. Columns that are not named are ignored.
     """
-    cols = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(whole(F.col(text))).alias("tie")]
-    d = docs.select(*cols, *([] if payload is None else [payload.alias("row")]))
-    digits = max(1, math.ceil(math.log(max(docs.count() / rows_per_bucket, 1), 16)))
-    d = d.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("key", 1, digits))
+    d = _cuts(docs, text, source, doc_id, weights, cap, rows_per_bucket)
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("copy") * F.col("size")))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).alias("o")
-    goals = goals.alias("g")
-    offsets = offsets.join(goals, F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.source", "o.bucket", "offset", "source_size", "target")
-
-    d, offsets = d.alias("d"), offsets.alias("o")
-    d = d.join(offsets, (F.col("d.bucket") == F.col("o.bucket")) & F.col("d.source").eqNullSafe(F.col("o.source"))).select("d.*", "offset", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    budget = F.floor(F.col("target") + 0.5)
-    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(F.lit(0))
-    last = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("before")))
-    out = ["doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken")]
-    return d.select(*out, *([] if payload is None else ["row"]))
 
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The documents as the mix takes them, their columns as they are: as many whole copies as ``taken`` goes into the size, rounded half up.
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The documents as the mix takes them: as many whole copies as ``taken`` goes into the size, rounded half up."""
-    named = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    m = mix(docs, payload=named, **params)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    return m.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
+    Documents without words are never taken. Whole rows move once, after the mix is known; rows that are equal in all
+    columns are one row until they are copied.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    tie = F.xxhash64(row)
+    d = _cuts(docs, text, source, doc_id, weights, cap, rows_per_bucket, tie)
+    # Of n equal rows the last pass takes so many whole ones, and one more if half of it or more is left.
+    last = F.least(F.col("n"), F.greatest(F.lit(0), F.floor(F.col("rest") / F.col("size") + 0.5)))
+    copies = d.where("size > 0").select("key", "tie", (F.col("epochs") * F.col("n") + last).cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select(_key(F.col(doc_id), F.col(text)).alias("key"), tie.alias("tie"), row.alias("row")).dropDuplicates(["key", "tie"])
+    return rows.join(copies, ["key", "tie"]).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +124,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+                  md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w FROM s),
 r AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0))::BIGINT AS rest,
