@@ -2,8 +2,9 @@
 
 A batch holds signed rows: inserts count +1 document and +tokens, deletes -1 and -tokens, and a revised count is
 a delete of the old row and an insert of the new one. Rows are summed to a delta per (source, lang, tokenizer)
-before they are written, so totals are sums of small tables. A batch is written under its own id, over whatever a
-failed try left there, and counts only once its marker exists; a batch whose marker exists is not written again.
+before they are written, so totals are sums of small tables. Every try of a batch writes a folder of its own; the
+batch's marker, which is made without overwriting, names the folder that counts. Of two drivers with the same batch
+one makes the marker and the other's folder is never read. Old batches are folded into a base total.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import materialize, shared_dir, table, whole, whole_text_batches, word_count
+from drawlake.llm.common import materialize, run_dir, table, whole, whole_text_batches, word_count
 
 KEYS = ("source", "lang", "tokenizer")
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,7 +36,7 @@ def _encoding(ranks: bytes, pattern: str):
 
 
 def token_count(spark: SparkSession, text: Column, path: str = TOKENIZER_FILE, pattern: str = PATTERN) -> Column:
-    """Tokens of a whole text under a byte-level BPE vocabulary; 0 for null and empty texts. The file is read by the driver."""
+    """Tokens of a whole text, however long, under a byte-level BPE vocabulary; 0 for null and empty texts. The file is read by the driver."""
     with open(path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary: under 1 MB whatever the data
 
@@ -47,7 +48,10 @@ def token_count(spark: SparkSession, text: Column, path: str = TOKENIZER_FILE, p
 
 
 def deltas(inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
-    """Rows of ``source, lang, tokenizer, tokens`` -> signed sums ``n_docs, n_tokens`` per key; null tokens count 0, null keys are keys."""
+    """Rows of ``source, lang, tokenizer, tokens`` -> signed sums ``n_docs, n_tokens`` per key.
+
+    Null tokens count 0, null keys are keys, repeated rows count as often as they are there; empty tables give no rows.
+    """
     if inserts is None and deletes is None:
         raise ValueError("a batch needs inserts or deletes")
     signed = [d.select(*KEYS, F.lit(s).cast("long").alias("n_docs"), (F.coalesce("tokens", F.lit(0)) * s).cast("long").alias("n_tokens")) for d, s in ((inserts, 1), (deletes, -1)) if d is not None]
@@ -56,7 +60,12 @@ def deltas(inserts: DataFrame | None = None, deletes: DataFrame | None = None) -
 
 
 class TokenRollup:
-    """Additive totals in a folder that all machines share."""
+    """Additive totals in a folder that all machines share.
+
+    ``batches/<id>/<try>`` holds deltas, ``commits/<id>`` the name of the try that counts, ``bases/<n>`` that of a folder
+    with the totals (``totals``) and the ids (``ids``) of the batches folded into it. A marker without content is torn: it
+    does not count, and the next commit of that batch replaces it. The file system must create files exclusively.
+    """
 
     SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -68,31 +77,81 @@ class TokenRollup:
         at = jvm.org.apache.hadoop.fs.Path(where)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    def _names(self, where: str) -> list[str]:
+        fs, at = self._fs(f"{self.path}/{where}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _read(self, where: str) -> str | None:
+        """A marker's content; None where there is none or it is torn."""
+        fs, at = self._fs(f"{self.path}/{where}")
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") or None
+        finally:
+            stream.close()
+
+    def _mark(self, where: str, content: str) -> bool:
+        """Make a marker; False if there is one with content already."""
+        fs, at = self._fs(f"{self.path}/{where}")
+        if fs.exists(at):
+            if self._read(where) is not None:
+                return False
+            fs.delete(at, False)
+        try:
+            out = fs.create(at, False)
+        except Exception:
+            if self._read(where) is None:  # no other driver was first: the file system failed
+                raise
+            return False
+        out.write(bytearray(content.encode()))
+        out.close()
+        return True
+
     def committed(self, batch: str) -> bool:
-        fs, at = self._fs(f"{self.path}/commits/{batch}")
-        return fs.exists(at)
+        return self._read(f"commits/{batch}") is not None
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch of deltas; False, and no change, if this batch id was committed before."""
+        """Add a batch of deltas; False, and no change, if this batch id was committed before or another driver was first."""
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
             raise ValueError(f"not a batch id: {batch!r}")
         if self.committed(batch):
             return False
         cols = [c.strip().split(" ") for c in self.SCHEMA.split(",")]
-        changes.select(*[F.col(n).cast(t) for n, t in cols]).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
-        fs, at = self._fs(f"{self.path}/commits/{batch}")
-        fs.create(at, True).close()
-        return True
+        own = uuid.uuid4().hex
+        changes.select(*[F.col(n).cast(t) for n, t in cols]).write.parquet(f"{self.path}/batches/{batch}/{own}")
+        return self._mark(f"commits/{batch}", own)
+
+    def _state(self) -> tuple[list[str], list[str], list[str]]:
+        """Folders to add up, the ids they hold of batches that are in no base, and all ids; names only, one a batch."""
+        paths, folded = [], set()
+        bases = [b for b in self._names("bases") if self._read(f"bases/{b}")]
+        if bases:
+            base = f"{self.path}/folded/{self._read(f'bases/{bases[-1]}')}"
+            paths.append(f"{base}/totals")
+            folded = {r["id"] for r in self.spark.read.schema("id string").parquet(f"{base}/ids").collect()}
+        new = {i: own for i in self._names("commits") if i not in folded and (own := self._read(f"commits/{i}"))}
+        return paths + [f"{self.path}/batches/{i}/{own}" for i, own in new.items()], sorted(new), sorted(folded | set(new))
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens`` over the committed batches; no rows before the first."""
-        fs, at = self._fs(f"{self.path}/commits")
-        ids = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-        if not ids:
+        paths, _, _ = self._state()
+        if not paths:
             return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/batches/{i}" for i in ids])
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*paths)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
+    def compact(self) -> bool:
+        """Fold the committed batches into a new base, so that totals read one table; False if there is nothing new or another driver was first."""
+        paths, new, every = self._state()
+        if not new:
+            return False
+        own = uuid.uuid4().hex
+        self.totals().write.parquet(f"{self.path}/folded/{own}/totals")
+        self.spark.createDataFrame([(i,) for i in every], "id string").write.parquet(f"{self.path}/folded/{own}/ids")
+        return self._mark(f"bases/{len(every):012d}", own)
+
 
 def versions(counts: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     """One row per document and tokenizer version from a table with a count column for each."""
@@ -103,20 +162,24 @@ def versions(counts: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under a word count and a byte-level BPE, less the repeats of a text (all but its smallest doc_id).
 
-    Batches: ``load`` inserts word counts, ``retokenize`` inserts those of the second tokenizer beside them, ``dedup`` deletes
-    repeats from both. No count is revised: the query shows inserts and deletes only. ``load`` is sent twice and counts once.
+    Batches: ``load`` inserts word counts, and a quarter of the characters as a first guess of the BPE's; ``revise``
+    deletes every guess and inserts the count of the tokenizer; ``dedup`` deletes repeats from both. ``load`` is sent
+    twice and counts once; what was committed by then is folded into a base.
     """
     whole_text_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    counts = docs.select("doc_id", "source", "lang", F.sha2(whole(F.col("text")), 256).alias("text_key"), word_count(F.col("text")).alias("words"), token_count(spark, F.col("text")).alias("bpe"))
+    text = F.col("text")
+    counts = docs.select("doc_id", "source", "lang", F.sha2(whole(text), 256).alias("text_key"), word_count(text).alias("words"), F.ceil(F.length(whole(text)) / 4).alias("guess"), token_count(spark, text).alias("bpe"))
     counts = materialize(counts, "token-counts")
     # Texts that occur once need no join; written, so that the join can split the rows of a frequent text.
     first = counts.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     first = materialize(first.select("text_key", "first_id"), "first-of-text")
     repeats = counts.join(first, "text_key").where("doc_id > first_id")
-    roll = TokenRollup(spark, f"{shared_dir(spark)}/drawlake/rollup-{uuid.uuid4().hex}")
-    roll.commit("load", deltas(inserts=versions(counts, {"words-1": "words"})))
-    roll.commit("retokenize", deltas(inserts=versions(counts, {"byte-bpe-50k": "bpe"})))
+    roll = TokenRollup(spark, f"{run_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    load = deltas(inserts=versions(counts, {"words-1": "words", "byte-bpe-50k": "guess"}))
+    roll.commit("load", load)
+    roll.commit("revise", deltas(inserts=versions(counts, {"byte-bpe-50k": "bpe"}), deletes=versions(counts, {"byte-bpe-50k": "guess"})))
+    roll.compact()
     roll.commit("dedup", deltas(deletes=versions(repeats, {"words-1": "words", "byte-bpe-50k": "bpe"})))
-    roll.commit("load", deltas(inserts=versions(counts, {"words-1": "words"})))
+    roll.commit("load", load)
     return roll.totals()
