@@ -76,6 +76,20 @@ class Condition:
         return over[self.statistic] > self.threshold if self.above else over[self.statistic] <= self.threshold
 
 
+@dataclass(frozen=True)
+class Binned:
+    """A statistic as the number of its thresholds that it is above: it compares with each of them as the statistic does."""
+
+    bin: Column
+    cuts: list[float]
+
+    def __gt__(self, threshold: float) -> Column:
+        return self.bin > self.cuts.index(threshold)
+
+    def __le__(self, threshold: float) -> Column:
+        return self.bin <= self.cuts.index(threshold)
+
+
 def _all(conditions: list[Condition], over: dict[str, Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
@@ -100,22 +114,24 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 def learn(labelled: DataFrame) -> list[list[Condition]]:
     """Rules in order, each a conjunction that marks a document as bad; none without examples of both kinds."""
-    over = {n: F.col(n) for n in STATISTICS}
     # Thresholds lie half way between neighbours among the quantiles of both kinds, so that they keep clear of either.
     grid = labelled.groupBy("bad").agg(*[F.percentile_approx(n, [k / BINS for k in range(BINS + 1)], 10_000).alias(n) for n in STATISTICS]).collect()
     cuts = {}
     for n in STATISTICS:
         values = sorted({v for row in grid for v in row[n] or []})
         cuts[n] = [(a + b) / 2 for a, b in zip(values, values[1:])]
+    # Each value as the number of thresholds under it, once: all that follows counts small whole numbers.
     number = {n: sum((F.when(F.col(n) > t, 1).otherwise(0) for t in cuts[n]), F.lit(0)) for n in STATISTICS if cuts[n]}
-    bins = F.array(*[F.struct(F.lit(n).alias("s"), b.alias("b")) for n, b in number.items()])
+    binned = materialize(labelled.select("bad", "held", "base_failed", *[b.cast("int").alias(n) for n, b in number.items()]), "quality-bins")
+    over = {n: Binned(F.col(n), cuts[n]) for n in number}
+    bins = F.array(*[F.struct(F.lit(n).alias("s"), F.col(n).alias("b")) for n in number])
     left = ~F.col("base_failed")  # those are rejected before any rule is asked
     rules: list[list[Condition]] = []
     count = lambda c: F.count_if(c).cast("long")
     while len(rules) < RULES and any(cuts.values()):
         rule: list[Condition] = []
         for _ in range(CONDITIONS):
-            rows = labelled.where(left & ~F.col("held") & _all(rule, over)).select("bad", F.explode(bins).alias("x")).groupBy("x.s", "x.b").agg(count(F.col("bad")).alias("p"), count(~F.col("bad")).alias("n")).collect()
+            rows = binned.where(left & ~F.col("held") & _all(rule, over)).select("bad", F.explode(bins).alias("x")).groupBy("x.s", "x.b").agg(count(F.col("bad")).alias("p"), count(~F.col("bad")).alias("n")).collect()
             best = _best_condition(rows, cuts)
             if best is None:
                 break
@@ -123,7 +139,7 @@ def learn(labelled: DataFrame) -> list[list[Condition]]:
         if not rule:
             break
         tried = [_all(rule[: k + 1], over) for k in range(len(rule))]
-        row = labelled.where(left & F.col("held")).agg(*[count(t & F.col("bad")).alias(f"p{k}") for k, t in enumerate(tried)], *[count(t & ~F.col("bad")).alias(f"n{k}") for k, t in enumerate(tried)]).first()
+        row = binned.where(left & F.col("held")).agg(*[count(t & F.col("bad")).alias(f"p{k}") for k, t in enumerate(tried)], *[count(t & ~F.col("bad")).alias(f"n{k}") for k, t in enumerate(tried)]).first()
         score = [((row[f"p{k}"] - row[f"n{k}"]) / max(1, row[f"p{k}"] + row[f"n{k}"]), row[f"p{k}"], -k) for k in range(len(rule))]
         k = max(range(len(rule)), key=lambda k: score[k])
         p, n = row[f"p{k}"], row[f"n{k}"]
@@ -171,7 +187,12 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``row`` (the document's columns), the counts, base_failed and kept."""
+    """``row`` (the document's columns), the counts, base_failed and kept.
+
+    Null, empty and blank texts have no words and fail the base test; long texts are counted whole; repeated rows are
+    judged each. Labels of documents that are not there teach nothing, and without labels of both kinds only the base
+    test rejects. An empty table gives an empty result.
+    """
     rules = learn(sample(docs, labels, text, doc_id, rows))
     return with_counts(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
 
