@@ -89,7 +89,7 @@ def test_superminhash_by_hand():
         for e in s:
             p = list(range(m))
             for j in range(m):
-                x = int(minhash._mix(np.array([e + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64)]))[0])
+                x = int(minhash._mix(np.array([(int(e) + (j + 1) * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0])
                 k = j + ((x >> 32) * (m - j) >> 32)
                 p[j], p[k] = p[k], p[j]
                 want[p[j]] = min(want[p[j]], np.uint64((j << 32) + (x & 0xFFFFFFFF)))
@@ -172,6 +172,59 @@ def test_hnsw_recall():
     v = vectors(3000, 32, 4).astype(np.float64)
     u = embeddings._units(v[np.random.default_rng(1).permutation(len(v))])
     index = Hnsw.load(Hnsw.build(u.astype(np.float32)).dump(), u.astype(np.float32))
-    a, _ = embeddings.audited_links(index, u, u, 0.98, True)
+    a, _, recall = embeddings.audited_links(index, u, u, 0.98, True)
+    assert recall >= embeddings.RECALL
     truth = (u @ u.T >= 0.98).sum() - len(u)
     assert len(a) >= 0.99 * truth > 1000
+
+
+def test_audit_weighs_queries_not_links():
+    """A group of copies holds nearly all links; the audit still sees what small groups lose, and says so where it saw no link."""
+    rng = np.random.default_rng(3)
+    hub = rng.normal(size=16)
+    big = hub + rng.normal(size=(900, 16)) * 0.01
+    pairs = rng.normal(size=(150, 16))
+    v = np.concatenate([big, pairs, pairs + rng.normal(size=(150, 16)) * 0.01])
+    u = embeddings._units(v[rng.permutation(len(v))])
+
+    class Forgets(Hnsw):
+        def within(self, q, least, width):
+            a, b = super().within(q, least, width)
+            n = np.bincount(a, minlength=len(q))
+            keep = (n[a] > 100) | (width > 100)
+            return a[keep], b[keep]
+
+    index = Forgets.load(Hnsw.build(u.astype(np.float32)).dump(), u.astype(np.float32))
+    a, b, recall = embeddings.audited_links(index, u, u, 0.98, True)
+    assert recall >= embeddings.RECALL and len(a) >= 0.99 * ((u @ u.T >= 0.98).sum() - len(u))
+    far = embeddings._units(rng.normal(size=(300, 16)) + 50)
+    alone = Hnsw.load(Hnsw.build((-far).astype(np.float32)).dump(), (-far).astype(np.float32))
+    assert embeddings.audited_links(alone, -far, far, 0.98, False)[2] is None
+
+
+def test_vectors_of_any_length(spark):
+    small, large, tiny = [1e-200, 2e-200], [1e200, 2e200], [5e-324, 1e-323]
+    df = spark.createDataFrame([(0, small, 1), (1, large, 1), (2, [1.0, 2.0], 1), (3, [2.0, -1.0], 1), (4, tiny, 1)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (0, 3), 4: (3, 0)}
+
+
+def test_rows_that_repeat_in_number(spark):
+    """Repeats of the row that stands for a set, and null ids with one text, do not gather in a group."""
+    text = " ".join(f"w{k}" for k in range(30))
+    near = text.replace("w29", "q")
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 2 = 0 THEN 5L END AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(9, near)], "doc_id long, text string"))
+    got = minhash.near_duplicates(df).groupBy("doc_id", "component_id", "n_shingles").count().collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(5, 5, 26, 10_000), (None, 5, 26, 10_000), (9, 5, 26, 1)], key=repr)
+    real = minhash._verified
+
+    def counted(k, percent):
+        f = real(k, percent)
+        return lambda block: f(block.assign(_n=len(block)).drop(columns="_n")) if len(block) <= 2 else (_ for _ in ()).throw(AssertionError(len(block)))
+
+    minhash._verified = counted
+    try:
+        assert minhash.near_duplicates(df).count() == 20_001
+    finally:
+        minhash._verified = real
+    assert minhash.without_near_duplicates(df).count() == 1
