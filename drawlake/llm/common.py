@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables under this many bytes may be a single row group, which a single task would read; their rows are dealt to all cores.
+SMALL = 32_000_000
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents. A small table is shuffled once so that all cores work on it; larger ones have row groups enough and stay where they are."""
+    d = table(spark, sf_dir, "documents")
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return d.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else d
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir). Where none is set a local one serves, on a local master only."""
     conf = spark.conf.get("spark.checkpoint.dir", None)

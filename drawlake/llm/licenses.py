@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import table, whole_text_batches
+from drawlake.llm.common import documents, whole_text_batches
 
 THRESHOLD = 0.7
 #: Notices, single sentences and opening paragraphs, not whole licences. The sentences of MIT, CC BY-NC,
@@ -207,7 +207,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_passages, best_dice, licenses`` (distinct, sorted, comma-joined) for each document."""
     whole_text_batches(spark)
-    m = scan_licenses(table(spark, sf_dir, "documents"))
+    m = scan_licenses(documents(spark, sf_dir))
     return m.select(
         "doc_id",
         F.size("matches").cast("long").alias("n_passages"),

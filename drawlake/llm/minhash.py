@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import WORD, materialize, table, whole, whole_text_batches
+from drawlake.llm.common import WORD, documents, materialize, whole, whole_text_batches
 from drawlake.llm.graph import components
 
 #: Words of a shingle and percent of similarity, where no contract says otherwise.
@@ -322,7 +322,7 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "
 
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    found = near_duplicates(documents(spark, sf_dir), words=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", kept().alias("kept"))
 
 

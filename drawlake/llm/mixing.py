@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import materialize, table, whole, word_count
+from drawlake.llm.common import documents, materialize, whole, word_count
 
 #: Documents of a (source, bucket) at most, about: the unit of the second prefix sum.
 ROWS_PER_BUCKET = 2000
@@ -119,7 +119,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(documents(spark, sf_dir))
 
 
 SQL = r"""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import table, whole_text_batches
+from drawlake.llm.common import documents, whole_text_batches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "birth", "account")
 #: An added span (a kind that is not of the base) needs this score.
@@ -187,7 +187,7 @@ def redact(text: Column) -> Column:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole_text_batches(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", pandas_udf(_digests, DIGEST)(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import SPACE, WORD, materialize, table, whole
+from drawlake.llm.common import SPACE, WORD, documents, materialize, table, whole
 
 #: Labelled documents that rules are learned from, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 8000
@@ -207,5 +207,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    judged = judge(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

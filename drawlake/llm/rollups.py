@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import materialize, run_dir, table, whole, whole_text_batches, word_count
+from drawlake.llm.common import documents, materialize, run_dir, whole, whole_text_batches, word_count
 
 KEYS = ("source", "lang", "tokenizer")
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -167,7 +167,7 @@ def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice and counts once; what was committed by then is folded into a base.
     """
     whole_text_batches(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     text = F.col("text")
     counts = docs.select("doc_id", "source", "lang", F.sha2(whole(text), 256).alias("text_key"), word_count(text).alias("words"), F.ceil(F.length(whole(text)) / 4).alias("guess"), token_count(spark, text).alias("bpe"))
     counts = materialize(counts, "token-counts")

@@ -16,7 +16,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import materialize, table, whole
+from drawlake.llm.common import documents, materialize, whole
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ def _joined(spans: str, rules) -> Column:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    found = scan_secrets(documents(spark, sf_dir))
     base = sum(r.base for r in RULES)
     found = found.withColumn("base", F.filter("spans", lambda s: s["rank"] < base))
     counts = [F.expr(f"cast(size(filter(base, s -> s.rank = {k})) AS long)").alias(f"n_{r.kind}") for k, r in enumerate(RULES) if r.base]

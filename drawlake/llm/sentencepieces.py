@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import table, whole_text_batches
+from drawlake.llm.common import documents, whole_text_batches
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -221,4 +221,4 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(documents(spark, sf_dir))
