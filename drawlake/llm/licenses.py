@@ -199,7 +199,11 @@ def _scan(text: pd.Series) -> pd.Series:
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, matches`` (array of line, license, dice); none for null and empty texts. Other columns are ignored."""
+    """``doc_id, matches`` (array of line, license, dice); none for null and empty texts.
+
+    Texts are searched whole; of licences that tie at a place the first by name counts. Repeated rows stay, an empty table
+    gives an empty result, other columns are ignored.
+    """
     found = pandas_udf(_scan, "array<struct<line:int,license:string,dice:double>>")(F.col(text).cast("string"))
     return docs.select(F.col(doc_id).alias("doc_id"), found.alias("matches"))
 

@@ -201,7 +201,9 @@ def decode(spark: SparkSession, ids: Column, path: str = MODEL_FILE) -> Column:
 def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str = MODEL_FILE) -> DataFrame:
     """``doc_id, ids, n_pieces, n_bytes, decoded_ok``; other columns are ignored.
 
-    ``decoded_ok`` says that decoding the ids gave the text back. A null text has null ids, 0 pieces, and is in order.
+    ``decoded_ok`` says that decoding the ids gave the text back. A null text has null ids, 0 pieces, and is in order;
+    an empty one has no ids. Texts are encoded whole, one word without blanks as well, in time that grows with their
+    length. Repeated rows stay; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     whole_text_batches(spark)
