@@ -84,21 +84,22 @@ def nearest_by_value(left: DataFrame, right: DataFrame, on: list[str], x: str, r
 def greedy_pairs(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
     """One-to-one pairs within each group: left rows in order take their best free right row, the first of equals.
 
-    What a left row may take depends on all before it: a fold over each group's pairs, sorted by left row and score. A
-    group is a job; its candidates are those that an equi-join leaves.
+    What a left row may take depends on all before it, so a group's candidates are taken one after the other, in time
+    that grows with their number. A group is a job or a page; its candidates are those that an equi-join leaves.
     """
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    item = F.struct(F.col(left).alias("l"), (-F.col(score)).alias("s"), F.col(right).alias("r"))
-    items = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    empty = f"cast(array() AS array<struct<l:{types[left]},s:{types[score]},r:{types[right]}>>)"
-    start = F.struct(F.lit(None).cast(types[left]).alias("last"), F.expr(empty).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        free = ~a["last"].eqNullSafe(x["l"]) & ~F.exists(a["out"], lambda o: o["r"] == x["r"])
-        return F.struct(F.when(free, x["l"]).otherwise(a["last"]).alias("last"), F.when(free, F.array_append(a["out"], x)).otherwise(a["out"]).alias("out"))
-
-    d = items.select(*group, F.explode(F.aggregate("_i", start, step)["out"]).alias("o"))
-    return d.select(*group, F.col("o.l").alias(left), F.col("o.r").alias(right), (-F.col("o.s")).alias(score))
+    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.select(*group, left, right, score).dtypes)
+
+    def take(g):
+        g = g.sort_values([left, score, right], ascending=[True, False, True])
+        done, used, rows = set(), set(), []
+        for i, (a, b) in enumerate(zip(g[left].tolist(), g[right].tolist(), strict=True)):
+            if a not in done and b not in used:
+                done.add(a)
+                used.add(b)
+                rows.append(i)
+        return g.iloc[rows]
+
+    return pairs.select(*group, left, right, score).groupBy(*group).applyInPandas(take, schema)
 
 
 def or_join_first(left: DataFrame, right: DataFrame, conditions: list[tuple[list[Column], list[Column]]], left_id: str, right_id: str, right_columns: list[str]) -> DataFrame:

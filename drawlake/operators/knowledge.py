@@ -22,15 +22,16 @@ def knowledge_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def front_matter(files: DataFrame) -> DataFrame:
     """``metadata`` (flat ``key: value`` lines, quotes stripped, the last of a key) and ``body`` beside the columns (A10)."""
-    rx = r"^---\r?\n([\s\S]*?)\r?\n---\r?\n?([\s\S]*)$"
-    has = F.col("content").rlike(rx)
-    lines = F.filter(F.split(F.regexp_extract("content", rx, 1), r"\r?\n"), lambda x: F.instr(x, ":") > 1)
+    # The pattern ends with the header, however long the body is.
+    head = F.regexp_extract("content", r"^---\r?\n[\s\S]*?\r?\n---\r?\n?", 0)
+    d = files.withColumn("_head", F.coalesce(head, F.lit("")))
+    lines = F.filter(F.split(F.regexp_extract("_head", r"^---\r?\n([\s\S]*?)\r?\n---\r?\n?$", 1), r"\r?\n"), lambda x: F.instr(x, ":") > 1)
     entry = lambda x: F.struct(trimmed(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), F.regexp_replace(trimmed(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), "^[\"']|[\"']$", "").alias("v"))
     entries = F.filter(F.transform(lines, entry), lambda e: e["k"] != "")
     # Of a repeated key the last line counts: earlier ones are left out before the map is made.
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
-    d = files.withColumn("metadata", F.when(has, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>")))
-    return d.withColumn("body", trimmed(F.when(has, F.regexp_extract("content", rx, 2)).otherwise(F.col("content"))))
+    d = d.withColumn("metadata", F.when(F.col("_head") != "", F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>")))
+    return d.withColumn("body", trimmed(F.expr("substring(content, length(_head) + 1)"))).drop("_head")
 
 
 def metadata_errors(metadata: Column) -> Column:

@@ -150,6 +150,15 @@ def recovered_callouts(raw: str | None, least: float = 0.75) -> list[dict]:
     return out
 
 
+def recovered(response: Column) -> Column:
+    """The recovered callouts of an answer as canonical JSON text (K5)."""
+
+    def f(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(recovered_callouts(t), separators=(",", ":"), sort_keys=True))
+
+    return pandas_udf(f, "string")(response)
+
+
 def repaired(response: Column) -> Column:
     """The repaired array of an answer as canonical JSON text, ``[]`` where nothing is left (K4, K6)."""
 
@@ -217,10 +226,10 @@ def asks_for_rooms(rooms: DataFrame, manifest: DataFrame, size: int = 20) -> Dat
 
 
 def located(candidates: DataFrame, signs: DataFrame, most: int = 20, keep: int = 3) -> DataFrame:
-    """Candidates with a place on the page, three a sign at most, of twenty signs at most."""
+    """Candidates with a place on the page, three a sign at most, of each job's first twenty signs (M13). signs: ``job_id, sign_id``."""
     from drawlake.operators.windows import first_of
 
-    asked = signs.orderBy("sign_id").limit(most).select("sign_id")
+    asked = first_of(signs, ["job_id"], ["sign_id"], most).select("sign_id")
     good = candidates.where("x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1").join(asked, "sign_id", "left_semi")
     return first_of(good, ["sign_id"], [F.desc("confidence"), "seq"], keep)
 

@@ -8,9 +8,7 @@ from drawlake.functions import text as T
 from drawlake.operators import classify as C
 from drawlake.operators import joins as J
 from drawlake.operators import knowledge as K
-from drawlake.operators import models as M
 from drawlake.operators import rules as U
-from drawlake.operators import verify as V
 from drawlake.plans.registry import query
 from drawlake.sources.tables import table
 
@@ -50,16 +48,6 @@ def fuzzy_pairs_levenshtein(spark, root):
     return d.select("n_name", "s_suppkey", F.round(T.similarity(F.lower("n_name"), F.lower("s_name")), 6).alias("similarity"))
 
 
-@query("C9 C10")
-def greedy_match(spark, root):
-    """One-to-one pairs of the parts and suppliers of an order, best score first; the score is made up from the keys, not from words."""
-    l = table(spark, root, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey"])
-    a = l.select("l_orderkey", "l_partkey").distinct()
-    b = l.select("l_orderkey", "l_suppkey").distinct()
-    pairs = a.join(b, "l_orderkey").withColumn("score", F.pmod(F.col("l_partkey") * 7 + F.col("l_suppkey") * 13, F.lit(10)).cast("double")).where("score >= 4")
-    return J.greedy_pairs(pairs, ["l_orderkey"], "l_partkey", "l_suppkey", "score")
-
-
 @query(
     "I14 I15 I16 I23",
     r"""SELECT page_id, nullif(regexp_extract(url, '^https?://([^/]+)', 1), '') AS host, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '')) AS title FROM pages""",
@@ -163,15 +151,6 @@ def rule_lookup(spark, root):
     return d.select("c_custkey", F.coalesce("r", F.lit("generic rules")).alias("rule"))
 
 
-@query("K3 K4 K6")
-def json_repair(spark, root):
-    """Answers cut off at every length of an array of the events' properties: the complete objects are what is left."""
-    e = table(spark, root, "events", ["event_id", "props"])
-    answer = F.concat(F.lit("```json\n["), "props", F.lit(","), "props", F.lit(","), "props", F.lit("]\n```"))
-    cut = F.substring(answer, F.lit(1), (F.length(answer) - F.col("event_id") % 12).cast("int"))
-    return e.select("event_id", M.repaired(cut).alias("rows"))
-
-
 _ROOM_NAMES = ("OFFICE", "TENANT SUITE", "CONFERENCE", "MAIN LOBBY", "WOMEN RESTROOM", "STAIR", "STORAGE", "JANITOR CLOSET", "MECHANICAL", "ELECTRICAL", "CHAPEL", "ELEVATOR", "EXIT VESTIBULE", "PARKING", "CORRIDOR")
 
 
@@ -206,11 +185,6 @@ def rules_chain(spark, root):
     return a.select("seq", "room_id", "room_id_insert", "suite_id", "restroom", F.col("exit").alias("exits"), "max_occupancy", "stair_corridor", "in_case_of_fire", "evacuation_map")
 
 
-@query("V1 V2 V3 V4 V6 V7")
-def verify_checks(spark, root):
-    return V.checks(U.assign(_rooms(spark, root)))
-
-
 @query(
     "D13 V5",
     "SELECT l_returnflag, kind, total FROM (SELECT l_returnflag, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1) UNPIVOT (total FOR kind IN (quantity, price))",
@@ -222,11 +196,6 @@ def unpivot_rows(spark, root):
     return unpivot_sums(l, ["quantity", "price"], ["l_returnflag"]).select("l_returnflag", "kind", F.round("total", 2).alias("total"))
 
 
-@query("S2")
-def chunk_text(spark, root):
-    return K.chunks(table(spark, root, "documents", ["doc_id", "text"]), body="text").drop("chunk").withColumn("n", F.col("end_char") - F.col("start_char"))
-
-
 _VECTOR = [round(((k * 37) % 19 - 9) / 9, 3) for k in range(64)]
 _TOPK_SQL = f"""SELECT vec_id, label, round(1 + c, 6) / 2 AS score FROM (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}::DOUBLE[]) AS c FROM embeddings WHERE {{where}}) ORDER BY c DESC, vec_id LIMIT {{n}}"""
 
@@ -277,9 +246,10 @@ def stream_tumbling(spark, root):
     """SELECT w AS start, count(*)::BIGINT AS n FROM (SELECT unnest(generate_series(date_trunc('minute', ts) - INTERVAL 59 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS w FROM events WHERE event_type = 'error') GROUP BY 1 HAVING count(*) > 1""",
 )
 def error_windows(spark, root):
+    from drawlake.streaming.events import sliding_counts
+
     e = table(spark, root, "events", ["ts", "event_type"]).withColumn("ts", F.col("ts").cast("timestamp")).where("event_type = 'error'")
-    g = e.groupBy(F.window("ts", "60 minutes", "1 minute").alias("w")).agg(F.count("*").alias("n")).where("n > 1")
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return sliding_counts(e, 60).where("n > 1").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("L1 L5", "SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT ON (event_id) event_type, value FROM events) GROUP BY 1")

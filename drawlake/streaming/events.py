@@ -22,12 +22,24 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def error_rates(events: DataFrame, span: str = "5 minutes", step: str = "1 minute", warn: int = 10, critical: int = 30) -> DataFrame:
+def sliding_counts(events: DataFrame, minutes: int, late: str = "5 minutes") -> DataFrame:
+    """``start, n``: events of each window of so many minutes that slides by one.
+
+    A table is counted by the minute first, so that counts are copied to the windows they are in, not events; a stream
+    uses Spark's own windows.
+    """
+    if events.isStreaming:
+        g = events.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes", "1 minute").alias("w")).agg(F.count("*").alias("n"))
+        return g.select(F.col("w.start").alias("start"), "n")
+    per = events.where("ts IS NOT NULL").groupBy(F.date_trunc("minute", "ts").alias("m")).agg(F.count("*").alias("n"))
+    starts = F.explode(F.sequence(F.col("m") - F.expr(f"INTERVAL {minutes - 1} MINUTE"), F.col("m"), F.expr("INTERVAL 1 MINUTE")))
+    return per.select(starts.alias("start"), "n").groupBy("start").agg(F.sum("n").alias("n"))
+
+
+def error_rates(events: DataFrame, minutes: int = 5, warn: float = 10, critical: float = 30) -> DataFrame:
     """Sliding windows with more errors a minute than the thresholds."""
-    d = events.where("event_type = 'error'")
-    d = d.withWatermark("ts", span) if d.isStreaming else d
-    g = d.groupBy(F.window("ts", span, step).alias("w")).agg((F.count("*") / 5).alias("per_minute"))
-    return g.where(F.col("per_minute") > warn).select(F.col("w.start").alias("start"), "per_minute", F.when(F.col("per_minute") > critical, "critical").otherwise("warning").alias("level"))
+    g = sliding_counts(events.where("event_type = 'error'"), minutes).withColumn("per_minute", F.col("n") / minutes)
+    return g.where(F.col("per_minute") > warn).select("start", "per_minute", F.when(F.col("per_minute") > critical, "critical").otherwise("warning").alias("level"))
 
 
 def deduplicated(events: DataFrame, key: list[str], late: str = "2 hours") -> DataFrame:
