@@ -85,21 +85,19 @@ def greedy_pairs(pairs: DataFrame, group: list[str], left: str, right: str, scor
     """One-to-one pairs within each group: left rows in order take their best free right row, the first of equals.
 
     What a left row may take depends on all before it, so a group's candidates are taken one after the other, in time
-    that grows with their number. A group is a job or a page; its candidates are those that an equi-join leaves.
+    that grows with their number; left rows are not null. A group is a job or a page; its candidates are those that an equi-join leaves.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.select(*group, left, right, score).dtypes)
-
-    def take(g):
-        g = g.sort_values([left, score, right], ascending=[True, False, True])
-        done, used, rows = set(), set(), []
-        for i, (a, b) in enumerate(zip(g[left].tolist(), g[right].tolist(), strict=True)):
-            if a not in done and b not in used:
-                done.add(a)
-                used.add(b)
-                rows.append(i)
-        return g.iloc[rows]
-
-    return pairs.select(*group, left, right, score).groupBy(*group).applyInPandas(take, schema)
+    from drawlake.operators.windows import folded
+
+    def step(state, a, b):
+        last, used = state or (None, set())
+        if a == last or b in used:
+            return (last, used), None
+        used.add(b)
+        return (a, used), True
+
+    d = pairs.select(*group, left, right, score)
+    return folded(d, group, [left, F.desc(score), right], step, [left, right], "_taken", "boolean").drop("_taken")
 
 
 def or_join_first(left: DataFrame, right: DataFrame, conditions: list[tuple[list[Column], list[Column]]], left_id: str, right_id: str, right_columns: list[str]) -> DataFrame:

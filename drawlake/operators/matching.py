@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawlake.functions import vocab as V
 from drawlake.functions.text import jaccard, phrase_score, squeezed_id, tokens_alnum
+from drawlake.operators.windows import first_of
 
 #: Room tokens: a letter or two and digits, or digits and a letter or two.
 ROOM_TOKEN = r"\b(?:[A-Za-z]{1,2}\d{2,4}[A-Za-z]?|\d{2,4}[A-Za-z]{0,2})\b"
@@ -70,8 +72,9 @@ def signs_of_page(signs: DataFrame, page: int, schedule_pages: list[int]) -> Dat
 
 
 def auto_located(clusters: DataFrame, signs: DataFrame, most: int = 20, keep: int = 3) -> DataFrame:
-    """Unplaced signs with unambiguous clusters: one is applied, several are kept as candidates, none fails (T5)."""
-    todo = signs.where("x_pos IS NULL").orderBy("sign_id").limit(most)
-    c = clusters.where("NOT ambiguous").groupBy("sign_id").agg(F.slice(F.collect_list(F.struct("x", "y")), 1, keep).alias("candidates"))
+    """Each job's first twenty unplaced signs that are not in residential units, and their unambiguous clusters, from top to bottom: one is applied, several are kept as candidates, none fails (T5)."""
+    unit = F.coalesce(F.trim("location").rlike(V.RESIDENTIAL_UNIT), F.lit(False))
+    todo = first_of(signs.where(F.col("x_pos").isNull() & ~unit), ["job_id"], ["sign_id"], most)
+    c = clusters.where("NOT ambiguous").groupBy("sign_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("y", "x"))), 1, keep).alias("candidates"))
     d = todo.join(c, "sign_id", "left")
     return d.withColumn("outcome", F.when(F.col("candidates").isNull(), "failed").when(F.size("candidates") == 1, "applied").otherwise("candidates"))

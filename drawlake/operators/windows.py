@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,37 +104,58 @@ def budget_prefix(rows: DataFrame, key: list[str], order: list, size: str, budge
     return rows.withColumn("running", F.sum(size).over(w).cast("long")).where(F.col("running") <= budget)
 
 
+def folded(rows: DataFrame, key: list[str], order: list, step: Callable, columns: list[str], name: str, kind: str) -> DataFrame:
+    """Rows with ``name``, what ``step(state, *values of columns)`` gives for each in the order of its key's rows; it returns the next state, and None to drop the row.
+
+    state is None at a key's first row. Rows are read as a stream sorted by key, so a task holds one key's state and never
+    its rows; a key's rows are one after the other in one task, as the fold asks.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{name}` {kind}"
+
+    def run(batches):
+        last, state = None, None
+        for b in batches:
+            out, keep = [], []
+            keys = zip(*(b[c].tolist() for c in key), strict=True)
+            for k, values in zip(keys, zip(*(b[c].tolist() for c in columns), strict=True), strict=True):
+                k = tuple(None if v != v else v for v in k)
+                if k != last:
+                    last, state = k, None
+                state, got = step(state, *values)
+                keep.append(got is not None)
+                if got is not None:
+                    out.append(got)
+            yield b[keep].assign(**{name: out})
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
 def next_fit(rows: DataFrame, key: list[str], order: str, size: str, capacity: int, truncate: int | None = None) -> DataFrame:
     """Batches in order: a row opens a new one when it does not fit in the last (F-9).
 
-    What fits depends on all before it: a fold over each key's sorted sizes. Out come the key, the order, the size and
-    ``batch`` from 1.
+    What fits depends on all before it: a fold. Out come the key, the order, the size and ``batch`` from 1.
     """
     s = F.least(F.col(size), F.lit(truncate)) if truncate else F.col(size)
-    items = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), s.cast("long").alias("s")))).alias("_i"))
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("u"), F.expr("cast(array() AS array<bigint>)").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["b"] == 0) | (a["u"] + x["s"] > capacity)
-        b = F.when(new, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(new, x["s"]).otherwise(a["u"] + x["s"]).alias("u"), F.array_append(a["out"], b).alias("out"))
+    def step(state, n):
+        batch, used = state or (0, 0)
+        batch, used = (batch, used + n) if batch and used + n <= capacity else (batch + 1, n)
+        return (batch, used), batch
 
-    d = items.withColumn("_b", F.aggregate("_i", start, step)["out"])
-    return d.select(*key, F.explode(F.arrays_zip("_i", "_b")).alias("z")).select(*key, F.col("z._i.o").alias(order), F.col("z._i.s").alias(size), F.col("z._b").alias("batch"))
+    return folded(rows.select(*key, order, s.cast("long").alias(size)), key, [order, size], step, [size], "batch", "long")
 
 
 def anchored_lines(rows: DataFrame, key: list[str], y: str, seq: str, tolerance: float) -> DataFrame:
     """Groups of rows whose y is within the tolerance of their group's FIRST row, in order of y (G2, G4); ``line`` from 1.
 
-    The anchor does not drift, so a row's group depends on where its group began: a fold over each page's items.
+    The anchor does not drift, so a row's group depends on where its group began: a fold.
     """
-    items = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(y).cast("double").alias("y"), F.col(seq).alias("s")))).alias("_i"))
-    start = F.struct(F.lit(0).cast("long").alias("l"), F.lit(0.0).alias("a"), F.expr("cast(array() AS array<bigint>)").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["l"] == 0) | (F.abs(x["y"] - a["a"]) > tolerance)
-        line = F.when(new, a["l"] + 1).otherwise(a["l"])
-        return F.struct(line.alias("l"), F.when(new, x["y"]).otherwise(a["a"]).alias("a"), F.array_append(a["out"], line).alias("out"))
+    def step(state, at):
+        line, anchor = state or (0, 0.0)
+        if not line or abs(at - anchor) > tolerance:
+            line, anchor = line + 1, at
+        return (line, anchor), line
 
-    d = items.withColumn("_l", F.aggregate("_i", start, step)["out"])
-    return d.select(*key, F.explode(F.arrays_zip("_i", "_l")).alias("z")).select(*key, F.col("z._i.s").alias(seq), F.col("z._l").alias("line"))
+    d = rows.select(*key, F.col(y).cast("double").alias("_y"), seq)
+    return folded(d, key, ["_y", seq], step, ["_y"], "line", "long").drop("_y")

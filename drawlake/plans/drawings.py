@@ -315,3 +315,207 @@ def _located_signs(spark, root):
     k = F.col("sign_id")
     text = F.array(*map(F.lit, _TEXTS))[(k * 3 % len(_TEXTS)).cast("int")]
     return _signs(spark, root).withColumn("location", F.concat(F.regexp_replace(text, "#", (k % 40 + 100).cast("string")), F.when(k % 5 == 0, " wing").otherwise("")))
+
+
+_PASSES_SQL = f"""sg AS (SELECT file_id, page_number AS page, sign_id, lower(regexp_replace(sign_identifier, '[\\s\\-_]', '', 'g')) AS id, {_tokens_sql("location")} AS w, lower(regexp_extract(location, '{M.ROOM_TOKEN}', 0)) AS room FROM s WHERE page_number IS NOT NULL),
+ph AS (SELECT file_id, page, seq, cx, cy, lower(regexp_replace(text, '[\\s\\-_]', '', 'g')) AS sq, {_tokens_sql("text")} AS tt FROM p),
+pr AS (SELECT *, {_score_sql("w", "tt")} AS sc, CASE WHEN len(list_distinct(list_concat(w, tt))) = 0 THEN 0 ELSE len(list_intersect(w, tt)) / len(list_distinct(list_concat(w, tt))) END AS ja FROM sg JOIN ph USING (file_id, page)),
+ha AS (SELECT *, CASE WHEN length(id) >= 2 AND sq = id THEN {{'n': 1, 's': 1.0::DOUBLE}} WHEN len(w) > 0 AND ja >= 0.4 THEN {{'n': 2, 's': ja::DOUBLE}} WHEN room <> '' AND sq = room THEN {{'n': 3, 's': 0.85::DOUBLE}} WHEN sc >= 0.65 THEN {{'n': 4, 's': sc::DOUBLE}}
+  WHEN room <> '' AND (sq = room OR (length(sq) = length(room) + 1 AND regexp_matches(sq, '^[a-z]') AND substr(sq, 2) = room)) THEN {{'n': 5, 's': 0.75::DOUBLE}} WHEN sc >= 0.6 THEN {{'n': 6, 's': sc::DOUBLE}} END AS h FROM pr),
+mt AS (SELECT sign_id, arg_min({{'n': h.n, 's': h.s, 'x': cx, 'y': cy}}, (h.n, -h.s, seq)) AS b FROM ha WHERE h IS NOT NULL GROUP BY 1)"""
+
+
+def _matched(spark, root):
+    s = _located_signs(spark, root).where("page_number IS NOT NULL")
+    return M.matched(s.select("file_id", F.col("page_number").alias("page"), "sign_id", F.col("sign_identifier").alias("identifier"), "sign_type", "location"), _phrases(spark, root))
+
+
+@query("G24 I3 I11", f'WITH {_PHRASES_SQL}, {_LOCATED_SQL}, {_PASSES_SQL} SELECT sign_id, b.n AS "pass", round(b.s, 9) AS score, b.x AS x, b.y AS y FROM mt')
+def sign_places(spark, root):
+    return _matched(spark, root).select("sign_id", "pass", F.round("score", 9).alias("score"), "x", "y")
+
+
+_PLACED_SQL = "pl AS (SELECT s.*, CASE WHEN x_pos IS NOT NULL AND y_pos IS NOT NULL THEN x_pos WHEN b IS NOT NULL THEN greatest(0.02, least(0.98, b.x)) ELSE 0.5 END AS x, CASE WHEN x_pos IS NOT NULL AND y_pos IS NOT NULL THEN y_pos WHEN b IS NOT NULL THEN greatest(0.02, least(0.98, b.y + 0.03)) ELSE 0.5 END AS y, CASE WHEN x_pos IS NOT NULL AND y_pos IS NOT NULL THEN 1.0 ELSE coalesce(b.s, 0.0) END AS score FROM s LEFT JOIN mt USING (sign_id))"
+
+
+@query("T1 T2", f"WITH {_PHRASES_SQL}, {_LOCATED_SQL}, {_PASSES_SQL}, {_PLACED_SQL} SELECT sign_id, x, y, round(score, 9) AS score FROM pl WHERE coalesce(page_number, 1) = 1 OR (x_pos IS NULL AND page_number = 2)")
+def page_markers(spark, root):
+    """Markers of every first page: its own signs, and unplaced ones of the second, which counts as a schedule."""
+    d = M.placed(M.signs_of_page(_located_signs(spark, root), 1, [2]), _matched(spark, root))
+    return d.select("sign_id", "x", "y", F.round("score", 9).alias("score"))
+
+
+@query("T4", f"WITH {_PHRASES_SQL}, {_LOCATED_SQL}, {_PASSES_SQL}, {_PLACED_SQL} SELECT sign_id, x, y FROM pl WHERE x_pos IS NULL AND y_pos IS NULL AND score >= 0.5")
+def written_back(spark, root):
+    return M.written_back(M.placed(_located_signs(spark, root), _matched(spark, root)))
+
+
+_CLUSTER_SQL = """ca AS (SELECT s.sign_id, s.rn, a.seq AS s1, a.cx AS x1, a.cy AS y1, p.seq AS s2, p.cx AS x2, p.cy AS y2, sqrt((a.cx - p.cx) * (a.cx - p.cx) + (a.cy - p.cy) * (a.cy - p.cy)) AS dist FROM cs s JOIN p a ON a.file_id = s.file_id AND a.page = s.page AND contains(lower(a.text), s.st)
+  JOIN p ON p.file_id = s.file_id AND p.page = s.page AND lower(p.text) = s.rn AND p.seq <> a.seq),
+cb AS (SELECT *, row_number() OVER z AS n, lead(dist) OVER z AS nx FROM ca WHERE dist <= 0.6 WINDOW z AS (PARTITION BY sign_id ORDER BY dist, s1, s2)),
+cl AS (SELECT sign_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, coalesce(nx - dist <= 0.02, false) AS ambiguous FROM cb WHERE n = 1)"""
+_CS_SQL = "cs AS (SELECT file_id, page_number AS page, sign_id, CASE WHEN sign_id % 4 < 2 THEN 'stair' ELSE 'exit' END AS st, (sign_id % 40 + 100)::VARCHAR AS rn FROM s WHERE page_number IS NOT NULL)"
+
+
+def _clusters(spark, root):
+    k = F.col("sign_id")
+    s = _signs(spark, root).where("page_number IS NOT NULL").select("file_id", F.col("page_number").alias("page"), "sign_id", F.when(k % 4 < 2, "STAIR").otherwise("EXIT").alias("sign_type"), (k % 40 + 100).cast("string").alias("room_number"))
+    return G.clusters(_phrases(spark, root), s, 0.6)
+
+
+@query("C22", f"WITH {_PHRASES_SQL}, {_SIGNS_SQL}, {_CS_SQL}, {_CLUSTER_SQL} SELECT sign_id, x, y, ambiguous FROM cl")
+def type_and_number(spark, root):
+    return _clusters(spark, root)
+
+
+@query(
+    "T5",
+    f"""WITH {_PHRASES_SQL}, {_SIGNS_SQL}, {_CS_SQL}, {_CLUSTER_SQL}, td AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sign_id) AS n FROM s WHERE x_pos IS NULL AND NOT starts_with(lower(location), 'red')) WHERE n <= 20)
+        SELECT td.sign_id, CASE WHEN cl.sign_id IS NULL THEN 'failed' ELSE 'applied' END AS outcome FROM td LEFT JOIN cl ON cl.sign_id = td.sign_id AND NOT ambiguous""",
+)
+def auto_located(spark, root):
+    """Signs of red things count as those of residential units here, which are never located."""
+    s = _signs(spark, root).withColumn("location", F.when(F.col("location").startswith("red"), F.concat(F.lit("Unit "), "location")).otherwise(F.col("location")))
+    return M.auto_located(_clusters(spark, root), s).select("sign_id", "outcome")
+
+
+# Schedules, titles and intake.
+
+
+def _schedule_items(spark, root):
+    """Ten lines a file: a header, a room, sign rows, the type legend, keynotes and a diagram's label; a word is an item."""
+    k = F.col("p_partkey")
+    p = table(spark, root, "part", ["p_partkey", "p_name", "p_size"])
+    n, word = k % 10, F.substring_index("p_name", " ", 1)
+    size = F.col("p_size").cast("string")
+    line = (
+        F.when(n == 0, "SIGNAGE SCHEDULE")
+        .when(n == 1, F.concat(F.lit("ROOM "), (k % 90 + 100).cast("string")))
+        .when(n == 2, F.concat_ws(" ", F.lit("12A"), size, word, F.lit("YES"), F.lit("A")))
+        .when(n == 3, F.concat_ws(" ", F.lit("7b"), F.lit("3"), word, F.lit("B,A")))
+        .when(n == 4, "SIGN TYPE LEGEND")
+        .when(n == 5, F.concat(F.lit('12A 6" x 8" '), word, F.lit(" raised")))
+        .when(n == 6, "KEYNOTE LEGEND")
+        .when(n == 7, F.concat(F.lit("A "), word, F.lit(" mount")))
+        .when(n == 8, "A second text")
+        .otherwise("SIGN TYPE 7B")
+    )
+    d = p.select(F.floor(k / 10).alias("file_id"), F.lit(1).alias("page"), F.lit(1).alias("column"), n.alias("line"), F.posexplode(F.split(line, " ")).alias("i", "text"))
+    return d.select("file_id", "page", "column", (F.col("line") * 100 + F.col("i")).alias("seq"), "text", (F.col("i") * 30.0).alias("x"), (F.col("line") * 12.0 + F.col("i") % 2).alias("y"), F.lit(20.0).alias("w"), F.lit(8.0).alias("h"))
+
+
+def _parsed(spark, root):
+    return H.parsed(H.lines(_schedule_items(spark, root)))
+
+
+_WORD1 = "string_split(p_name, ' ')[1]"
+_PER_FILE = f"f AS (SELECT p_partkey // 10 AS file_id, max(CASE WHEN p_partkey % 10 = 1 THEN p_partkey % 90 + 100 END) AS room, max(CASE WHEN p_partkey % 10 = 5 THEN {_WORD1} END) AS material, max(CASE WHEN p_partkey % 10 = 7 THEN {_WORD1} END) AS note, count(*) FILTER (p_partkey % 10 = 9) AS drawn FROM part GROUP BY 1)"
+
+
+@query(
+    "G2 G16 G17 E9",
+    f"""WITH {_PER_FILE}, r AS (SELECT p_partkey // 10 AS file_id, p_partkey % 10 AS n, p_size, {_WORD1} AS w FROM part WHERE p_partkey % 10 IN (2, 3))
+        SELECT file_id, CASE n WHEN 2 THEN '12A' ELSE '7B' END AS code, CASE n WHEN 2 THEN p_size ELSE 3 END AS quantity, w AS signage_text, CASE n WHEN 2 THEN true END AS glass_backer, CASE n WHEN 2 THEN 'A' ELSE 'B,A' END AS raw_comments, room::VARCHAR AS room_number,
+          'second text' AS expanded_comments, CASE n WHEN 2 THEN '6" x 8"' END AS dimensions, CASE n WHEN 2 THEN material END AS material FROM r JOIN f USING (file_id)""",
+)
+def schedule_entries(spark, root):
+    d = H.entries(_parsed(spark, root))
+    return d.select("file_id", "code", "quantity", "signage_text", "glass_backer", "raw_comments", "room_number", "expanded_comments", "dimensions", "material")
+
+
+@query("E9 G17", f"WITH {_PER_FILE} SELECT file_id, '12A' AS code, material, false AS has_drawing FROM f UNION ALL SELECT file_id, '7B', NULL, true FROM f WHERE drawn > 0")
+def schedule_specs(spark, root):
+    return H.specs(_parsed(spark, root)).select("file_id", "code", "material", "has_drawing")
+
+
+@query("T20 T26", "SELECT 'SIGNAGE SCHEDULE' AS table_name, '12A,7B' AS codes, count(*)::BIGINT AS rows FROM part WHERE p_partkey % 10 IN (2, 3)")
+def codes_by_table(spark, root):
+    return H.codes_by_table(H.entries(_parsed(spark, root))).select("table_name", F.array_join("codes", ",").alias("codes"), "rows")
+
+
+@query("T26 G16", "SELECT p_partkey // 10 AS file_id, CASE p_partkey % 10 WHEN 0 THEN 'schedule' WHEN 4 THEN 'type_legend' WHEN 6 THEN 'keynote_legend' ELSE 'diagram' END AS opens FROM part WHERE p_partkey % 10 IN (0, 4, 6, 9)")
+def schedule_sections(spark, root):
+    return _parsed(spark, root).where("opens IS NOT NULL").select("file_id", "opens")
+
+
+_TITLES = ("First Floor Plan", "Signage Schedule", "Life Safety Plan", "Roof Plan", "Mezzanine", "General Notes", "", "Level 2 - Upper Level Plan")
+
+
+def _bucket_sql(t: str, n: str) -> str:
+    """The title classifier over a lowered title and a sheet's number."""
+    has = lambda words: _ANY(t, words)
+    ignored = tuple(p for p in W.NOT_FLOOR_PLAN if p not in ("general notes", "abbreviation")) + W.IGNORED_PLANS
+    plan = f"(({_ANY(t, W.FLOOR_PLAN)} OR regexp_matches({t}, '{W.LEVEL_PLAN}')) AND NOT {has(W.NOT_FLOOR_PLAN)})"
+    number = f"(regexp_matches({n}, '{W.FLOOR_PLAN_SHEET}') AND len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')) < 6 AND NOT {has(W.SHEET_ONLY_VETO)})"
+    return f"""CASE WHEN {t} = '' THEN 'other' WHEN {has(W.SIGN_SCHEDULE + W.SCHEDULE_ALSO)} THEN 'signage_schedule' WHEN {has(W.LIFE_SAFETY)} THEN 'life_safety' WHEN {has(W.KEY_PLAN)} THEN 'key_plan' WHEN {has(ignored)} THEN 'ignore' WHEN {plan} OR {number} THEN 'floor_plan'
+      WHEN {has(W.GENERAL_NOTES)} OR regexp_matches({n}, '{W.GENERAL_NOTES_SHEET}') THEN 'general_notes' WHEN {has(W.ACCESSIBILITY)} THEN 'accessibility' WHEN {has(W.MILLWORK)} OR regexp_matches({n}, '{W.MILLWORK_SHEET}') THEN 'millwork_interiors' WHEN {has(W.SPECIFICATIONS)} THEN 'specifications' ELSE 'other' END"""
+
+
+def _manifest(spark, root):
+    """A page for each part: its bookmark, its row of the drawing index, or its title block names it."""
+    k = F.col("p_partkey")
+    p = table(spark, root, "part", ["p_partkey", "p_name"]).withColumn("file_id", F.floor(k / 50)).withColumn("page", (k % 50 + 1).cast("int"))
+    title = lambda add: F.array(*map(F.lit, _TITLES))[((k + add) % len(_TITLES)).cast("int")]
+    sheet = F.when(k % 6 > 0, F.concat(F.lit("A-"), (k % 50 + 100).cast("string")))
+    pages = p.select("file_id", "page", F.when(k % 5 > 0, title(0)).alias("title"), sheet.alias("sheet_number"))
+    outline = p.where(k % 4 == 0).select("file_id", k.alias("seq"), title(1).alias("title"), F.when(k % 12 > 0, F.col("page")).alias("page"))
+    index = p.where(k % 3 == 0).select("file_id", k.alias("seq"), F.concat(F.lit("a "), (k % 50 + 100).cast("string")).alias("sheet_number"), title(2).alias("title"))
+    return C.manifest(pages, outline, index)
+
+
+_MANIFEST_SQL = f"""t AS (SELECT p_partkey // 50 AS file_id, (p_partkey % 50 + 1)::INT AS page, p_partkey AS k, {list(_TITLES)} AS ts, CASE WHEN p_partkey % 6 > 0 THEN 'A-' || (p_partkey % 50 + 100) END AS sheet FROM part),
+c AS (SELECT file_id, page, sheet, CASE WHEN k % 4 = 0 AND k % 12 > 0 THEN ts[(k + 1) % {len(_TITLES)} + 1] END AS mark, CASE WHEN k % 3 = 0 AND sheet IS NOT NULL THEN ts[(k + 2) % {len(_TITLES)} + 1] END AS listed, CASE WHEN k % 5 > 0 THEN ts[k % {len(_TITLES)} + 1] END AS own FROM t),
+m AS (SELECT file_id, page, coalesce(mark, listed, own) AS title, CASE WHEN mark IS NOT NULL THEN 'bookmark' WHEN listed IS NOT NULL THEN 'index_page' WHEN own IS NOT NULL THEN 'title_block' ELSE 'none' END AS source, coalesce(sheet, '') AS n, lower(trim(coalesce(mark, listed, own, ''))) AS low FROM c),
+mf AS (SELECT file_id, page, title, source, {_bucket_sql("low", "n")} AS bucket, CASE WHEN title IS NOT NULL THEN CASE {" ".join(f"WHEN {_ANY('low', words)} THEN '{name}'" for name, words in W.LEVELS)} END END AS level FROM m)"""
+
+
+@query("G11 G10 C18 E7", f"WITH {_MANIFEST_SQL} SELECT * FROM mf")
+def page_manifest(spark, root):
+    return _manifest(spark, root).select("file_id", "page", "title", "source", "bucket", "level")
+
+
+@query("G27", f"WITH {_MANIFEST_SQL} SELECT file_id, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (bucket = 'floor_plan'), '') AS floor_plans, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (bucket = 'signage_schedule'), '') AS schedules, count(*)::INT AS titles FROM mf GROUP BY 1")
+def page_lists(spark, root):
+    d = C.page_lists(_manifest(spark, root))
+    return d.select("file_id", F.array_join("floor_plan_pages", ",").alias("floor_plans"), F.array_join("schedule_pages", ",").alias("schedules"), F.size("titles").alias("titles"))
+
+
+@query("E10", f'WITH {_MANIFEST_SQL}, g AS (SELECT file_id, title, page, page - row_number() OVER (PARTITION BY file_id, title ORDER BY page) AS r FROM mf) SELECT file_id, title, min(page) AS start, max(page) AS "end", count(*)::BIGINT AS n FROM g GROUP BY file_id, title, r')
+def title_ranges(spark, root):
+    return C.page_ranges(_manifest(spark, root))
+
+
+@query(
+    "G26 I14 I16",
+    """SELECT file_id, 'Hall ' || arg_min(p_size, k) FILTER (k % 3 = 1) AS project_name, 'City of ' || arg_min(p_size, k) FILTER (k % 3 = 2) AS jurisdiction, (min(k + 1) FILTER (k % 10 = 5))::INT AS index_page,
+         coalesce(string_agg(DISTINCT CASE k % 4 WHEN 0 THEN 'basement' WHEN 2 THEN 'second floor' END, ',' ORDER BY CASE k % 4 WHEN 0 THEN 'basement' WHEN 2 THEN 'second floor' END), '') AS levels FROM (SELECT p_partkey // 10 AS file_id, p_partkey % 10 AS k, p_size FROM part) GROUP BY 1""",
+)
+def drawing_intake(spark, root):
+    """Ten pages a file, each a phrase with what it announces and one in its title block with its level."""
+    n = F.col("p_partkey") % 10
+    p = table(spark, root, "part", ["p_partkey", "p_size"])
+    said = F.when(n % 10 == 5, "Drawing Index").otherwise("Plan")
+    said = F.concat(said, F.when(n % 3 == 1, F.concat(F.lit("\nProject: Hall "), "p_size")).when(n % 3 == 2, F.concat(F.lit("\nAHJ: City of "), "p_size")).otherwise(""))
+    level = F.when(n % 4 == 0, "BASEMENT").when(n % 4 == 2, "Second Floor").otherwise("Details")
+    phrases = [F.struct(F.lit(0).alias("seq"), said.alias("text"), F.lit(0.1).alias("x0"), F.lit(0.1).alias("y0")), F.struct(F.lit(1).alias("seq"), level.alias("text"), F.lit(0.9).alias("x0"), F.lit(0.9).alias("y0"))]
+    d = p.select(F.floor(F.col("p_partkey") / 10).alias("file_id"), (n + 1).cast("int").alias("page"), F.explode(F.array(*phrases)).alias("p")).select("file_id", "page", "p.*")
+    d = L.intake(d.withColumn("x1", F.col("x0") + 0.05).withColumn("y1", F.col("y0") + 0.05))
+    return d.select("file_id", "project_name", "jurisdiction", "index_page", F.array_join(F.transform("levels", F.lower), ",").alias("levels"))
+
+
+@query(
+    "G3 G18",
+    """SELECT p_partkey // 10 AS file_id, 'R-' || (p_partkey % 10 + 100) AS room_number, p_size AS occupant_load, CASE WHEN p_partkey % 2 = 0 THEN 'B' END AS occupancy_group FROM part WHERE p_partkey % 10 BETWEEN 5 AND 9 AND (p_partkey // 10) % 4 > 0""",
+)
+def occupant_loads(spark, root):
+    """Two pages a file with a table of loads, of which the first is a plan, so that the second counts; every fourth file announces none."""
+    k = F.col("p_partkey")
+    n = k % 10
+    p = table(spark, root, "part", ["p_partkey", "p_size"])
+    file, page = F.floor(k / 10), F.when(n < 5, 1).otherwise(2)
+    row = F.array(F.concat(F.lit("R-"), (n + 100).cast("string")), F.lit("room"), F.concat(F.col("p_size").cast("string"), F.lit(" OCC")), F.when(n % 2 == 0, "B").otherwise(""))
+    items = p.select(file.alias("file_id"), page.alias("page"), n.alias("line"), F.posexplode(row).alias("i", "text")).where("text <> ''")
+    head = p.where("p_partkey % 5 = 0").select(file.alias("file_id"), page.alias("page"), F.lit(-2).cast("long").alias("line"), F.lit(0).alias("i"), F.when(file % 4 > 0, "Occupant Load").otherwise("Areas").alias("text"))
+    d = items.unionByName(head).select("file_id", "page", (F.col("line") * 10 + F.col("i")).alias("seq"), "text", (F.col("i") * 50.0).alias("x"), (F.col("line") * 20.0 + F.col("i")).alias("y"))
+    plans = d.where("page = 1").select("file_id", "page").distinct()
+    return L.occupant_loads(d, plans).select("file_id", "room_number", "occupant_load", "occupancy_group")
