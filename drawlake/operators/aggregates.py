@@ -85,6 +85,12 @@ def share_of_total(rows: DataFrame, value: str, within: list[str] | None = None)
     return rows.withColumn("share", F.col(value) / total)
 
 
+def array_totals(rows: DataFrame, key: list[str], sized: str, flattened: str) -> DataFrame:
+    """``total``, the sum of the sizes of one array column, and ``members``, the distinct members of another, sorted (T11); null arrays count nothing."""
+    n = F.when(F.col(sized).isNotNull(), F.size(sized)).otherwise(0)
+    return rows.groupBy(*key).agg(F.sum(n).alias("total"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(flattened)))).alias("members"))
+
+
 def slowest(rows: DataFrame, name: str, value: str, by: float = 1.1) -> DataFrame:
     """The greatest of few groups, if it is ``by`` times the next."""
     top = rows.orderBy(F.desc(value), name).limit(2).agg(F.max(F.struct(value, name)).alias("a"), F.min(value).alias("b"), F.count("*").alias("n"))

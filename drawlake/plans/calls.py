@@ -134,7 +134,7 @@ def json_repair(spark, root):
 
 
 @query(
-    "K5 M6",
+    "K5",
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[]' WHEN event_id % 100 >= 75 THEN '[{"confidence":' || CASE event_id % 100 WHEN 80 THEN '0.8' WHEN 90 THEN '0.9' ELSE '0.' || (event_id % 100) END || ',"id":' || event_id || '},{"confidence":1,"id":0}]' ELSE '[{"confidence":1,"id":0}]' END AS callouts FROM events""",
 )
 def recovered_callouts(spark, root):

@@ -195,7 +195,7 @@ _PAIRS = """SELECT n.file_id, n.page, n.seq, m.seq AS n_seq, -sqrt((n.cx - m.cx)
 
 
 @query(
-    "G19 C13 C14 I21",
+    "G19 C14 I21",
     f"""WITH RECURSIVE {_PHRASES_SQL}, {_KINDS_SQL}, {_REACH_SQL}, {_door_sql()}, {_greedy_sql(_PAIRS, "file_id, page", "seq", "n_seq", "closeness")},
         nu AS (SELECT gr.l AS seq, upper(hn.t) AS near_number FROM gr JOIN hn ON hn.seq = gr.b.r),
         dh AS (SELECT n.seq, arg_min(dd.cnt, (dd.cy, dd.seq)) AS door_count FROM hn n JOIN re USING (file_id, page) JOIN dd ON dd.file_id = n.file_id AND dd.page = n.page WHERE n.is_name AND abs(dd.cy - n.cy) < vert AND abs(dd.cx - n.cx) < horiz GROUP BY 1)
@@ -287,7 +287,7 @@ def deduplicated_rooms(spark, root):
 
 
 @query(
-    "C11 G8",
+    "C11",
     rf"""WITH {_PHRASES_SQL}, {_ROOMS_SQL}, z AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM p WHERE (y1 - y0) * 800 > 20 AND (y1 - y0) * 800 <= 36 AND regexp_matches(trim(text), '[A-Za-z]') AND length(trim(text)) BETWEEN 3 AND 30 AND NOT regexp_matches(trim(text), '{W.ROOM_NUMBER}') AND NOT (x0 > 0.72 AND y0 > 0.82)),
         n AS (SELECT r.seq, arg_min({{'t': upper(trim(z.text)), 'd': sqrt((r.x - cx) * (r.x - cx) + (r.y - cy) * (r.y - cy)), 'm': 2 * greatest(w, h)}}, (sqrt((r.x - cx) * (r.x - cx) + (r.y - cy) * (r.y - cy)), z.seq)) AS b FROM r JOIN z ON r.file_id = z.file_id AND r.pdf_page = z.page WHERE r.x IS NOT NULL GROUP BY 1)
         SELECT r.seq, CASE WHEN b.d <= b.m THEN b.t END AS zone_qualifier FROM r LEFT JOIN n USING (seq) WHERE r.x IS NOT NULL""",
@@ -330,7 +330,7 @@ def _matched(spark, root):
     return M.matched(s.select("file_id", F.col("page_number").alias("page"), "sign_id", F.col("sign_identifier").alias("identifier"), "sign_type", "location"), _phrases(spark, root))
 
 
-@query("G24 I3 I11", f'WITH {_PHRASES_SQL}, {_LOCATED_SQL}, {_PASSES_SQL} SELECT sign_id, b.n AS "pass", round(b.s, 9) AS score, b.x AS x, b.y AS y FROM mt')
+@query("G24 I3", f'WITH {_PHRASES_SQL}, {_LOCATED_SQL}, {_PASSES_SQL} SELECT sign_id, b.n AS "pass", round(b.s, 9) AS score, b.x AS x, b.y AS y FROM mt')
 def sign_places(spark, root):
     return _matched(spark, root).select("sign_id", "pass", F.round("score", 9).alias("score"), "x", "y")
 

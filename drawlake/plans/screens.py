@@ -341,7 +341,7 @@ def rescanned_files(spark, root):
 
 
 @query(
-    "N3 A19",
+    "N3",
     f"""WITH {_SIGNS_SQL} SELECT sign_id, CASE WHEN NOT {_KEEP} AND sign_id % 3 = 0 THEN coalesce(x_pos, 0.5) ELSE x_pos END AS x_pos, CASE WHEN NOT {_KEEP} AND sign_id % 3 = 0 THEN coalesce(quantity, 9) ELSE quantity END AS quantity FROM s
         UNION ALL SELECT sign_id + 1000000000, 0.5, 9 FROM s WHERE sign_id % 10 = 3""",
 )

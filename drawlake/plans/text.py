@@ -39,7 +39,7 @@ def word_overlap(spark, root):
 
 
 @query(
-    "I8 I9 C9",
+    "I8",
     """SELECT n_name, s_suppkey, round(1 - levenshtein(lower(n_name), lower(s_name)) / greatest(length(n_name), length(s_name)), 6) AS similarity FROM nation JOIN supplier ON n_nationkey = s_nationkey""",
 )
 def fuzzy_pairs_levenshtein(spark, root):
@@ -49,7 +49,7 @@ def fuzzy_pairs_levenshtein(spark, root):
 
 
 @query(
-    "I14 I15 I16 I23",
+    "I14",
     r"""SELECT page_id, nullif(regexp_extract(url, '^https?://([^/]+)', 1), '') AS host, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '')) AS title FROM pages""",
 )
 def regex_first_capture(spark, root):
@@ -69,7 +69,7 @@ def string_keys(spark, root):
 
 
 @query(
-    "J3 J4 J5 J6 J10 B17",
+    "J3 J4 J5 J6 J10",
     """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN d < 0.1 THEN 1.0 WHEN d < 0.25 THEN 0.5 ELSE 0.0 END::DOUBLE AS near, floor((CASE WHEN l_returnflag = 'R' THEN 2 ELSE 3 END) / 5 * 10 + 0.5) / 10 AS confidence,
          CASE WHEN l_quantity > 1 AND l_quantity <= 100 THEN l_quantity / 100 ELSE greatest(0, least(1, l_quantity)) END AS fraction, floor(l_discount / 0.02 + 0.5)::BIGINT AS bucket
        FROM (SELECT *, sqrt(l_discount * l_discount + l_tax * l_tax) AS d FROM lineitem)""",
@@ -98,7 +98,7 @@ def _classifier_sql() -> str:
       FROM (SELECT CASE p_size % 9 WHEN 0 THEN 'First Floor Plan ' WHEN 1 THEN 'Sign Schedule ' WHEN 2 THEN 'Roof ' WHEN 3 THEN 'General Notes ' WHEN 4 THEN 'See Floor Plan ' WHEN 5 THEN 'Upper Level Plan ' WHEN 6 THEN 'Key Plan ' WHEN 7 THEN 'Specs ' ELSE 'Casework ' END || p_type AS title FROM part) GROUP BY 1)"""
 
 
-@query("G10 G12 G14 B11", _classifier_sql())
+@query("G10 B11", _classifier_sql())
 def case_classifier(spark, root):
     heads = ["First Floor Plan ", "Sign Schedule ", "Roof ", "General Notes ", "See Floor Plan ", "Upper Level Plan ", "Key Plan ", "Specs ", "Casework "]
     title = F.concat(F.array(*map(F.lit, heads))[F.col("p_size") % 9], F.col("p_type"))
@@ -115,7 +115,7 @@ def score_classifier(spark, root):
     return d.select("doc_id", C.score(F.col("text"), ("the", "license", "password")).alias("score"))
 
 
-@query("K2 K8 K7", """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type || ':' || coalesce(json_extract_string(props, '$.k'), '-') AS label FROM events""")
+@query("K7", """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type || ':' || coalesce(json_extract_string(props, '$.k'), '-') AS label FROM events""")
 def json_extract(spark, root):
     e = table(spark, root, "events", ["event_id", "event_type", "props"]).withColumn("v", F.get_json_object("props", "$.k"))
     return e.select("event_id", F.col("v").try_cast("int").alias("k"), F.concat_ws(":", "event_type", F.coalesce("v", F.lit("-"))).alias("label"))
@@ -133,7 +133,7 @@ def label_arrays(spark, root):
 
 
 @query(
-    "T6 T18 T21",
+    "",
     """SELECT doc_id, CASE WHEN quality IS NULL THEN 'custom' WHEN toxic = 1 THEN 'override' ELSE 'built-in' END AS origin, CASE WHEN n_chars >= 3000 THEN 'high' WHEN n_chars >= 1000 THEN 'middle' ELSE 'low' END AS band FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def provenance_case(spark, root):
@@ -186,7 +186,7 @@ def rules_chain(spark, root):
 
 
 @query(
-    "D13 V5",
+    "D13",
     "SELECT l_returnflag, kind, total FROM (SELECT l_returnflag, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1) UNPIVOT (total FOR kind IN (quantity, price))",
 )
 def unpivot_rows(spark, root):
@@ -216,7 +216,7 @@ def filtered_vector_topk(spark, root):
 
 
 @query(
-    "S1 S5 A10",
+    "S1 A10",
     """SELECT doc_id, array_to_string(list_filter([CASE WHEN source = 'src3' THEN 'missing section' END, CASE WHEN lang = 'fr' THEN 'invalid status' END, CASE WHEN n_chars > 5000 THEN 'invalid effective_date' END], lambda x: x IS NOT NULL), ', ') AS errors FROM documents""",
 )
 def metadata_validation(spark, root):

@@ -89,7 +89,7 @@ def test_matching(spark):
     assert [r["sign_id"] for r in M.written_back(M.placed(signs, m)).collect()] == ["b"]
     assert sorted(r["sign_id"] for r in M.signs_of_page(signs, 1, [7]).collect()) == ["a", "b", "e"]
     c = spark.createDataFrame([("b", 0.1, 0.1, False)], "sign_id string, x double, y double, ambiguous boolean")
-    assert {r["sign_id"]: r["outcome"] for r in M.auto_located(c, signs).collect()} == {"b": "applied", "e": "failed"}
+    assert {r["sign_id"]: r["outcome"] for r in M.auto_located(c, signs.selectExpr("*", "1 AS job_id", "'Hall' AS location")).collect()} == {"b": "applied", "e": "failed"}
 
 
 def test_label_candidates(spark):

@@ -50,6 +50,6 @@ def test_model_steps(spark):
     assert sorted((r["file_id"], r["page"], r["t"]) for r in M.answered_rows(called, "page:int,t:string").collect()) == [("f", 4, "a"), ("f", 5, "b")]
     assert M.remapped_pages(spark.createDataFrame([(1, 5), (3, 5)], "page int, first_page int")).first()["page"] == 5
     c = spark.createDataFrame([("s", i, 0.1 * i, 0.5, 0.1 * i) for i in range(1, 6)] + [("s", 9, 3.0, 0.5, 1.0), ("z", 1, 0.5, 0.5, 1.0)], "sign_id string, seq int, x double, y double, confidence double")
-    assert sorted(r["seq"] for r in M.located(c, spark.createDataFrame([("s",)], "sign_id string")).collect()) == [3, 4, 5]
+    assert sorted(r["seq"] for r in M.located(c, spark.createDataFrame([("j", "s")], "job_id string, sign_id string")).collect()) == [3, 4, 5]
     assert M.fallback_pages(pages, spark.createDataFrame([("g", 1)], "file_id string, page int")).count() == 7
     assert M.valid_loads(spark.createDataFrame([("1", 5), ("2", 10_000), (None, 3)], "room_number string, occupant_load int")).count() == 1
