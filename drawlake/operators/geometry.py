@@ -151,21 +151,28 @@ def clusters(phrases: DataFrame, signs: DataFrame, reach: float = 0.05, margin:
     return hit.select("sign_id", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.coalesce(F.col("_next") - F.col("dist") <= margin, F.lit(False)).alias("ambiguous"))
 
 
-def nudged(markers: DataFrame, near: float = 0.012, step: float = 0.012) -> DataFrame:
-    """Markers pushed away from the first earlier one that is too near; one after the other on each page."""
-    schema = markers.schema
+def nudged(markers: DataFrame, near: float = 0.012) -> DataFrame:
+    """Markers moved straight away from the first earlier one that is too near, to that distance; one after the other on each page.
+
+    markers: ``file_id, page, seq, x, y, score`` and more. Score 1 (stored, or matched in full) stays and pushes others; score
+    0 or null (a ghost) stays and pushes none. Within 0.001 there is no direction: such a marker stays, and no later one is
+    looked at for it. Places end within 0.02 and 0.98. Null places stay and push none; ties of seq go by place.
+    """
 
     def push(page):
-        page = page.sort_values("seq").reset_index(drop=True)
-        xs, ys = page["x"].tolist(), page["y"].tolist()
-        for i in range(len(xs)):
-            for j in range(i):
-                dx, dy = xs[i] - xs[j], ys[i] - ys[j]
-                d = (dx * dx + dy * dy) ** 0.5
-                if d < near:
-                    ux, uy = (-dy / d, dx / d) if d else (1.0, 0.0)
-                    xs[i], ys[i] = min(0.98, max(0.02, xs[i] + ux * step)), min(0.98, max(0.02, ys[i] + uy * step))
-                    break
+        page = page.sort_values(["seq", "x", "y"], kind="stable").reset_index(drop=True)
+        xs, ys, score = page["x"].to_numpy(float).copy(), page["y"].to_numpy(float).copy(), page["score"].fillna(0).to_numpy(float)
+        solid = score != 0
+        for i in range(1, len(xs)):
+            if score[i] in (0, 1):
+                continue
+            dx, dy = xs[i] - xs[:i], ys[i] - ys[:i]
+            dist = (dx * dx + dy * dy) ** 0.5
+            close = (solid[:i] & (dist < near)).nonzero()[0]
+            if len(close) and dist[close[0]] > 0.001:
+                j = close[0]
+                by = (near - dist[j]) / dist[j]
+                xs[i], ys[i] = min(0.98, max(0.02, xs[i] + dx[j] * by)), min(0.98, max(0.02, ys[i] + dy[j] * by))
         return page.assign(x=xs, y=ys)
 
-    return markers.groupBy("file_id", "page").applyInPandas(push, schema)
+    return markers.groupBy("file_id", "page").applyInPandas(push, markers.schema)

@@ -345,6 +345,27 @@ def page_markers(spark, root):
     return d.select("sign_id", "x", "y", F.round("score", 9).alias("score"))
 
 
+_CROWD_SQL = """WITH RECURSIVE c AS (SELECT p_partkey // 50 AS file_id, (p_partkey % 2 + 1)::INT AS page, p_partkey AS seq, (CASE WHEN p_partkey % 3 = 0 THEN 0.975 ELSE 0.4 END + p_partkey * 7 % 13 * 0.004)::DOUBLE AS x, (0.5 + p_partkey * 11 % 17 * 0.004)::DOUBLE AS y,
+  CASE WHEN p_partkey % 7 = 0 THEN 1.0 WHEN p_partkey % 11 = 0 THEN 0.0 WHEN p_partkey % 23 > 0 THEN 0.8 END::DOUBLE AS score, row_number() OVER (PARTITION BY p_partkey // 50, p_partkey % 2 ORDER BY p_partkey) AS n FROM part),
+w AS (SELECT file_id, page, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::DOUBLE AS x, NULL::DOUBLE AS y, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS solid FROM c GROUP BY 1, 2
+ UNION ALL SELECT file_id, page, n, seq, q.x, q.y, CASE WHEN coalesce(score, 0) = 0 THEN solid ELSE list_append(solid, {'x': q.x, 'y': q.y}) END FROM (
+  SELECT *, CASE WHEN d > 0.001 THEN {'x': least(0.98, greatest(0.02, x + (x - f.x) * (0.012 - d) / d)), 'y': least(0.98, greatest(0.02, y + (y - f.y) * (0.012 - d) / d))} ELSE {'x': x, 'y': y} END AS q FROM (
+   SELECT *, CASE WHEN coalesce(score, 0) NOT IN (0, 1) THEN sqrt((x - f.x) * (x - f.x) + (y - f.y) * (y - f.y)) END AS d FROM (
+    SELECT c.*, w.solid, list_filter(w.solid, lambda o: sqrt((c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y)) < 0.012)[1] AS f FROM w JOIN c ON c.file_id = w.file_id AND c.page = w.page AND c.n = w.n + 1))))
+SELECT seq, round(x, 9) AS x, round(y, 9) AS y FROM w WHERE n > 0"""
+
+
+@query("T3", _CROWD_SQL)
+def nudged_markers(spark, root):
+    """Parts as crowded markers, 50 on the two pages of a file; some are stored, some are ghosts."""
+    k = F.col("p_partkey")
+    p = table(spark, root, "part", ["p_partkey"])
+    x = F.when(k % 3 == 0, 0.975).otherwise(0.4) + k * 7 % 13 * 0.004
+    score = F.when(k % 7 == 0, 1.0).when(k % 11 == 0, 0.0).when(k % 23 > 0, 0.8)
+    m = p.select(F.floor(k / 50).alias("file_id"), (k % 2 + 1).cast("int").alias("page"), k.alias("seq"), x.alias("x"), (F.lit(0.5) + k * 11 % 17 * 0.004).alias("y"), score.alias("score"))
+    return G.nudged(m).select("seq", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
 @query("T4", f"WITH {_PHRASES_SQL}, {_LOCATED_SQL}, {_PASSES_SQL}, {_PLACED_SQL} SELECT sign_id, x, y FROM pl WHERE x_pos IS NULL AND y_pos IS NULL AND score >= 0.5")
 def written_back(spark, root):
     return M.written_back(M.placed(_located_signs(spark, root), _matched(spark, root)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from drawlake.operators import geometry as G
 from drawlake.operators import labels as L
 from drawlake.operators import matching as M
 from drawlake.operators import schedule as S
@@ -92,6 +93,15 @@ def test_matching(spark):
     assert {r["sign_id"]: r["outcome"] for r in M.auto_located(c, signs.selectExpr("*", "1 AS job_id", "'Hall' AS location")).collect()} == {"b": "applied", "e": "failed"}
 
 
+def test_nudged_markers(spark):
+    rows = [(1, 1, 1, 0.5, 0.5, 1.0), (1, 1, 2, 0.506, 0.5, 0.8), (1, 1, 3, 0.5, 0.5005, 0.8), (1, 1, 4, 0.7, 0.7, 0.0), (1, 1, 5, 0.705, 0.7, 0.8), (1, 1, 6, 0.975, 0.3, 0.7), (1, 1, 7, 0.979, 0.3, 0.7), (1, 1, 8, 0.504, 0.5, 1.0), (1, 1, 9, None, 0.5, 0.8), (1, 2, 1, 0.506, 0.5, None)]
+    d = spark.createDataFrame(rows, "file_id int, page int, seq int, x double, y double, score double")
+    got = {(r["page"], r["seq"]): r["x"] if r["x"] is None else round(r["x"], 6) for r in G.nudged(d).collect()}
+    # 2 moves to the full distance; 3 is as good as on 1; a ghost (4) pushes none; 7 stops at the edge; 8 is stored.
+    assert got == {(1, 1): 0.5, (1, 2): 0.512, (1, 3): 0.5, (1, 4): 0.7, (1, 5): 0.705, (1, 6): 0.975, (1, 7): 0.98, (1, 8): 0.504, (1, 9): None, (2, 1): 0.506}
+    assert G.nudged(d.limit(0)).count() == 0
+
+
 def test_label_candidates(spark):
     rows = [phrase(1, "CONFERENCE", 0.10, 0.10), phrase(2, "WEST", 0.14, 0.105), phrase(3, "WING", 0.18, 0.105), phrase(4, "12'-0\"", 0.3, 0.1), phrase(5, "A1", 0.3, 0.2), phrase(6, "LAB", 0.4, 0.4), phrase(7, "LONGER LABEL", 0.44, 0.4), phrase(8, "TITLES", 0.9, 0.9), phrase(9, "ABC", 0.6, 0.1)]
     got = {r["text"]: round(r["x"], 3) for r in L.label_candidates(spark.createDataFrame(rows, PHRASES)).collect()}
