@@ -117,6 +117,20 @@ HEADING_ROOM_WORDS = (
     "LIBRARY", "AUDITORIUM", "STAGE",
 )
 
+# Words that name a room by themselves, and short forms that count as labels (lowered).
+ROOM_WORDS = (
+    "wrr", "womens", "women's", "women", "girls", "mrr", "mens", "men's", "men", "boys", "corridor", "corr", "hallway", "hall", "lobby", "reception", "foyer", "entry", "entrance", "vestibule", "narthex",
+    "mech", "mechanical", "elec", "electrical", "stair", "stairwell", "stairs", "elev", "elevator", "lift", "restroom", "toilet", "wc", "lavatory", "bathroom", "office", "conference", "collab",
+    "collaboration", "meeting", "classroom", "training", "storage", "stor", "closet", "sanctuary", "chapel", "worship", "fellowship", "commons", "community", "multipurpose", "sacristy", "vestry", "clergy",
+    "console", "server", "data", "telecom", "idf", "mdf", "janitor", "custodial", "housekeeping", "jan", "break", "lounge", "kitchen", "café", "cafe", "breakroom", "utl", "utility", "riser", "patio",
+    "terrace", "courtyard", "atrium", "stage", "platform", "balcony", "auditorium", "amphitheater", "amphitheatre", "black box", "blackbox", "auditorium stage", "drama", "orchestra", "coat room",
+    "coatroom", "cloakroom", "green room", "greenroom", "gymnasium", "gym", "aux gym", "auxiliary gym", "weight room", "weight", "fitness", "fitness room", "fitness center", "pool", "natatorium",
+    "swimming pool", "locker room", "locker", "boys locker", "girls locker", "music room", "music", "band", "band room", "choir", "wr",
+)
+ROOM_ABBREVIATIONS = (
+    "wrr", "mrr", "unr", "idf", "mdf", "spa", "wc", "rr", "dn", "up", "ahu", "vav", "sto", "utl", "jan", "phr", "med", "adm", "art", "gym", "lab", "lib",
+)
+
 # Labels on plans.
 ROOM_NUMBER = r"^(?:[A-Za-z]{1,3}[-_]?\d{2,4}[A-Za-z]?|\d{2,4}[A-Za-z]?)$"
 NOT_A_LABEL = r"""\d+'|\d+"|\d+\s*[-x]\s*\d|1\s*/\s*\d{1,3}\s*=|^\d+[\s.]*$"""

@@ -126,14 +126,14 @@ def intake(phrases: DataFrame, pages: int = 10) -> DataFrame:
     )
 
 
-def candidate_token(text: Column, abbreviations: tuple[str, ...] = V.KNOWN_SHORT) -> Column:
+def candidate_token(text: Column, abbreviations: tuple[str, ...] = V.ROOM_ABBREVIATIONS) -> Column:
     """May be part of a room's label: no bare figures, dimensions or grid marks, four characters or a known abbreviation of three."""
     t = F.trim(text)
     bare = t.rlike(r"""^[0-9\s\-_/().,'"]+$""") | (t.rlike("['\"/]") & t.rlike("[0-9]")) | t.rlike("^[A-Z][0-9]{1,3}$")
-    return ~bare & ((F.length(t) > 3) | ((F.length(t) == 3) & F.upper(t).isin(*abbreviations)))
+    return ~bare & ((F.length(t) > 3) | ((F.length(t) == 3) & F.lower(t).isin(*abbreviations)))
 
 
-def label_candidates(phrases: DataFrame, keywords: tuple[str, ...] = V.HEADING_ROOM_WORDS, dx: float = 60.0, dy: float = 20.0, short: int = 8) -> DataFrame:
+def label_candidates(phrases: DataFrame, keywords: tuple[str, ...] = V.ROOM_WORDS, dx: float = 60.0, dy: float = 20.0, short: int = 8) -> DataFrame:
     """Labels of a drawing (G9): phrases outside title block and tables, each joined with the first free one close to its right.
 
     Two join if both are short or one is a room's keyword. Which are free depends on the joins before: a fold over each
@@ -143,7 +143,7 @@ def label_candidates(phrases: DataFrame, keywords: tuple[str, ...] = V.HEADING_R
 
     d = without_table_columns(phrases.where(~in_title_block())).where(candidate_token(F.col("text")))
     d = d.select("file_id", "page", "seq", F.trim("text").alias("text"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), "page_width", "page_height")
-    d = d.withColumn("small", F.length("text") < short).withColumn("word", F.upper("text").isin(*keywords))
+    d = d.withColumn("small", F.length("text") < short).withColumn("word", F.lower("text").isin(*keywords))
     b = d.select("file_id", "page", F.col("seq").alias("b_seq"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("small").alias("b_small"), F.col("word").alias("b_word"))
     right = (F.col("bx") - F.col("x")) * F.col("page_width")
     near = d.join(b, ["file_id", "page"]).where((F.col("b_seq") > F.col("seq")) & (right > 0) & (right <= dx) & (F.abs(F.col("by") - F.col("y")) * F.col("page_height") <= dy))

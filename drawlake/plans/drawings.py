@@ -296,6 +296,26 @@ def zone_qualifiers(spark, root):
     return R.zone_qualifiers(_drawn_rooms(spark, root).where("x IS NOT NULL"), L.zone_anchors(_phrases(spark, root))).select("seq", "zone_qualifier")
 
 
+_LABEL_SQL = f"""c AS (SELECT *, length(text) < 8 AS small, lower(text) IN ({', '.join("'" + _Q(w) + "'" for w in W.ROOM_WORDS)}) AS word FROM (SELECT file_id, page, seq, trim(text) AS text, cx, cy FROM dr) WHERE NOT regexp_matches(text, '^[0-9\\s\\-_/().,''"]+$') AND NOT (regexp_matches(text, '[''"/]') AND regexp_matches(text, '[0-9]'))
+  AND NOT regexp_matches(text, '^[A-Z][0-9]{{1,3}}$') AND (length(text) > 3 OR (length(text) = 3 AND lower(text) IN ({', '.join(f"'{w}'" for w in W.ROOM_ABBREVIATIONS)})))),
+e AS (SELECT a.file_id, a.page, a.seq AS a, b.seq AS b, row_number() OVER (PARTITION BY a.file_id, a.page ORDER BY a.seq, b.seq) AS n FROM c a JOIN c b ON a.file_id = b.file_id AND a.page = b.page AND b.seq > a.seq
+  WHERE (b.cx - a.cx) * 1000 > 0 AND (b.cx - a.cx) * 1000 <= 200 AND abs(b.cy - a.cy) * 800 <= 60 AND ((a.small AND b.small) OR a.word OR (a.small AND b.word))),
+w AS (SELECT file_id, page, 0::BIGINT AS n, CAST([] AS BIGINT[]) AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM e GROUP BY 1, 2
+  UNION ALL SELECT file_id, page, n, CASE WHEN free THEN list_concat(used, [a, b]) ELSE used END, CASE WHEN free THEN a END, CASE WHEN free THEN b END
+  FROM (SELECT e.*, w.used, NOT list_contains(w.used, e.a) AND NOT list_contains(w.used, e.b) AS free FROM w JOIN e ON e.file_id = w.file_id AND e.page = w.page AND e.n = w.n + 1)),
+j AS (SELECT a, b FROM w WHERE a IS NOT NULL)"""
+
+
+@query(
+    "G9",
+    f"""WITH RECURSIVE {_PHRASES_SQL}, d AS (SELECT * FROM p WHERE NOT {_TITLE}), {_TABLE_SQL}, {_LABEL_SQL} SELECT c.seq, concat_ws(' ', c.text, o.text) AS text, CASE WHEN o.seq IS NULL THEN c.cx ELSE (c.cx + o.cx) / 2 END AS x, CASE WHEN o.seq IS NULL THEN c.cy ELSE (c.cy + o.cy) / 2 END AS y
+        FROM c LEFT JOIN j ON j.a = c.seq LEFT JOIN c o ON o.seq = j.b WHERE c.seq NOT IN (SELECT b FROM j)""",
+)
+def joined_labels(spark, root):
+    """Labels of all drawings, at a wider reach than usual: these phrases stand apart."""
+    return L.label_candidates(_phrases(spark, root), dx=200.0, dy=60.0).select("seq", "text", "x", "y")
+
+
 # Sign places.
 
 _LOCATED_SQL = _SIGNS_SQL.replace("p_name AS location", "replace([" + ", ".join(f"'{_Q(t)}'" for t in _TEXTS) + f"][(p_partkey * 3 % {len(_TEXTS)})::INT + 1], '#', (p_partkey % 40 + 100)::VARCHAR) || CASE WHEN p_partkey % 5 = 0 THEN ' wing' ELSE '' END AS location")
