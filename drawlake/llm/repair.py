@@ -129,7 +129,7 @@ def least_edits(turns: list[tuple[str, str]]) -> tuple[int, str]:
 
 
 _ROW = "struct<turn: bigint, role: string, text: string, fault: string>"
-_EDIT = "struct<edit: string, turn: bigint, role: string, text: string, fault: string>"
+_EDIT = "struct<edit: string, turn: bigint, role: string, was: string, text: string, fault: string>"
 
 
 def _edits(rows: list, letters: str, state: int) -> list[dict]:
@@ -143,7 +143,7 @@ def _edits(rows: list, letters: str, state: int) -> list[dict]:
             role = "user" if state == U else "assistant"
         elif letter == "K":
             state = STEP[role[:1]][state]
-        out.append({"edit": letter, "turn": row["turn"], "role": role, "text": row["text"], "fault": row["fault"]})
+        out.append({"edit": letter, "turn": row["turn"], "role": role, "was": row["role"], "text": row["text"], "fault": row["fault"]})
     return out
 
 
@@ -233,8 +233,8 @@ def _id(name: Column, kind: str) -> Column:
 def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows of conversations -> ``conv_id, piece, is_whole, edits``: one row for a conversation, or one for each piece of a cut one, in order of ``piece``.
 
-    ``edits`` are structs of ``edit`` (Keep, Rerole, Delete, Insert by initial), ``turn, role, text, fault``, deleted rows
-    with them. Rows go by turn (nulls first), ties by role and the SHA-256 of the text; repeated rows are duplicates of
+    ``edits`` are structs of ``edit`` (Keep, Rerole, Delete, Insert by initial), ``turn, role, was`` (the role before), ``text,
+    fault``, deleted rows with them. Rows go by turn (nulls first), ties by role and the SHA-256 of the text; repeated rows are duplicates of
     the first. A null role or text is one space, a null conv_id is a conversation of its own; empty texts are blank; a role
     of another initial than s, u or a cannot be kept. No rows in, no rows out. Other columns are ignored.
     """
@@ -299,7 +299,7 @@ def repair_digests(pieces: DataFrame) -> DataFrame:
     d = pieces.select(
         _name(F.col("conv_id")).alias("conv"), "piece", "is_whole", had.alias("had"), edit_cost(F.col("edits")).alias("cost"),
         F.array_join(F.transform("edits", lambda e: e["edit"]), "").alias("audit"), F.size(lines).alias("lines"), F.array_join(lines, "\n").alias("repaired"),
-    ).withColumn("initials", F.expr("transform(had, e -> left(e.role, 1))")).withColumn("turns", F.expr("filter(had.turn, t -> t IS NOT NULL)"))
+    ).withColumn("initials", F.expr("transform(had, e -> left(e.was, 1))")).withColumn("turns", F.expr("filter(had.turn, t -> t IS NOT NULL)"))
     faults = [F.expr(f"size(filter(had, e -> e.fault = '{f}'))").cast("long").alias(f) for f in ("blank", "duplicate", "truncated")]
     legal = "('su', 'ua', 'au')"
     illegal = F.expr(f"size(filter(zip_with(slice(initials, 1, size(initials) - 1), slice(initials, 2, size(initials)), (a, b) -> a || b), p -> p NOT IN {legal}))").cast("long")
