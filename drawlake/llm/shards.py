@@ -213,7 +213,8 @@ own AS (SELECT coalesce(min(i) FILTER (WHERE i > 24 OR s * (24 - (i - 1)) < rest
 small AS (SELECT i - n AS i, s, key FROM items, own WHERE i > n),
 steps AS (SELECT DISTINCT (f * 2 ** e)::BIGINT // g AS f FROM (VALUES (1, 1), (3, 2)) v(f, g), range(50) r(e) WHERE f * 2 ** e >= g AND NOT (f = 3 AND e < 1)),
 pack(more, i, b, bins) AS (
-  SELECT f * (SELECT min(s) FROM small), 0::BIGINT, 0::BIGINT, list_transform(range(24 - n), lambda x: ceil((SELECT sum(s) FROM small) / (24 - n))::BIGINT + f * (SELECT min(s) FROM small)) FROM steps, own WHERE f <= 2 * (SELECT max(s) FROM small)
+  SELECT f * least_s, 0::BIGINT, 0::BIGINT, list_transform(range(24 - n), lambda x: ceil(sum_s / (24 - n))::BIGINT + f * least_s)
+  FROM steps, own, (SELECT min(s) AS least_s, max(s) AS most_s, sum(s) AS sum_s FROM small) WHERE f <= 2 * most_s
   UNION ALL
   SELECT more, i, b, list_transform(bins, lambda x, j: CASE WHEN j = b THEN x - s ELSE x END)
   FROM (SELECT p.more, t.i, t.s, p.bins, list_position(p.bins, list_min(list_filter(p.bins, lambda x: x >= t.s))) AS b FROM pack p JOIN small t ON t.i = p.i + 1) WHERE b IS NOT NULL),
