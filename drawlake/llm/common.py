@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,11 @@ def forget_tables(spark: SparkSession) -> None:
     _delete(spark, run_dir(spark))
 
 
+def frame(rows: Iterable[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows for Arrow as plain objects: long strings as pandas' own string type may be in chunks, which Arrow's struct arrays refuse."""
+    return pd.DataFrame(list(rows), columns=columns, dtype=object)
+
+
 def whole(text: Column) -> Column:
     """A text, null as the empty one."""
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import materialize, table, whole_text_batches
+from drawlake.llm.common import frame, materialize, table, whole_text_batches
 from drawlake.llm.spelling import CRC, CRC_TABLE
 
 #: Turns under one set of layers; turns and characters of a piece at most (a piece holds at least one turn).
@@ -157,7 +157,7 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows, size, now, cut_before, previous = [], 0, None, True, None
 
     def piece(is_whole: bool) -> pd.DataFrame:
-        return pd.DataFrame({"conv": [now], "piece": [number], "is_whole": [is_whole], "costs": [None if is_whole else matrix(_turns(rows))], "rows": [rows]})
+        return frame([(now, number, is_whole, None if is_whole else matrix(_turns(rows)), rows)], ["conv", "piece", "is_whole", "costs", "rows"])
 
     for b in batches:
         for conv, turn, no_turn, role, text, fault, key, at_first in b.itertuples(index=False):
@@ -184,7 +184,7 @@ def _costs_behind(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             now, ends = conv, ENDS if is_last else ends
             out.append((number, list(ends), is_last))
             ends = tuple(min(int(costs[4 * q + r]) + ends[r] for r in range(4)) for q in range(4))
-        yield pd.DataFrame(out, columns=["piece", "ends", "is_last"])
+        yield frame(out, ["piece", "ends", "is_last"])
 
 
 def _traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +195,7 @@ def _traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             _, blocks = _behind(list(zip(initials, faults, strict=True)), tuple(int(e) for e in ends))
             found = [_trace(blocks, q) for q in range(4)]
             out.append((conv, number, [t + ("I" * (ENDS[q] // INSERT) if is_last else "") for t, q in found], [q for _, q in found]))
-        yield pd.DataFrame(out, columns=["conv", "piece", "letters", "states"])
+        yield frame(out, ["conv", "piece", "letters", "states"])
 
 
 def _chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +208,7 @@ def _chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             now = conv
             out.append((number, f"{state}{letters[state]}"))
             state = int(states[state])
-        yield pd.DataFrame(out, columns=["piece", "trace"])
+        yield frame(out, ["piece", "trace"])
 
 
 def _applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +218,7 @@ def _applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = [x | {"turn": None if x["turn"] is None else int(x["turn"])} for x in rows]
             trace = f"{START}{least_edits(_turns(rows))[1]}" if is_whole else trace
             out.append((conv, number, is_whole, _edits(rows, trace[1:], int(trace[0]))))
-        yield pd.DataFrame(out, columns=["conv", "piece", "is_whole", "edits"])
+        yield frame(out, ["conv", "piece", "is_whole", "edits"])
 
 
 def _name(conv_id: Column) -> Column:
@@ -280,13 +280,13 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for conv, lines, repaired in b.itertuples(index=False):
             if conv != now:
                 if digest is not None:
-                    yield pd.DataFrame({"conv": [now], "repaired_sha256": [digest.hexdigest()]})
+                    yield frame([(now, digest.hexdigest())], ["conv", "repaired_sha256"])
                 now, digest, empty = conv, hashlib.sha256(), True
             if lines:
                 digest.update((repaired if empty else "\n" + repaired).encode())
                 empty = False
     if digest is not None:
-        yield pd.DataFrame({"conv": [now], "repaired_sha256": [digest.hexdigest()]})
+        yield frame([(now, digest.hexdigest())], ["conv", "repaired_sha256"])
 
 
 def repair_digests(pieces: DataFrame) -> DataFrame:

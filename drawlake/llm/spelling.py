@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents, materialize, whole, whole_text_batches
+from drawlake.llm.common import documents, frame, materialize, whole, whole_text_batches
 
 RUN = "[A-Za-zÀ-ÿ]+"
 #: Words counted in a task before it passes its counts on; letters of equally long words hashed at a time.
@@ -49,9 +49,9 @@ def damaged_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", o
                         word = word[:at] + word[at + 1 :]
                     counts[word] += n
                 if len(counts) > FLUSH:
-                    yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+                    yield frame(counts.items(), ["word", "n"])
                     counts.clear()
-        yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+        yield frame(counts.items(), ["word", "n"])
 
     whole_text_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), whole(F.col(text)).alias("text"))
