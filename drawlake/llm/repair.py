@@ -154,24 +154,29 @@ def _turns(rows: list) -> list[tuple[str, str]]:
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted rows -> pieces. The first and the last conversation of a task may go on in another one and count as cut."""
     number = TaskContext.get().partitionId() << 32
-    rows, size, now, cut_before, previous = [], 0, None, True, None
+    names = ["conv", "piece", "is_whole", "costs", "rows"]
+    rows, size, now, cut_before, previous, ready, held = [], 0, None, True, None, [], 0
 
-    def piece(is_whole: bool) -> pd.DataFrame:
-        return frame([(now, number, is_whole, None if is_whole else matrix(_turns(rows)), rows)], ["conv", "piece", "is_whole", "costs", "rows"])
+    def piece(is_whole: bool) -> tuple:
+        return now, number, is_whole, None if is_whole else matrix(_turns(rows)), rows
 
     for b in batches:
-        for conv, turn, no_turn, role, text, fault, key, at_first in b.itertuples(index=False):
+        for conv, turn, no_turn, role, text, fault, key, at_first in zip(*(b[c].tolist() for c in b.columns), strict=True):
             other = conv != now
             if rows and (other or len(rows) >= PIECE or size > CHARS):
-                yield piece(other and not cut_before)
-                number, cut_before, rows, size = number + 1, not other, [], 0
+                ready.append(piece(other and not cut_before))
+                number, held, cut_before, rows, size = number + 1, held + size, not other, [], 0
+                if len(ready) >= 1000 or held > CHARS:
+                    yield frame(ready, names)
+                    ready, held = [], 0
             now = conv
             # Of equal rows at the first place of all the first one is no duplicate; they follow each other.
             repeats, previous = not at_first or key == previous, key
-            rows.append({"turn": None if no_turn else int(turn), "role": role, "text": text, "fault": "blank" if fault == "blank" else "duplicate" if repeats else fault})
+            rows.append({"turn": None if no_turn else turn, "role": role, "text": text, "fault": "blank" if fault == "blank" else "duplicate" if repeats else fault})
             size += len(text)
     if rows:
-        yield piece(False)
+        ready.append(piece(False))
+    yield frame(ready, names)
 
 
 def _costs_behind(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
