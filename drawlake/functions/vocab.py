@@ -131,6 +131,18 @@ ROOM_ABBREVIATIONS = (
     "wrr", "mrr", "unr", "idf", "mdf", "spa", "wc", "rr", "dn", "up", "ahu", "vav", "sto", "utl", "jan", "phr", "med", "adm", "art", "gym", "lab", "lib",
 )
 
+# Short words on signs and plans, and what they stand for.
+SIGN_WORDS = {
+    "elev": "elevator", "stair": "stairwell", "str": "stairwell", "mech": "mechanical", "equip": "equipment", "stor": "storage", "util": "utility", "maint": "maintenance", "elec": "electrical",
+    "telecom": "telecommunications", "comm": "communications", "corr": "corridor", "jan": "janitor", "vest": "vestibule", "conf": "conference", "collab": "collaboration", "recept": "reception",
+    "laund": "laundry", "pkg": "parking", "gym": "gymnasium", "mgmt": "management", "ofc": "office", "wrr": "restroom", "mrr": "restroom", "rr": "restroom", "toilet": "restroom", "bath": "bathroom",
+    "break": "breakroom", "copy": "copyroom", "server": "serverroom", "class": "classroom", "lib": "library", "cafe": "cafeteria", "cafet": "cafeteria", "lab": "laboratory", "admin": "administration",
+    "aud": "auditorium", "prek": "prekindergarten", "media": "mediacenter", "nurse": "nurseoffice", "couns": "counselor", "art": "artroom", "music": "musicroom", "sci": "sciencelaboratory",
+    "chem": "chemistrylaboratory", "comp": "computerlab", "tech": "technology",
+}
+SIGN_ROOM_TOKEN = r"\b(?:[A-Za-z]{1,2}\d{2,4}[A-Za-z]?|\d{2,4}[A-Za-z]{1,2})\b"
+SIGN_ROOM_NUMBER = r"\b(?:[A-Z]{1,2}-\d{2,4}|[A-Z]?\d{3}[A-Z]?)\b"
+
 # Labels on plans.
 ROOM_NUMBER = r"^(?:[A-Za-z]{1,3}[-_]?\d{2,4}[A-Za-z]?|\d{2,4}[A-Za-z]?)$"
 NOT_A_LABEL = r"""\d+'|\d+"|\d+\s*[-x]\s*\d|1\s*/\s*\d{1,3}\s*=|^\d+[\s.]*$"""

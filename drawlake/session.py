@@ -25,9 +25,13 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where none is set a local one serves, on a local master only."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="drawlake-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="drawlake-")
     return f"{base.rstrip('/')}/drawlake/{name}-{uuid.uuid4().hex}"
