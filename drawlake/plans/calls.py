@@ -57,7 +57,7 @@ def batched_prompts(spark, root):
 
 
 @query(
-    "M2 M3 M4 K3 K4 K6 T25",
+    "M2 M3 K3 K4 K6 T25",
     f"WITH RECURSIVE {_BATCH_SQL} SELECT file_id, batch::BIGINT AS batch, 'floor_plan_text' AS kind, length(prompt)::INT AS length, '---' AS first FROM p",
 )
 def text_answers(spark, root):
@@ -66,7 +66,7 @@ def text_answers(spark, root):
 
 
 @query(
-    "M16 A21 M15",
+    "M16 A21",
     f"WITH RECURSIVE {_BATCH_SQL} SELECT file_id AS job_id, 'callout_scan' AS call_type, ceil(length(prompt) / 4)::BIGINT AS prompt_tokens, length(prompt) % 2 = 0 AS ok, CASE WHEN length(prompt) % 2 = 1 THEN 'ValueError: odd' END AS error FROM p",
 )
 def call_logs(spark, root):
@@ -81,7 +81,7 @@ def failure_alerts(spark, root):
 
 
 @query(
-    "M5 M6 M7 M8",
+    "M6",
     """SELECT conv_id AS file_id, batch::BIGINT AS batch, first_page + p - 1 AS page FROM (SELECT conv_id, turn // 2 AS batch, min(turn // 2 * 2 + 1) AS first_page FROM conversations GROUP BY 1, 2), range(1, 3) r(p)""",
 )
 def remapped_callouts(spark, root):
