@@ -19,7 +19,7 @@ from drawlake.llm.common import documents, whole_text_batches
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "birth", "account")
 #: An added span (a kind that is not of the base) needs this score.
 ADDED_SCORE = 0.5
-#: Characters before and after a span in which context words count.
+#: Characters before and after a span in which context words count, as whole words.
 REACH = 48
 CONTEXT = {
     "email": ("mail", "contact", "write to"),
@@ -96,9 +96,25 @@ def _ibans(text: str):
                 break
 
 
+def _whole_words(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)")
+
+
+_FOR = {k: _whole_words(ws) for k, ws in CONTEXT.items()}
+_AGAINST = {k: _whole_words(ws) for k, ws in AGAINST.items()}
+
+
+def _near(text: str, start: int, end: int) -> str:
+    """What stands around a span, in lower case; a word that the reach cuts ends in a digit, so that its rest is no word."""
+    low, high = start - REACH, end + REACH
+    before = "0" if low > 0 and re.match(r"\w", text[low - 1]) else ""
+    after = "0" if re.match(r"\w", text[high : high + 1]) else ""
+    return f"{before}{text[max(0, low) : start]} {text[end:high]}{after}".lower()
+
+
 def _score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
-    near = (text[max(0, start - REACH) : start] + " " + text[end : end + REACH]).lower()
-    return round(0.4 + 0.4 * confirmed + 0.2 * any(w in near for w in CONTEXT[kind]) - 0.2 * any(w in near for w in AGAINST.get(kind, ())), 2)
+    near = _near(text, start, end)
+    return round(0.4 + 0.4 * confirmed + 0.2 * bool(_FOR[kind].search(near)) - 0.2 * bool(kind in _AGAINST and _AGAINST[kind].search(near)), 2)
 
 
 def _added(text: str):
@@ -208,12 +224,13 @@ def _sql() -> str:
     sure = {"email": 1, "ip": 0, "card": 1, "phone": 0, "iban": 1, "ssn": 0, "birth": 0, "account": 0}
     parts = []
     for k, (kind, (rx, test)) in enumerate(kinds.items()):
-        near = " OR ".join(f"contains(nr, '{w}')" for w in CONTEXT[kind])
-        against = " OR ".join(f"contains(nr, '{w}')" for w in AGAINST.get(kind, ())) or "false"
+        says = lambda words: rf"regexp_matches(nr, '(^|[^\pL\pN_])({'|'.join(words)})($|[^\pL\pN_])')" if words else "false"
+        near, against = says(CONTEXT[kind]), says(AGAINST.get(kind))
         parts.append(
             f"""SELECT rid, {k} AS k, '{kind}' AS kind, a, a + length(x) AS b, round(0.4 + 0.4 * {sure[kind]} + CASE WHEN {near} THEN 0.2 ELSE 0 END - CASE WHEN {against} THEN 0.2 ELSE 0 END, 2) AS score FROM
       (SELECT rid, x, a, regexp_replace(x, '[^0-9]', '', 'g') AS dg, reverse(regexp_replace(x, '[^0-9]', '', 'g')) AS rv,
-              lower(substr(t, greatest(1, a - {REACH - 1}), a - greatest(1, a - {REACH - 1}) + 1) || ' ' || substr(t, a + length(x) + 1, {REACH})) AS nr FROM
+              lower(CASE WHEN a > {REACH} AND regexp_matches(substr(t, a - {REACH}, 1), '[\\pL\\pN_]') THEN '0' ELSE '' END || substr(t, greatest(1, a - {REACH - 1}), a - greatest(1, a - {REACH - 1}) + 1) || ' ' || substr(t, a + length(x) + 1, {REACH})
+                || CASE WHEN regexp_matches(substr(t, a + length(x) + {REACH + 1}, 1), '[\\pL\\pN_]') THEN '0' ELSE '' END) AS nr FROM
        (SELECT rid, t, m[i] AS x, (list_sum([length(y) FOR y IN p[1:i]]) + coalesce(list_sum([length(y) FOR y IN m[1:i - 1]]), 0))::BIGINT AS a FROM
         (SELECT rid, t, m, p, unnest(generate_series(1, len(m))) AS i FROM (SELECT rid, t, regexp_extract_all(t, '{rx}') AS m, string_split_regex(t, '{rx}') AS p FROM d WHERE regexp_matches(t, '{rx}'))))) WHERE {test}"""
         )

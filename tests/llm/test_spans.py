@@ -110,6 +110,15 @@ def test_context_decides_on_added_kinds():
     assert pii.redacted("her DOB is 2/3/1990.") == "her DOB is <BIRTH>."
 
 
+def test_context_words_are_whole_words():
+    for text in ("Adobe Reader 2019-03-04 is out", "a stubborn clerk, 2019-03-04", "accountants counted 12345678 seats", "dob" + "x" * 60 + " 2019-03-04", "2019-03-04 " + "y" * 46 + "bornholm"):
+        assert pii.spans(text) == [] and pii.redacted(text) == text, text
+    assert pii.spans("the ship 10.0.0.1 left")[0][3] == 0.4 and pii.spans("the IP: 10.0.0.1")[0][3] == 0.6
+    assert [s[0] for s in pii.spans("Born 2019-03-04, account 12345678")] == ["birth", "account"]
+    # The reach cuts "reborn" behind its "re", and "born" is whole within it.
+    assert pii.spans("re" + "born" + " " * 44 + "2019-03-04") == [] and [s[0] for s in pii.spans("- born" + " " * 44 + "2019-03-04")] == ["birth"]
+
+
 def test_iban_and_scores():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB83WEST12345698765432")
     assert [s[0] for s in pii.spans("bank account GB82WEST12345698765432.")] == ["iban"]
