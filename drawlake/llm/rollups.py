@@ -3,7 +3,7 @@
 A batch holds signed rows: inserts count +1 document and +tokens, deletes -1 and -tokens, and a revised count is
 a delete of the old row and an insert of the new one. Rows are summed to a delta per (source, lang, tokenizer)
 before they are written, so totals are sums of small tables. Every try of a batch writes a folder of its own; the
-batch's marker, which is made without overwriting, names the folder that counts. Of two drivers with the same batch
+batch's marker, which is renamed into place without overwriting, names the folder that counts. Of two drivers with the same batch
 one makes the marker and the other's folder is never read. Old batches are folded into a base total.
 """
 
@@ -63,8 +63,8 @@ class TokenRollup:
     """Additive totals in a folder that all machines share.
 
     ``batches/<id>/<try>`` holds deltas, ``commits/<id>`` the name of the try that counts, ``bases/<n>`` that of a folder
-    with the totals (``totals``) and the ids (``ids``) of the batches folded into it. A marker without content is torn: it
-    does not count, and the next commit of that batch replaces it. The file system must create files exclusively.
+    with the totals (``totals``) and the ids (``ids``) of the batches folded into it. Markers are renamed into place,
+    never onto another one, which the shared file system must do in one step (the local one looks first).
     """
 
     SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -93,20 +93,26 @@ class TokenRollup:
             stream.close()
 
     def _mark(self, where: str, content: str) -> bool:
-        """Make a marker; False if there is one with content already."""
-        fs, at = self._fs(f"{self.path}/{where}")
-        if fs.exists(at):
-            if self._read(where) is not None:
-                return False
+        """Make a marker; False if there is one with content already. It is written under a name of its own and renamed without overwriting, so that a marker is whole from the moment it is there."""
+        if self._read(where) is not None:
+            return False
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs, own = self._fs(f"{self.path}/marks/{uuid.uuid4().hex}")
+        out = fs.create(own, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{where}")
+        fs.mkdirs(at.getParent())
+        if fs.exists(at):  # without content: none of ours, which are whole when they appear
             fs.delete(at, False)
+        no_overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            out = fs.create(at, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(own), fs.makeQualified(at), no_overwrite)
         except Exception:
+            fs.delete(own, False)
             if self._read(where) is None:  # no other driver was first: the file system failed
                 raise
             return False
-        out.write(bytearray(content.encode()))
-        out.close()
         return True
 
     def committed(self, batch: str) -> bool:
@@ -134,21 +140,24 @@ class TokenRollup:
         new = {i: own for i in self._names("commits") if i not in folded and (own := self._read(f"commits/{i}"))}
         return paths + [f"{self.path}/batches/{i}/{own}" for i, own in new.items()], sorted(new), sorted(folded | set(new))
 
-    def totals(self) -> DataFrame:
-        """``source, lang, tokenizer, n_docs, n_tokens`` over the committed batches; no rows before the first."""
-        paths, _, _ = self._state()
+    def _sum(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], self.SCHEMA)
         rows = self.spark.read.schema(self.SCHEMA).parquet(*paths)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
+    def totals(self) -> DataFrame:
+        """``source, lang, tokenizer, n_docs, n_tokens`` over the committed batches; no rows before the first."""
+        return self._sum(self._state()[0])
+
     def compact(self) -> bool:
         """Fold the committed batches into a new base, so that totals read one table; False if there is nothing new or another driver was first."""
         paths, new, every = self._state()
         if not new:
             return False
         own = uuid.uuid4().hex
-        self.totals().write.parquet(f"{self.path}/folded/{own}/totals")
+        # The folders that go with these ids, whatever was committed since.
+        self._sum(paths).write.parquet(f"{self.path}/folded/{own}/totals")
         self.spark.createDataFrame([(i,) for i in every], "id string").write.parquet(f"{self.path}/folded/{own}/ids")
         return self._mark(f"bases/{len(every):012d}", own)
 
@@ -160,11 +169,13 @@ def versions(counts: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
 
 
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under a word count and a byte-level BPE, less the repeats of a text (all but its smallest doc_id).
+    """All documents under a word count and a byte-level BPE, each text once (that of the smallest doc_id, nulls last, then source and lang).
 
     Batches: ``load`` inserts word counts, and a quarter of the characters as a first guess of the BPE's; ``revise``
-    deletes every guess and inserts the count of the tokenizer; ``dedup`` deletes repeats from both. ``load`` is sent
-    twice and counts once; what was committed by then is folded into a base.
+    deletes every guess and inserts the count of the tokenizer; ``dedup`` deletes all rows of a text that repeats, whatever
+    their ids, and inserts one. ``load`` is sent twice and counts once; what was committed by then is folded into a base.
+    A null text is an empty one with 0 tokens, null sources and languages are keys of their own, repeated rows are repeats of a
+    text; an empty table gives no rows.
     """
     whole_text_batches(spark)
     docs = documents(spark, sf_dir)
@@ -172,14 +183,16 @@ def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = docs.select("doc_id", "source", "lang", F.sha2(whole(text), 256).alias("text_key"), word_count(text).alias("words"), F.ceil(F.length(whole(text)) / 4).alias("guess"), token_count(spark, text).alias("bpe"))
     counts = materialize(counts, "token-counts")
     # Texts that occur once need no join; written, so that the join can split the rows of a frequent text.
-    first = counts.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first.select("text_key", "first_id"), "first-of-text")
-    repeats = counts.join(first, "text_key").where("doc_id > first_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "source", "lang")
+    first = counts.groupBy("text_key").agg(F.min(order).alias("kept"), F.count("*").alias("n"), F.first("words").alias("words"), F.first("bpe").alias("bpe")).where("n > 1")
+    first = materialize(first.select("text_key", "kept.source", "kept.lang", "words", "bpe"), "first-of-text")
+    repeats = counts.join(first.select("text_key"), "text_key", "left_semi")
     roll = TokenRollup(spark, f"{run_dir(spark)}/rollup-{uuid.uuid4().hex}")
     load = deltas(inserts=versions(counts, {"words-1": "words", "byte-bpe-50k": "guess"}))
+    both = {"words-1": "words", "byte-bpe-50k": "bpe"}
     roll.commit("load", load)
     roll.commit("revise", deltas(inserts=versions(counts, {"byte-bpe-50k": "bpe"}), deletes=versions(counts, {"byte-bpe-50k": "guess"})))
     roll.compact()
-    roll.commit("dedup", deltas(deletes=versions(repeats, {"words-1": "words", "byte-bpe-50k": "bpe"})))
+    roll.commit("dedup", deltas(inserts=versions(first, both), deletes=versions(repeats, both)))
     roll.commit("load", load)
     return roll.totals()

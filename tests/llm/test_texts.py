@@ -231,6 +231,33 @@ def test_rollup_of_two_drivers_and_compaction(spark, tmp_path):
     assert total() == {"a": (1, 1), "b": (1, 3)} and a.commit("z", rows(("c", "en", "v", 4))) and total()["c"] == (1, 4)
 
 
+def test_a_commit_during_a_compaction_counts_once(spark, tmp_path):
+    rows = lambda *r: rollups.deltas(inserts=spark.createDataFrame(r, "source string, lang string, tokenizer string, tokens long"))
+    a, b = (rollups.TokenRollup(spark, f"file://{tmp_path}/roll") for _ in range(2))
+    a.commit("a", rows(("s", "en", "v", 10)))
+    real = a._sum
+    a._sum = lambda paths: (b.commit("b", rows(("s", "en", "v", 5))), real(paths))[1]
+    assert a.compact()
+    a._sum = real
+    total = lambda: [(r["n_docs"], r["n_tokens"]) for r in a.totals().collect()]
+    assert total() == [(2, 15)]
+    assert a.compact() and total() == [(2, 15)] and not b.commit("b", rows(("s", "en", "v", 5)))
+    # A marker is there whole or not at all: what is still being written is no marker.
+    (tmp_path / "roll" / "marks").mkdir(exist_ok=True)
+    (tmp_path / "roll" / "marks" / "open").write_text("")
+    assert not a.committed("c") and b.commit("c", rows(("s", "en", "v", 1))) and not a._mark("commits/c", "other") and total() == [(3, 16)]
+
+
+def test_rollup_query_deducts_every_repeat(spark, edges, tmp_path):
+    """Repeated rows, null ids and null texts: each text counts once."""
+    rows = [(7, "x y", "en", "s"), (7, "x y", "en", "s"), (None, "x y", "de", "t"), (None, None, None, None), (None, "", "en", "s"), (8, "one", "en", "s"), (None, "two words", "en", None), (None, "two words", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in rollups.op8_token_rollups(spark, str(tmp_path)).where("tokenizer = 'words-1' AND n_docs <> 0").collect()}
+    assert got == {("s", "en"): (2, 3), (None, "en"): (1, 2), (None, None): (1, 0)}
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert rollups.op8_token_rollups(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_rollup_query_equals_plain_counts(spark):
     import tiktoken  # noqa: F401
 
