@@ -91,6 +91,12 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of whole rows. Maps, which cannot be hashed, go through their JSON."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.xxhash64(F.to_json(row) if "map<" in docs.schema.simpleString() else row)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; none for null."""
     return F.regexp_extract_all(whole(text), F.lit(WORD), F.lit(0))

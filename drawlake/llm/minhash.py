@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from drawlake.llm.common import WORD, documents, materialize, whole, whole_text_batches
+from drawlake.llm.common import WORD, documents, materialize, row_hash, whole, whole_text_batches
 from drawlake.llm.graph import components
 
 #: Words of a shingle and percent of similarity, where no contract says otherwise.
@@ -308,7 +308,7 @@ def kept() -> Column:
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
-    """The documents, their columns as they are, with one of each group: that of the smallest doc_id, null ids last, then of the smallest text hash.
+    """The documents, their columns as they are, with one of each group: that of the smallest doc_id, null ids last, then of the smallest text hash; of rows of equal id and text that of the smallest hash of all columns.
 
     Texts without words are in no group and all stay.
     """
@@ -316,8 +316,8 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "
     best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("w"))
     best = best.select(_name(F.col("w.doc_id"), F.col("w.text_key")).alias("name"))
     t = whole(F.col(text))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.rlike(WORD).alias("worded"), _name(F.col(doc_id), F.unhex(F.md5(t))).alias("name"))
-    one = d.where("worded").dropDuplicates(["name"]).join(best, "name", "left_semi")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.rlike(WORD).alias("worded"), _name(F.col(doc_id), F.unhex(F.md5(t))).alias("name"), row_hash(docs).alias("tie"))
+    one = d.where("worded").groupBy("name").agg(F.min_by("row", "tie").alias("row")).join(best, "name", "left_semi")
     return one.select("row").unionByName(d.where("NOT worded").select("row")).select("row.*")
 
 

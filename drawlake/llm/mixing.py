@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents, materialize, whole, word_count
+from drawlake.llm.common import documents, materialize, row_hash, whole, word_count
 
 #: Documents of a (source, bucket) at most, about: the unit of the second prefix sum.
 ROWS_PER_BUCKET = 2000
@@ -109,7 +109,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     columns are one row until they are copied.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    tie = F.xxhash64(row)
+    tie = row_hash(docs)
     d = _cuts(docs, text, source, doc_id, weights, cap, rows_per_bucket, tie)
     # Of n equal rows the last pass takes so many whole ones, and one more if half of it or more is left.
     last = F.least(F.col("n"), F.greatest(F.lit(0), F.floor(F.col("rest") / F.col("size") + 0.5)))

@@ -228,3 +228,18 @@ def test_rows_that_repeat_in_number(spark):
     finally:
         minhash._verified = real
     assert minhash.without_near_duplicates(df).count() == 1
+
+
+def test_rows_of_equal_id_and_text_leave_the_same_one(spark):
+    """Whatever the order of the rows; maps among the columns do no harm."""
+    from drawlake.llm import mixing
+
+    rows = [(i % 3, "one two three four five six seven eight", src, {"k": src, "a": "b"}) for i, src in enumerate(["web", "books", "code", "news"] * 6)]
+    schema = "doc_id long, text string, source string, extra map<string, string>"
+    left = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        d = spark.createDataFrame(rows, schema).repartition(1 + 2 * seed)
+        left.add(tuple(sorted((r["doc_id"], r["source"]) for r in minhash.without_near_duplicates(d).collect())))
+        assert mixing.mixed_documents(d).columns == d.columns and mixing.mixed_documents(d).count() > 0
+    assert len(left) == 1 and len(next(iter(left))) == 1
