@@ -11,8 +11,9 @@ from __future__ import annotations
 import pkgutil
 import re
 from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -116,23 +117,25 @@ def _segments(grams: list, at: list[int], need: float, high: float):
 
 
 def _windows(grams: list, previous: list[int], template: frozenset, low: float, high: float, threshold: float):
-    """``(dice, first, last)`` of the best windows of bigrams that do not overlap. Any number of words is tried, from every hit to every later one."""
-    n, found = len(template), []
+    """``(dice, first, last)`` of the best windows of bigrams that do not overlap. Any number of words is tried, from every hit to every later one.
+
+    Of the windows that end at a place and hold the same bigrams the shortest counts, so that only the last places of
+    different bigrams are begins: as many as the largest window may hold, however often they repeat.
+    """
+    n, most, found = len(template), int(high + 1e-9), []
     for begin, end in _segments(grams, [i for i, g in enumerate(grams) if g in template], low - 1e-9, high + 1e-9):
-        have, hits = np.zeros(end - begin, np.int32), np.zeros(end - begin, np.int32)
-        left = 0  # windows from further left are too large
-        for r in range(end - begin):
-            # The r-th bigram is new to the windows that start behind its last occurrence.
-            new = slice(max(previous[begin + r] - begin + 1, left), r + 1)
-            have[new] += 1
-            if grams[begin + r] in template:
-                hits[new] += 1
-                while have[left] > high + 1e-9:
-                    left += 1
-                dice = 2 * hits[left : r + 1] / (have[left : r + 1] + n)
-                k = len(dice) - 1 - int(dice[::-1].argmax())
+        recent: OrderedDict[int, bool] = OrderedDict()
+        for r in range(begin, end):
+            recent.pop(previous[r], None)
+            recent[r] = hit = grams[r] in template
+            if len(recent) > most:
+                recent.popitem(last=False)
+            if hit and recent:
+                hits = np.cumsum(np.fromiter(reversed(recent.values()), np.int32, len(recent)))
+                dice = 2 * hits / (np.arange(1, len(recent) + 1) + n)
+                k = int(dice.argmax())
                 if dice[k] >= threshold:
-                    found.append((-dice[k], begin + left + k, begin + r))
+                    found.append((-dice[k], next(islice(reversed(recent), k, None)), r))
     taken: list[tuple[int, int]] = []
     for dice, first, last in sorted(found):
         k = bisect_left(taken, (first, last))

@@ -214,3 +214,15 @@ def test_whole_licenses():
             got = licenses.find_licenses("a tale of lamps and stones " * 3 + "\n" + " ".join(f"w{i}" for i in range(9000)) + "\n" + paragraphs)
             assert {m[1] for m in got} == {name}, (name, got)
     assert {n for n, _ in licenses.TEMPLATES} - {n for n, _ in licenses.FULL_TEXTS} == {"cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0"}
+
+
+def test_a_repeated_notice_takes_time_in_proportion():
+    """Twice the text, not much over twice the time; once found it is one match a line."""
+    import time
+
+    took = []
+    for n in (4_000, 8_000, 16_000):
+        began = time.process_time()
+        assert len(licenses.find_licenses("Released under the MIT License. " * n)) == 1
+        took.append(time.process_time() - began)
+    assert took[2] < 2.7 * took[1] + 0.2 and took[2] < 6.0 * took[0] + 0.3, took
