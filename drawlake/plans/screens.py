@@ -241,6 +241,32 @@ def sign_list_rows(spark, root):
     return S.sign_list(spark, path).select("identifier", "sign_type", "quantity")
 
 
+@query(
+    "A8 I19",
+    """SELECT l_orderkey % 3 AS list, CASE WHEN l_orderkey % 7 > 0 THEN 'S-' || l_orderkey || '.' || l_linenumber END AS identifier, CASE WHEN l_orderkey % 3 <> 1 THEN l_returnflag END AS sign_type, CASE WHEN l_orderkey % 3 = 1 THEN l_linestatus END AS location, l_quantity::INT AS quantity
+       FROM lineitem WHERE l_orderkey % 7 > 0 OR l_orderkey % 5 > 0""",
+)
+def title_rows(spark, root):
+    """All lines in three sign lists of other columns, below titles, notes and rows for the eye; later rows that are as full as the header stay."""
+    path = scratch(spark, "lists")
+    k = F.col("l_orderkey")
+    l = table(spark, root, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"])
+    ident = F.when(k % 7 > 0, F.concat(F.lit("S-"), k.cast("string"), F.lit("."), F.col("l_linenumber").cast("string")))
+    kind, count = F.when((k % 7 > 0) | (k % 5 > 0), F.concat(F.lit(" "), F.col("l_returnflag"))), F.col("l_quantity").cast("int").cast("string")
+    place = F.when((k % 7 > 0) | (k % 5 > 0), F.col("l_linestatus"))
+    layouts = (
+        ([("Sign list of the north wing", "", "", ""), ("Sign ID", "Sign Type", "Qty", "Remarks"), ("", "", "9", "")], (ident, kind, count, F.lit("x"))),
+        ([("", "", "", ""), ("Project", "Tower", "", ""), ("as of", "May", "", ""), ("Count", "Room", "Sign No", "Size")], (count, place, ident, F.lit("6x6"))),
+        ([("Identifier", "Type", "Quantity", "Finish")], (ident, kind, count, F.lit(None).cast("string"))),
+    )
+    for n, (top, cells) in enumerate(layouts):
+        rows = l.where(k % 3 == n).select(*[c.alias(a) for c, a in zip(cells, "abcd", strict=True)])
+        # One task writes title, header and rows of a file in this order.
+        spark.createDataFrame(top, rows.schema).coalesce(1).unionByName(rows).coalesce(1).write.csv(f"{path}/list={n}")
+    d = S.sign_lists(spark, f"{path}/*/*.csv")
+    return d.select(F.regexp_extract("file", "list=([0-9])", 1).cast("long").alias("list"), "identifier", "sign_type", "location", F.col("quantity").cast("int").alias("quantity"))
+
+
 @query(
     "B14",
     r"""SELECT p_partkey, len(list_filter(regexp_split_to_array(l, '[\s,/|_-]+'), lambda t: length(t) >= 3 AND regexp_matches(t, '(?i)[aeiou]') AND regexp_matches(t, '^[A-Za-z''.]+$'))) = 0 AS code_only

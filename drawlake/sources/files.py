@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from drawlake.operators.aggregates import count_where, joined_set, with_total
 
@@ -66,21 +67,40 @@ def field_columns(header: list[str | None]) -> dict[str, int]:
     return found
 
 
+def _list_rows(spark: SparkSession, path: str, columns: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of CSV files with their file, block and place, and the header of each file: the fullest of its first ten rows, the first of equals, with the columns of its fields."""
+    schema = ", ".join(f"c{i} string" for i in range(columns))
+    cells = F.array(*[F.trim(F.coalesce(F.col(f"c{i}"), F.lit(""))) for i in range(columns)])
+    d = spark.read.schema(schema).option("header", "false").csv(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), cells.alias("cells")
+    )
+    # A task reads a block from its begin to its end, so that places go up within it; the first block of a file has its first rows.
+    first = Window.partitionBy("file").orderBy("place")
+    top = d.where("block = 0").withColumn("n", F.row_number().over(first)).where("n <= 10")
+    filled = F.size(F.filter("cells", lambda c: c != ""))
+    heads = top.groupBy("file").agg(F.min_by(F.struct("place", "cells"), F.struct((-filled).alias("f"), F.col("n"))).alias("h"))
+    found = pandas_udf(lambda cells: cells.map(lambda c: list(field_columns(list(c)).items())), "array<struct<field: string, at: int>>")
+    return d, heads.select("file", F.col("h.place").alias("head"), F.map_from_entries(found("h.cells")).alias("fields"))
+
+
+def sign_lists(spark: SparkSession, path: str, columns: int = 64) -> DataFrame:
+    """CSV sign lists (A8), any number of files: ``file`` and every field as text, null where empty or not in that file's header.
+
+    The header is the fullest of a file's first ten rows; what stands above it is no sign, nor are rows without identifier, type
+    and location. Columns beyond ``columns`` are not read; empty files give no rows. Headers are found in the tasks, a row for each file.
+    """
+    d, heads = _list_rows(spark, path, columns)
+    d = d.join(heads, "file").where("block > 0 OR place > head")
+    cell = lambda f: F.nullif(F.get("cells", F.try_element_at("fields", F.lit(f))), F.lit(""))
+    out = d.select("file", *[cell(f).alias(f) for f, _ in FIELDS])
+    return out.where("identifier IS NOT NULL OR sign_type IS NOT NULL OR location IS NOT NULL")
+
+
 def sign_list(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV sign list (A8): the header is the fullest of the first ten rows; rows with an identifier, type or location stay."""
-    d = spark.read.option("header", "false").csv(path)
-    head = max(d.limit(10).collect(), key=lambda r: sum(v is not None and v.strip() != "" for v in r))  # ten rows
-    at = field_columns(list(head))
-    picked = [F.col(d.columns[i]).alias(f) for f, i in at.items()]
-    same = F.lit(True)
-    for c, v in zip(d.columns, head, strict=True):
-        same = same & F.col(c).eqNullSafe(F.lit(v))
-    out = d.where(~same).select(*picked)
-    named = [F.coalesce(F.trim(c), F.lit("")) != "" for c in ("identifier", "sign_type", "location") if c in at]
-    keep = F.lit(False)
-    for n in named:
-        keep = keep | n
-    return out.where(keep)
+    """``sign_lists`` without the file, with those fields only that some header has; the driver sees their names."""
+    fields = _list_rows(spark, path, 64)[1].select(F.explode(F.map_keys("fields")).alias("f")).distinct().collect()
+    there = {r["f"] for r in fields}
+    return sign_lists(spark, path).select(*[f for f, _ in FIELDS if f in there])
 
 
 def overlay(spark: SparkSession, path: str) -> dict[str, str]:
@@ -102,7 +122,7 @@ def export_sheets(signs: DataFrame) -> dict[str, DataFrame]:
 
 def markers(signs: DataFrame, pages: DataFrame) -> DataFrame:
     """Placed signs of each page with its rotation, joined by file AND page, and a number per type for the legend."""
-    from pyspark.sql import Window
+
 
     from drawlake.operators.geometry import rotated
 
