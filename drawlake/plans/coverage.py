@@ -37,7 +37,7 @@ def rows() -> list[tuple[str, list[str], list[str]]]:
 
 
 #: Functions that run in the tasks, out of a trace's sight, and those that unit tests show and no query of their row does.
-UNSEEN = {"models.parsed_rows", "models.complete_objects", "models.recovered_callouts", "knowledge.chunk_spans"}
+UNSEEN = {"models.parsed_rows", "models.complete_objects", "models.recovered_callouts", "knowledge.chunk_spans", "files.field_columns"}
 TESTS_ONLY = {"rules.page_audit", "rules.zero_sign_summary", "aggregates.upper_median", "rules.decision_log", "views.page_with_next", "rooms.in_set", "text.first_listed", "labels.zone_anchors", "rules.with_plaques"}
 
 
