@@ -3,7 +3,8 @@
 Equal vectors of a label are one node with a count. A label's nodes are dealt to shards by hash; each shard's vectors
 and graph become one row of the index table. Every shard's vectors are then the queries of its own shard and all before
 it, and a link counts at both ends: one row for each pair of shards, so that a task holds two shards at a time. A sample
-of queries is also searched by brute force, and beams widen until they find what it finds. Links are verified in double
+of queries and slightly turned copies of the shard's own vectors, which have a link for certain, are also searched by brute
+force, and beams widen until they find what it finds, up to a product with the whole shard. Links are verified in double
 precision; a pair of shards gives each vector's number of links and a spanning set of the links, never all pairs.
 """
 
@@ -21,8 +22,8 @@ from drawlake.llm.hnsw import Hnsw
 COSINE = 0.98
 #: Vectors of a shard, about, and bytes of them: what a task holds twice.
 SHARD, SHARD_BYTES = 20_000, 64_000_000
-#: First beam, the beam where no audited query has a link, audited queries with links of a pair of shards, and the recall they must reach.
-BEAM, WITHOUT_EVIDENCE, AUDITED, RECALL = 32, 64, 96, 0.995
+#: First beam, audited queries with links of a pair of shards (as many planted ones come on top), and the recall that either must reach.
+BEAM, AUDITED, RECALL = 32, 96, 0.995
 
 
 def _units(v: np.ndarray) -> np.ndarray:
@@ -56,31 +57,52 @@ def _audit(unit: np.ndarray, q: np.ndarray, least: float, skip_self: bool) -> tu
     return np.concatenate(asked), np.concatenate(truth)
 
 
+def _planted(unit: np.ndarray, least: float) -> np.ndarray:
+    """Copies of AUDITED of the vectors, each turned by an angle whose cosine lies between ``least`` and 1: queries that have a link."""
+    rng = np.random.default_rng(1)
+    of = unit[rng.choice(len(unit), min(AUDITED, len(unit)), replace=False)]
+    side = rng.standard_normal(of.shape)
+    side -= np.einsum("ij,ij->i", side, of)[:, None] * of
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    side = np.where(length > 1e-9, side / np.maximum(length, 1e-9), 0.0)  # in one dimension there is no side to turn to
+    c = least + (1 - least) * rng.uniform(0.01, 0.99, (len(of), 1))
+    return c * of + np.sqrt(1 - c * c) * side
+
+
 def audited_links(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, skip_self: bool) -> tuple[np.ndarray, np.ndarray, float | None]:
-    """Verified links (query, node) between double-precision unit vectors, and the recall that the last audit saw.
+    """Verified links (query, node) between double-precision unit vectors, and the recall that the last audit saw (null only without queries).
 
-    Beams double until the audited queries find, on average over those that have links at all, RECALL of their links: a
-    large group of copies weighs no more than a small one. Where no audited query has a link, recall is None and the
-    beam is WITHOUT_EVIDENCE.
+    Beams double until the audited queries find, on average over those that have links at all, RECALL of their links (a
+    large group of copies weighs no more than a small one), and the planted queries as much of theirs. So the recall is
+    measured where no vector has a link, too. The widest beams are a product with the whole shard, which finds all.
     """
-    q32 = q.astype(np.float32)
-    asked, truth = _audit(unit, q, least, skip_self) if len(q) else (np.zeros(0, int), np.zeros(0, int))
+    if not len(q):
+        return np.zeros(0, int), np.zeros(0, int), None
+
+    def searched(queries, width):
+        a, b = index.within(queries.astype(np.float32), least, width)
+        sure = np.einsum("ij,ij->i", queries[a], unit[b]) >= least if len(a) else np.zeros(0, bool)
+        return a[sure], b[sure]
+
+    asked, truth = _audit(unit, q, least, skip_self)
     some = truth > 0
-    width, recall = (BEAM if some.any() else WITHOUT_EVIDENCE), None
+    planted = _planted(unit, least)
+    theirs = np.count_nonzero(planted @ unit.T >= least, axis=1)
+    width = BEAM
     while True:
-        a, b = index.within(q32, least, width)
-        sure = np.einsum("ij,ij->i", q[a], unit[b]) >= least if len(a) else np.zeros(0, bool)
-        a, b = a[sure], b[sure]
-        if skip_self:
-            a, b = a[a != b], b[a != b]
-        if not some.any():
-            break
-        found = np.bincount(a, minlength=len(q))[asked[some]]
-        recall = float((found / truth[some]).mean())
-        if width >= len(unit) or recall >= RECALL:
-            break
+        # The planted queries are few: they are asked first, and all others once these are content with the beam.
+        a, _ = searched(planted, width)
+        recall = float((np.bincount(a, minlength=len(planted))[theirs > 0] / theirs[theirs > 0]).mean()) if (theirs > 0).any() else 1.0
+        if recall >= RECALL or width >= len(unit):
+            a, b = searched(q, width)
+            if skip_self:
+                a, b = a[a != b], b[a != b]
+            if some.any():
+                found = np.bincount(a, minlength=len(q))[asked[some]]
+                recall = min(recall, float((found / truth[some]).mean()))
+            if recall >= RECALL or width >= len(unit):
+                return a, b, recall
         width *= 2
-    return a, b, recall
 
 
 def _spanning(pairs: list[tuple[int, int]], n: int) -> np.ndarray:

@@ -11,8 +11,10 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -137,10 +139,10 @@ def _serialise(schemas: dict[str, dict]):
     return f
 
 
-def _ordered(links: pd.DataFrame) -> pd.DataFrame:
-    """Calls of one conversation with what they wait for (null: nothing) -> their waves; calls on a cycle or behind one are missing."""
+def _ordered(links: list[tuple]) -> list[tuple]:
+    """``(call, parent it waits for or None)`` of one conversation -> ``(call, wave)``; calls on a cycle or behind one are missing."""
     waits: dict = {}
-    for call, parent in zip(links["call_id"], links["parent"], strict=True):
+    for call, parent in links:
         waits.setdefault(call, set())
         if parent is not None:
             waits[call].add(parent)
@@ -149,8 +151,7 @@ def _ordered(links: pd.DataFrame) -> pd.DataFrame:
         for p in parents:
             behind.setdefault(p, []).append(call)
     left = {call: len(parents) for call, parents in waits.items()}
-    done, ready = [], [call for call, n in left.items() if n == 0]
-    wave = 0
+    done, ready, wave = [], [call for call, n in left.items() if n == 0], 0
     while ready:
         done += [(call, wave) for call in ready]
         after = []
@@ -160,15 +161,34 @@ def _ordered(links: pd.DataFrame) -> pd.DataFrame:
                 if left[b] == 0:
                     after.append(b)
         ready, wave = after, wave + 1
-    found = pd.Series(dict(done), dtype="int32")
-    out = links.drop_duplicates("call_id")
-    return out[out["call_id"].isin(found.index)][["conv_id", "call_id"]].assign(wave=lambda d: d["call_id"].map(found).astype("int32"))
+    return done
+
+
+def _ordered_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links sorted by conversation -> ``conv_id, call_id, wave``; one conversation's links are held at a time."""
+    conv, links, schema = None, [], None
+
+    def rows(found):
+        columns = [list(c) for c in zip(*found, strict=True)] or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        schema = pa.schema([batch.schema.field("conv_id"), batch.schema.field("call_id"), pa.field("wave", pa.int32())])
+        found = []
+        for c, call, parent in zip(*[batch.column(n).to_pylist() for n in ("conv_id", "call_id", "parent")], strict=True):
+            if c != conv:
+                found += [(conv, x, w) for x, w in _ordered(links)]
+                conv, links = c, []
+            links.append((call, parent))
+        yield rows(found)
+    if links:
+        yield rows([(conv, x, w) for x, w in _ordered(links)])
 
 
 def _waves(nodes: DataFrame, edges: DataFrame, most: int = CONVERSATION) -> DataFrame:
     """``conv_id, call_id, wave``: 0 for calls that wait for none, else one more than the last they wait for; those on a cycle, or behind one, are missing.
 
-    A conversation of up to ``most`` calls and links is ordered in one task. Larger ones go wave by wave, in joins whose
+    Links are a stream sorted by conversation; one of up to ``most`` calls and links is held and ordered in its task. Larger ones go wave by wave, in joins whose
     rounds are as many as the longest chain of the largest conversations; the result is the same.
     """
     links = nodes.distinct().withColumn("parent", F.lit(None).cast(nodes.schema["call_id"].dataType)).unionByName(edges.select("conv_id", "call_id", "parent"))
@@ -176,7 +196,8 @@ def _waves(nodes: DataFrame, edges: DataFrame, most: int = CONVERSATION) -> Data
     large = links.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("conv_id")
     large = materialize(large, "large-conversations")
     schema = f"conv_id {dict(nodes.dtypes)['conv_id']}, call_id {dict(nodes.dtypes)['call_id']}, wave int"
-    done = links.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_ordered, schema)
+    small = links.join(large, "conv_id", "left_anti").select("conv_id", "call_id", "parent")
+    done = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_ordered_stream, schema)
     if large.isEmpty():
         return done
     links = links.join(large, "conv_id", "left_semi")

@@ -179,7 +179,7 @@ def test_hnsw_recall():
 
 
 def test_audit_weighs_queries_not_links():
-    """A group of copies holds nearly all links; the audit still sees what small groups lose, and says so where it saw no link."""
+    """A group of copies holds nearly all links; the audit still sees what small groups lose, and measures where no vector has a link."""
     rng = np.random.default_rng(3)
     hub = rng.normal(size=16)
     big = hub + rng.normal(size=(900, 16)) * 0.01
@@ -199,7 +199,28 @@ def test_audit_weighs_queries_not_links():
     assert recall >= embeddings.RECALL and len(a) >= 0.99 * ((u @ u.T >= 0.98).sum() - len(u))
     far = embeddings._units(rng.normal(size=(300, 16)) + 50)
     alone = Hnsw.load(Hnsw.build((-far).astype(np.float32)).dump(), (-far).astype(np.float32))
-    assert embeddings.audited_links(alone, -far, far, 0.98, False)[2] is None
+    a, _, recall = embeddings.audited_links(alone, -far, far, 0.98, False)
+    assert len(a) == 0 and recall >= embeddings.RECALL
+    # An index that finds nothing with a narrow beam: the planted queries widen it, and the two true links, which no audit drew, are found.
+    near = np.concatenate([rng.normal(size=(6000, 16)), far[:1], far[:1] + 1e-4])
+    u = embeddings._units(near)
+
+    class Narrow(Hnsw):
+        def within(self, q, least, width):
+            a, b = super().within(q, least, width)
+            return (a, b) if width > 100 else (a[:0], b[:0])
+
+    blind = Narrow.load(Hnsw.build(u.astype(np.float32)).dump(), u.astype(np.float32))
+    a, b, recall = embeddings.audited_links(blind, u, u, 0.98, True)
+    assert {(6000, 6001), (6001, 6000)} <= set(zip(a.tolist(), b.tolist(), strict=True)) and recall >= embeddings.RECALL
+    assert embeddings.audited_links(blind, u, u[:0], 0.98, False)[2] is None
+
+
+def test_planted_queries_have_a_link():
+    for dim in (1, 2, 64):
+        u = embeddings._units(np.random.default_rng(dim).normal(size=(500, dim)))
+        planted = embeddings._planted(u, 0.98)
+        assert planted.shape == (embeddings.AUDITED, dim) and ((planted @ u.T).max(1) >= 0.98).all()
 
 
 def test_vectors_of_any_length(spark):

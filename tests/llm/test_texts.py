@@ -396,3 +396,18 @@ def test_pipeline_equals_plain_stages(spark):
     assert Counter(r["doc_id"] for r in last) == copies
     clean = {r["doc_id"]: r["text"] for r in third.collect()}
     assert all(codec.decode(r["ids"]) == clean[r["doc_id"]] and r["decoded_ok"] for r in last)
+
+
+def test_tool_waves_of_a_stream_of_conversations():
+    """Conversations that cross batches, ids beyond a double's digits, chains, joins and cycles."""
+    import pyarrow as pa
+
+    big = 2**60
+    rows = [(1, big + 1, None), (1, big + 2, big + 1), (1, big + 3, big + 2), (1, big + 3, big + 1), (2, 5, None), (2, 6, 7), (2, 7, 6), (2, 8, 7), (3, 9, None), (3, 9, None)]
+    schema = pa.schema([("conv_id", pa.int64()), ("call_id", pa.int64()), ("parent", pa.int64())])
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(3)], schema=schema)
+    want = [(1, big + 1, 0), (1, big + 2, 1), (1, big + 3, 2), (2, 5, 0), (3, 9, 0)]
+    for size in (1, 3, 4, 100):
+        found = [tuple(r.values()) for b in toolcalls._ordered_stream(batch(rows[i : i + size]) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert sorted(found) == want
+    assert list(toolcalls._ordered_stream(iter([]))) == []
