@@ -89,17 +89,25 @@ def chunk_rows(files: DataFrame) -> DataFrame:
     return c.withColumn("chunk_id", F.concat_ws("_", chunk_id(F.col("path")), F.col("chunk_index").cast("string")))
 
 
-def upserted(store: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The store with rows replaced or added by key."""
+def last_of_key(rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row a key: the last by ``order``, without one, and among equals, that of the greatest hash, so that reruns agree. Rows with a null key stay."""
+    by = F.struct(*(order or []), F.xxhash64(F.to_json(F.struct(*rows.columns))))
+    keyed = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), by).alias("_")).select("_.*")
+    return keyed.unionByName(rows.where(F.col(key).isNull()))
+
+
+def upserted(store: DataFrame, rows: DataFrame, key: str = "chunk_id", order: list[str] | None = None) -> DataFrame:
+    """The store with rows replaced or added by key (A20); of rows that repeat a key the last by ``order`` (see ``last_of_key``)."""
+    rows = last_of_key(rows, key, order)
     return store.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision; null where a length is zero."""
+    """Cosine of two arrays in double precision; null where a length is zero or not finite."""
     a, b = a.cast("array<double>"), b.cast("array<double>")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+    return F.when((norm > 0) & (norm < float("inf")), dot(a, b) / norm)
 
 
 def vector_query(store: DataFrame, vector: list[float], n: int = 5, keep: Column | None = None, embedding: str = "embedding", tie: str = "vec_id") -> DataFrame:

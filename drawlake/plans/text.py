@@ -9,7 +9,9 @@ from drawlake.operators import classify as C
 from drawlake.operators import joins as J
 from drawlake.operators import knowledge as K
 from drawlake.operators import rules as U
+from drawlake.operators import vector_index as I
 from drawlake.plans.registry import query
+from drawlake.session import scratch
 from drawlake.sources.tables import table
 
 
@@ -215,6 +217,35 @@ def filtered_vector_topk(spark, root):
     return _topk(spark, root, 5, F.col("label").isin(1, 3))
 
 
+_CHANGED = "(SELECT vec_id, label, CASE WHEN vec_id % 10 = 3 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings)"
+
+
+def _vector_index(spark, root):
+    """An index of all vectors in 16 cells; then those of every tenth come again, reversed, as an upsert."""
+    v, path = table(spark, root, "embeddings", ["vec_id", "label", "embedding"]), scratch(spark, "vectors")
+    I.build(v, path, 16)
+    I.upsert(v.where("vec_id % 10 = 3").withColumn("embedding", F.reverse("embedding")), path, 1)
+    return path
+
+
+@query("S3 S4 A20", _TOPK_SQL.format(where="label <> 2", n=20).replace("FROM embeddings", f"FROM {_CHANGED}"))
+def indexed_topk(spark, root):
+    """The nearest rows from the index, after an upsert, of those that a filter keeps."""
+    d = I.nearest(spark, _vector_index(spark, root), _VECTOR, 20, F.col("label") != 2)
+    return d.select("vec_id", "label", (F.round(F.col("score") * 2, 6) / 2).alias("score"))
+
+
+@query(
+    "S4",
+    f"""SELECT q_id, vec_id, rank FROM (SELECT q.vec_id AS q_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
+       FROM {_CHANGED} v JOIN embeddings q ON q.vec_id % 20 = 0) WHERE rank <= 5""",
+)
+def indexed_topk_of_each(spark, root):
+    """The five nearest rows of every vector whose id is divisible by 20, against all rows."""
+    q = table(spark, root, "embeddings", ["vec_id", "embedding"]).where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"))
+    return I.nearest_of_each(q, _vector_index(spark, root), 5).select("q_id", "vec_id", "rank")
+
+
 @query(
     "S1 A10",
     """SELECT doc_id, array_to_string(list_filter([CASE WHEN source = 'src3' THEN 'missing section' END, CASE WHEN lang = 'fr' THEN 'invalid status' END, CASE WHEN n_chars > 5000 THEN 'invalid effective_date' END], lambda x: x IS NOT NULL), ', ') AS errors FROM documents""",
