@@ -309,3 +309,23 @@ def latest_snapshots(spark, root):
     latest_snapshots(stream, "user_id", lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), state).awaitTermination()
     w = Window.partitionBy("user_id").orderBy(F.desc("batch"))
     return spark.read.parquet(out).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("user_id", "event_id")
+
+
+@query(
+    "L2 L5 L6",
+    """WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE event_type = 'error' AND ts IS NOT NULL),
+       r AS (SELECT user_id, t, sum(CASE WHEN p IS NULL OR t - p > 172800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM e),
+       i AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY t) AS i FROM r)
+       SELECT user_id, make_timestamp(min(t)) AS opened, make_timestamp(min(CASE WHEN i = 2 THEN t END)) AS raised, make_timestamp(max(t)) AS last, count(*) AS n, CASE WHEN count(*) >= 4 THEN 'critical' ELSE 'warning' END AS level
+       FROM i GROUP BY user_id, run HAVING count(*) >= 2 AND max(t) + 172800000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - 3600000000""",
+)
+def stream_alerts(spark, root):
+    """A user's errors that follow within two days are an alert; those that the watermark has closed when the events end."""
+    from drawlake.streaming.alerts import alerts, run_alerts
+    from drawlake.streaming.events import event_stream
+
+    out = scratch(spark, "alerts")
+    stream = event_stream(spark, f"{root}/event[s].parquet", table(spark, root, "events"))
+    run_alerts(alerts(stream, "user_id", 172_800, 2, 4), out, scratch(spark, "state"))
+    d = spark.read.schema("user_id long, kind string, opened timestamp, raised timestamp, last timestamp, n long, level string").parquet(out).where("kind = 'closed'")
+    return d.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("opened", "raised", "last")], "n", "level")
