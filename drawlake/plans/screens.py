@@ -176,7 +176,7 @@ def _written_sheet(spark, root, name):
 
 
 @query(
-    "A15 A17 A18 A19 D7",
+    "A15 A19 D7",
     f"WITH {_SIGNS_SQL} SELECT count(*)::BIGINT AS items, sum(coalesce(quantity, 1))::BIGINT AS signs, count(*) FILTER (confidence_score >= 0.8)::BIGINT AS confident, count(*) FILTER (review_flag)::BIGINT AS flagged FROM s WHERE NOT coalesce(hidden, false)",
 )
 def exported_summary(spark, root):
