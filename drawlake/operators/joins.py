@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rules that a condition join may hold against every row.
+MOST_RULES = 10_000
+
+
 def latest(rows: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The columns of each key's last row by ``order``: one aggregation in place of correlated subqueries (C5, F-2)."""
     picked = F.max_by(F.struct(*columns), F.struct(*order))
@@ -28,8 +32,11 @@ def not_found(rows: DataFrame, known: DataFrame, keys: list[Column], known_keys:
 def first_by_priority(rows: DataFrame, rules: DataFrame, key: list[str], condition: Column, order: list[str], columns: list[str]) -> DataFrame:
     """For each row the columns of the first rule, by ``order``, that meets the condition; null without one.
 
-    Rules are a bounded table (templates, sections, plaques); the rows' key must be unique.
+    Rules are a bounded table (templates, sections, plaques) of MOST_RULES rows at most, which is counted (ValueError
+    beyond): they are broadcast. The rows' key must be unique.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     hit = rows.join(F.broadcast(rules), condition, "left")
     best = F.min_by(F.struct(*columns), F.struct(*order))
     kept = [c for c in rows.columns if c not in key]

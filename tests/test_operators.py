@@ -259,3 +259,12 @@ def test_nearest_by_value_equals_a_loop(spark):
     got = J.nearest_by_value(spark.createDataFrame(a, "i int, k int, x double"), spark.createDataFrame(b, "j int, k int, rx double"), ["k"], "x", "rx", "j", 3)
     want = {(i, j, n + 1) for i, k, x in a if x is not None for n, (_, j) in enumerate(sorted((abs(x - y), j) for j, m, y in b if m == k and y is not None)[:3])}
     assert {(r["i"], r["j"], r["rank"]) for r in got.collect()} == want
+
+
+def test_rules_are_bounded(spark):
+    from drawlake.operators import joins as J
+
+    rows, hit = spark.range(3).withColumnRenamed("id", "k"), F.col("k") <= F.col("id")
+    assert [r["first"] for r in J.first_by_priority(rows, spark.range(5).withColumn("first", F.col("id")), ["k"], hit, ["id"], ["first"]).orderBy("k").collect()] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        J.first_by_priority(rows, spark.range(J.MOST_RULES + 1), ["k"], hit, ["id"], ["id"])
