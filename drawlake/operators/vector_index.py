@@ -16,6 +16,8 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,15 +29,25 @@ from drawlake.operators.knowledge import cosine, last_of_key, vector_query
 
 #: Rows that the model is fitted on, about, and numbers that all centres together may have: what the driver holds.
 SAMPLE, CENTRES = 65_536, 16_000_000
+#: Numbers in a cell's share, queries of a slice, and products that a task holds at once, where a table of queries is asked.
+SHARE, ASKED, BLOCK = 1_000_000, 4_096, 4_000_000
 #: Rounding of distances in double precision.
 SLACK = 1e-9
 
 
 def _unit(e: Column) -> Column:
     """The vector at length one, null where it has no length."""
-    e = e.cast("array<double>")
-    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when((norm > 0) & (norm < float("inf")), F.transform(e, lambda x: x / norm))
+
+    def one(e):
+        e = None if e is None else np.asarray(e, float)
+        norm = 0.0 if e is None else float(np.sqrt((e * e).sum()))
+        return e / norm if 0 < norm < np.inf else None
+
+    @pandas_udf("array<double>")
+    def f(vectors: pd.Series) -> pd.Series:
+        return vectors.map(one)
+
+    return f(e)
 
 
 def fitted_centres(rows: DataFrame, cells: int, embedding: str = "embedding", sample: int = SAMPLE) -> np.ndarray:
@@ -161,24 +173,69 @@ def nearest(spark: SparkSession, path: str, vector: list[float], n: int = 5, kee
     return vector_query(live(spark, path, cells, key).drop("cell"), vector, n, keep, embedding, key)
 
 
-def nearest_of_each(queries: DataFrame, path: str, n: int = 5, q_key: str = "q_id", q_vector: str = "q_vector", key: str = "vec_id", embedding: str = "embedding", parts: int = 4) -> DataFrame:
+def _scored(n: int, q_key: str, key: str):
+    """The n nearest of a share's rows for each of its queries: all products at once, then the cosine of those that may count, summed as ``knowledge.cosine`` sums it."""
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        return flat.reshape(len(column), -1)
+
+    def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a))
+        for j in range(a.shape[1]):
+            total += a[:, j] * b[:, j]
+        return total
+
+    def f(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        names = [q_key, key, "score"]
+        if not len(asked) or not len(rows):
+            return pa.table({q_key: asked[q_key].slice(0, 0), key: rows[key].slice(0, 0), "score": pa.array([], pa.float64())})
+        q, e = matrix(asked["_q"]), matrix(rows["_e"])
+        q_norm, e_norm = np.sqrt(dot(q, q)), np.sqrt(dot(e, e))
+        q_unit, e_unit = q / q_norm[:, None], (e / e_norm[:, None]).T
+        place = np.empty(len(rows), np.int64)
+        place[pc.sort_indices(rows[key].combine_chunks(), null_placement="at_start").to_numpy()] = np.arange(len(rows))
+        at, of, scores = [], [], []
+        step = max(1, BLOCK // len(rows))
+        for low in range(0, len(q), step):
+            near = q_unit[low : low + step] @ e_unit
+            least = np.partition(near, -min(n, len(rows)), axis=1)[:, -min(n, len(rows))]
+            i, j = np.nonzero(near >= least[:, None] - SLACK)
+            i += low
+            total = np.zeros(len(i))
+            for d in range(q.shape[1]):
+                total += e[j, d] * q[i, d]
+            score = (1 + total / (e_norm[j] * q_norm[i])) / 2
+            order = np.lexsort((place[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            first = np.searchsorted(i, i)
+            kept = np.arange(len(i)) - first < n
+            at.append(i[kept]), of.append(j[kept]), scores.append(score[kept])
+        return pa.table([asked[q_key].take(pa.array(np.concatenate(at))), rows[key].take(pa.array(np.concatenate(of))), pa.array(np.concatenate(scores))], names)
+
+    return f
+
+
+def nearest_of_each(queries: DataFrame, path: str, n: int = 5, q_key: str = "q_id", q_vector: str = "q_vector", key: str = "vec_id", embedding: str = "embedding", share: int = SHARE, asked: int = ASKED) -> DataFrame:
     """``q_key, key, score, rank``: the n nearest rows of each of a table of queries, exactly; ties by key.
 
     A query first meets the cells of the highest bounds that together hold n rows, which gives a score that the nearest
-    rows must reach, then the other cells whose bound does. Cells are salted: each of ``parts`` shares of a cell gives n
-    rows at most to a query. Queries have keys of their own; those without a length, and rows without one, have no partners.
+    rows must reach, then the other cells whose bound does. Cells are cut into shares of about ``share`` numbers, the queries into
+    slices of about ``asked``: a task holds one of each at a time, and gives n rows at most to a query. Queries have keys of their own; those without
+    a length, and rows without one, have no partners.
     """
     spark = queries.sparkSession
     centres, (_, stats) = _centres(spark, path), _cells(spark, path)
     if not len(centres):
         raise ValueError("the index has no cells: build it over rows")
     stats = stats[stats["cell"] >= 0]
+    dim = centres.shape[1]
 
     @pandas_udf("array<struct<cell:int,bound:double,first:boolean>>")
     def ranked(units: pd.Series) -> pd.Series:
         out = []
         for u in units:
-            if u is None or not len(stats) or len(u) != centres.shape[1]:
+            if u is None or not len(stats) or len(u) != dim:
                 out.append([])
                 continue
             b = _bounds(np.asarray(u, float), centres, stats)
@@ -186,19 +243,23 @@ def nearest_of_each(queries: DataFrame, path: str, n: int = 5, q_key: str = "q_i
             out.append([{"cell": int(c), "bound": float(x), "first": bool(f)} for c, x, f in zip(b["cell"], b["bound"], before, strict=True)])
         return pd.Series(out)
 
-    q = queries.select(q_key, F.col(q_vector).cast("array<double>").alias("_q")).withColumn("_c", ranked(_unit(F.col("_q"))))
-    store = live(spark, path, None, key).where("cell >= 0").select("cell", key, F.col(embedding).alias("_e"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).alias("_part")
-
-    def best(asked: DataFrame) -> DataFrame:
-        scored = asked.select("*", salts).join(store, ["cell", "_part"]).withColumn("score", (1 + cosine(F.col("_e"), F.col("_q"))) / 2).where("score IS NOT NULL")
-        near = lambda *by: F.row_number().over(Window.partitionBy(q_key, *by).orderBy(F.desc("score"), key))
-        scored = scored.select(q_key, key, "score", "cell", "_part").withColumn("_n", near("cell", "_part")).where(F.col("_n") <= n)
-        return scored.withColumn("rank", near()).where(F.col("rank") <= n).select(q_key, key, "score", "rank")
-
-    every = q.select(q_key, "_q", F.explode("_c").alias("c")).select(q_key, "_q", "c.*")
+    shares = spark.createDataFrame([(int(c), -(-int(m) * dim // share)) for c, m in zip(stats["cell"], stats["n"], strict=True)], "cell int, _shares long")
+    slices = -(-queries.count() // asked) or 1
+    q = queries.select(q_key, F.col(q_vector).cast("array<double>").alias("_q")).withColumn("_c", ranked(_unit(F.col("_q")))).withColumn("_slice", F.pmod(F.xxhash64(q_key), F.lit(slices)))
+    store = live(spark, path, None, key).where("cell >= 0").select("cell", key, F.col(embedding).alias("_e")).join(F.broadcast(shares), "cell")
+    store = store.withColumn("_share", F.pmod(F.xxhash64(key), F.col("_shares"))).drop("_shares").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+    out = StructType([queries.schema[q_key], store.schema[key]]).add("score", "double")
+
+    def best(asked_for: DataFrame) -> DataFrame:
+        dealt = asked_for.join(F.broadcast(shares), "cell").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).select("cell", "_share", "_slice", q_key, "_q")
+        by = ["cell", "_share", "_slice"]
+        scored = dealt.groupBy(*by).cogroup(store.groupBy(*by)).applyInArrow(_scored(n, q_key, key), out)
+        near = F.row_number().over(Window.partitionBy(q_key).orderBy(F.desc("score"), key))
+        return scored.withColumn("rank", near).where(F.col("rank") <= n).select(q_key, key, "score", "rank")
+
+    every = q.select(q_key, "_q", "_slice", F.explode("_c").alias("c")).select(q_key, "_q", "_slice", "c.*")
     first = best(every.where("first"))
     least = first.where(F.col("rank") == n).select(q_key, (2 * F.col("score") - 1 - SLACK).alias("_least"))
     # The first cells are among those that are asked again: their bound reaches any score found in them.
-    asked = every.join(least, q_key, "left").where("_least IS NULL OR bound >= _least").drop("_least")
-    return best(asked.select(q_key, "_q", "cell")).withColumn("rank", F.col("rank").cast("long"))
+    again = every.join(least, q_key, "left").where("_least IS NULL OR bound >= _least").drop("_least")
+    return best(again.select(q_key, "_q", "_slice", "cell")).withColumn("rank", F.col("rank").cast("long"))

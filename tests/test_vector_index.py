@@ -76,6 +76,17 @@ def test_a_table_of_queries(spark, store):
     assert {i: got[i] for i in want} == want
 
 
+def test_queries_in_slices_meet_shares_of_cells(spark, store):
+    """Many tasks, none with a whole cell or all queries; of 700 equal rows the first by key; no pair of rows is an expression of its own."""
+    d, path, centres = store
+    q = [(i, c.tolist()) for i, c in enumerate(centres)]
+    asked = I.nearest_of_each(spark.createDataFrame(q, "q_id int, q_vector array<double>"), path, 6, share=24 * 40, asked=5)
+    got = [(r["vec_id"], round(r["score"], 9)) for r in asked.where("q_id = 0").orderBy("rank").collect()]
+    assert got == [(r["vec_id"], round(r["score"], 9)) for r in K.vector_query(d, q[0][1], 6).collect()]
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin [cell" not in plan
+
+
 def test_an_empty_store(spark, store):
     d, path = store[0].where("false"), scratch(spark, "index")
     I.build(d, path, 4)
