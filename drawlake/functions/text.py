@@ -170,3 +170,8 @@ def labels(flags: dict[str, Column]) -> Column:
 def joined_notes(*notes: Column) -> Column:
     """Notes that are there, with "; " between."""
     return F.concat_ws("; ", *notes)
+
+
+def straight(dx: Column, dy: Column) -> Column:
+    """A distance as the root of the sum of squares, as SQL has it: hypot rounds otherwise and so orders near equals otherwise."""
+    return F.sqrt(dx * dx + dy * dy)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlake.functions.text import phrase_score, tokens_alnum
+from drawlake.functions.text import phrase_score, straight, tokens_alnum
 from drawlake.operators.windows import sessions
 
 
@@ -145,7 +145,8 @@ def clusters(phrases: DataFrame, signs: DataFrame, reach: float = 0.05, margin:
     p = phrases.select("file_id", "page", "seq", F.lower("text").alias("t"), cx.alias("cx"), cy.alias("cy"))
     a = signs.join(p, ["file_id", "page"]).where(F.col("t").contains(F.lower("sign_type"))).select("file_id", "page", "sign_id", "room_number", F.col("seq").alias("s1"), F.col("cx").alias("x1"), F.col("cy").alias("y1"))
     b = p.select("file_id", "page", F.col("seq").alias("s2"), F.col("t").alias("t2"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
-    hit = a.join(b, ["file_id", "page"]).where((F.col("t2") == F.lower("room_number")) & (F.col("s1") != F.col("s2"))).withColumn("dist", F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))).where(F.col("dist") <= reach)
+    hit = a.join(b, ["file_id", "page"]).where((F.col("t2") == F.lower("room_number")) & (F.col("s1") != F.col("s2")))
+    hit = hit.withColumn("dist", straight(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))).where(F.col("dist") <= reach)
     w = Window.partitionBy("sign_id").orderBy("dist", "s1", "s2")
     hit = hit.withColumn("_n", F.row_number().over(w)).withColumn("_next", F.lead("dist").over(w)).where("_n = 1")
     return hit.select("sign_id", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.coalesce(F.col("_next") - F.col("dist") <= margin, F.lit(False)).alias("ambiguous"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions import vocab as V
-from drawlake.functions.text import first_capture
+from drawlake.functions.text import first_capture, straight
 from drawlake.operators.classify import canonical_level
 from drawlake.operators.filters import any_substring
 from drawlake.operators.geometry import in_title_block
@@ -53,7 +53,7 @@ def room_labels(phrases: DataFrame) -> DataFrame:
     reach = thresholds(names)
     near = names.where("slash IS NULL").join(reach, ["file_id", "page"]).join(numbers, ["file_id", "page"])
     near = near.where((F.abs(F.col("cy") - F.col("ny")) < F.col("vert")) & (F.abs(F.col("cx") - F.col("nx")) < F.col("horiz")))
-    near = near.withColumn("closeness", -F.hypot(F.col("cx") - F.col("nx"), F.col("cy") - F.col("ny")))
+    near = near.withColumn("closeness", -straight(F.col("cx") - F.col("nx"), F.col("cy") - F.col("ny")))
     from drawlake.operators.joins import greedy_pairs
 
     taken = greedy_pairs(near, ["file_id", "page"], "seq", "n_seq", "closeness").join(numbers.select("file_id", "page", "n_seq", F.col("number").alias("near_number")), ["file_id", "page", "n_seq"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions import vocab as V
-from drawlake.functions.text import bigrams, tokens_spaced
+from drawlake.functions.text import bigrams, straight, tokens_spaced
 from drawlake.operators.filters import any_substring, any_word
 from drawlake.operators.joins import k_nearest, nearest
 
@@ -85,7 +85,7 @@ def name_flags(rooms: DataFrame, prefix: str = "n_") -> DataFrame:
 def zone_qualifiers(rooms: DataFrame, anchors: DataFrame) -> DataFrame:
     """Each room's nearest anchor of its page, if it is within twice that anchor's longer side (C11); the distance is tested after the choice."""
     a = anchors.select("file_id", "pdf_page", F.col("seq").alias("a_seq"), F.col("text").alias("zone"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.greatest("w", "h").alias("reach"))
-    pairs = rooms.join(a, ["file_id", "pdf_page"]).withColumn("dist", F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")))
+    pairs = rooms.join(a, ["file_id", "pdf_page"]).withColumn("dist", straight(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")))
     best = nearest(pairs, ["file_id", "seq"], "dist", "a_seq", ["zone", "reach"]).where("dist <= 2 * reach")
     return rooms.join(best.select("file_id", "seq", F.col("zone").alias("zone_qualifier")), ["file_id", "seq"], "left")
 
@@ -94,7 +94,7 @@ def staff_only_by_neighbours(rooms: DataFrame, k: int = 5) -> DataFrame:
     """Restrooms whose k nearest other rooms of the page are all back of house, and none public or assembly, are staff only."""
     around = rooms.where("NOT is_restroom AND x IS NOT NULL").select("file_id", "pdf_page", F.col("seq").alias("o_seq"), F.col("x").alias("ox"), F.col("y").alias("oy"), *[F.col(c).alias("o_" + c) for c in ("is_office", "is_mep_unoccupied", "is_staff_only", "is_public_facing", "is_assembly")])
     pairs = rooms.where("is_restroom AND x IS NOT NULL").select("file_id", "pdf_page", "seq", "x", "y").join(around, ["file_id", "pdf_page"])
-    near = k_nearest(pairs.withColumn("dist", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))), ["file_id", "seq"], "dist", "o_seq", k)
+    near = k_nearest(pairs.withColumn("dist", straight(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))), ["file_id", "seq"], "dist", "o_seq", k)
     house = F.col("o_is_office") | F.col("o_is_mep_unoccupied") | F.col("o_is_staff_only")
     staff = near.groupBy("file_id", "seq").agg((F.bool_and(house) & ~F.bool_or(F.col("o_is_public_facing") | F.col("o_is_assembly"))).alias("_staff"))
     d = rooms.join(staff, ["file_id", "seq"], "left").withColumn("_staff", F.coalesce("_staff", F.lit(False)))

@@ -117,3 +117,12 @@ def test_memberships(spark):
     assert {r["user_id"]: (r["role"], r["org_name"]) for r in P.memberships(users, members, orgs).collect()} == {1: ("ADMIN", "a"), 2: ("SALES", None)}
     jobs = spark.createDataFrame([(10, 5), (10, 7)], "org_id int, created_at int")
     assert {r["org_id"]: (r["members"], r["jobs"], r["last_job"]) for r in P.organisations(orgs, members, jobs).collect()} == {10: (1, 2, 7), 11: (0, 0, None)}
+
+
+def test_distances_that_differ_in_the_last_bit_are_no_tie(spark):
+    from drawlake.operators.geometry import clusters
+
+    at = [(1, "STAIR", 0.025, 0.00625), (2, "101", 0.765, 0.11624999999999999), (28, "101", 0.485, 0.59625)]
+    p = spark.createDataFrame([(1, 1, n, t, x, y, x, y) for n, t, x, y in at], "file_id long, page int, seq long, text string, x0 double, y0 double, x1 double, y1 double")
+    s = spark.createDataFrame([(1, 1, 7, "Stair", "101")], "file_id long, page int, sign_id long, sign_type string, room_number string")
+    assert [tuple(r) for r in clusters(p, s, 1.0).collect()] == [(7, (0.025 + 0.485) / 2, (0.00625 + 0.59625) / 2, True)]
