@@ -1,6 +1,6 @@
 """Trees from parent pointers (A7, C17): cycles cut, ancestors by pointer jumping, joins whose number grows with the logarithm of the depth.
 
-In every round a node's pointer jumps as far again as it reaches, so that a chain of a thousand entries takes ten rounds. Rounds are
+Nodes are joined by shuffles only, so that nothing that grows with them passes the driver. In every round a node's pointer jumps as far again as it reaches, so that a chain of a thousand entries takes ten rounds. Rounds are
 tables, so that a lost executor repeats one of them and both sides of a join are shuffled for themselves.
 """
 
@@ -18,7 +18,7 @@ def _pointers(nodes: DataFrame, on: list[str], key: str, parent: str) -> DataFra
     there = nodes.where(F.col(key).isNotNull()).groupBy(*on, F.col(key).alias("k")).agg(F.min(parent).alias("up"))
     there = _written(there, "nodes")
     known = there.select(*on, F.col("k").alias("up"), F.lit(True).alias("_known"))
-    return there.join(known, [*on, "up"], "left").select(*on, "k", F.when(F.col("_known"), F.col("up")).alias("up"))
+    return there.join(known.hint("merge"), [*on, "up"], "left").select(*on, "k", F.when(F.col("_known"), F.col("up")).alias("up"))
 
 
 def cut_cycles(pointers: DataFrame, on: list[str]) -> DataFrame:
@@ -39,11 +39,11 @@ def cut_cycles(pointers: DataFrame, on: list[str]) -> DataFrame:
         count = n
         # A node of the rest whose target is not in the rest has come to a root.
         far = left.select(*on, F.col("k").alias("up"), F.col("up").alias("_up"), F.col("least").alias("_least"))
-        left = _written(left.join(far, [*on, "up"]).select(*on, "k", F.col("_up").alias("up"), F.least("least", "_least").alias("least")), "jumps")
+        left = _written(left.join(far.hint("merge"), [*on, "up"]).select(*on, "k", F.col("_up").alias("up"), F.least("least", "_least").alias("least")), "jumps")
         reach *= 2
     cycle = left.select(*on, F.col("up").alias("k")).distinct()
-    cut = left.where("least = k").join(cycle, [*on, "k"], "left_semi").select(*on, "k", F.lit(True).alias("_cut"))
-    return pointers.join(_written(cut, "cuts"), [*on, "k"], "left").select(*on, "k", F.when(F.col("_cut").isNull(), F.col("up")).alias("up"))
+    cut = left.where("least = k").join(cycle.hint("merge"), [*on, "k"], "left_semi").select(*on, "k", F.lit(True).alias("_cut"))
+    return pointers.join(_written(cut, "cuts").hint("merge"), [*on, "k"], "left").select(*on, "k", F.when(F.col("_cut").isNull(), F.col("up")).alias("up"))
 
 
 def with_ancestors(nodes: DataFrame, on: list[str], key: str, parent: str, label: str) -> DataFrame:
@@ -56,7 +56,7 @@ def with_ancestors(nodes: DataFrame, on: list[str], key: str, parent: str, label
     pointers = _written(cut_cycles(_written(_pointers(nodes, on, key, parent), "pointers"), on), "pointers")
     names = _written(nodes.where(F.col(key).isNotNull()).groupBy(*on, F.col(key).alias("up")).agg(F.min(label).alias("_name")), "names")
     # A path leads from below the node that the pointer shows, with it, to the node itself, without it.
-    d = _written(pointers.join(names, [*on, "up"], "left").select(*on, "k", "up", F.when(F.col("up").isNotNull(), F.array("_name")).otherwise(F.array().cast("array<string>")).alias("path")), "paths")
+    d = _written(pointers.join(names.hint("merge"), [*on, "up"], "left").select(*on, "k", "up", F.when(F.col("up").isNotNull(), F.array("_name")).otherwise(F.array().cast("array<string>")).alias("path")), "paths")
     done = None
     while True:
         arrived = d.where("up IS NULL")
@@ -66,9 +66,9 @@ def with_ancestors(nodes: DataFrame, on: list[str], key: str, parent: str, label
             break
         # Those that have arrived are targets as well: done holds the whole way of everyone near the root.
         targets = done.unionByName(going).select(*on, F.col("k").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        d = _written(going.join(targets, [*on, "up"]).select(*on, "k", F.col("_up").alias("up"), F.concat("_path", "path").alias("path")), "paths")
+        d = _written(going.join(targets.hint("merge"), [*on, "up"]).select(*on, "k", F.col("_up").alias("up"), F.concat("_path", "path").alias("path")), "paths")
     done = done.select(*on, F.col("k").alias(key), F.col("path").alias("ancestors"))
-    out = nodes.join(done, [*on, key], "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<string>")))
+    out = nodes.join(done.hint("merge"), [*on, key], "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<string>")))
     return out.select(*nodes.columns, "ancestors", F.size("ancestors").alias("depth"))
 
 
@@ -76,7 +76,7 @@ def outline_of(entries: DataFrame) -> DataFrame:
     """Outline entries ``file_id, seq, parent, title, page`` as ``views.outline_leaves`` takes them: with ``ancestors``, ``depth`` and ``is_leaf``."""
     d = with_ancestors(entries, ["file_id"], "seq", "parent", "title")
     above = _written(entries.where("parent IS NOT NULL").select("file_id", F.col("parent").alias("seq"), F.lit(True).alias("_above")).distinct(), "above")
-    return d.join(above, ["file_id", "seq"], "left").withColumn("is_leaf", F.col("_above").isNull()).drop("_above")
+    return d.join(above.hint("merge"), ["file_id", "seq"], "left").withColumn("is_leaf", F.col("_above").isNull()).drop("_above")
 
 
 def nested_sections(entries: DataFrame, pages: DataFrame) -> DataFrame:

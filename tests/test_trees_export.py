@@ -95,3 +95,13 @@ def test_an_export_is_whole_or_not_there(spark):
     assert E.read_sheet(spark, folder, "bad", other.schema).count() == 0
     second = E.write_job({"rows": good.limit(1)}, folder)
     assert E.latest_export(spark, folder) == second and E.read_sheet(spark, folder, "rows", good.schema).count() == 1
+
+
+def test_nodes_do_not_pass_the_driver(spark):
+    from drawlake.operators.trees import outline_of
+
+    e = spark.range(40).selectExpr("0L AS file_id", "id AS seq", "CASE WHEN id > 0 THEN (id - 1) div 2 END AS parent", "concat('t', id) AS title", "1 AS page")
+    d = outline_of(e)
+    assert max(r["depth"] for r in d.collect()) == 5
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
