@@ -241,6 +241,10 @@ def sign_list_rows(spark, root):
     return S.sign_list(spark, path).select("identifier", "sign_type", "quantity")
 
 
+#: Lines of the table for each file that a sign list is written in.
+_LIST_ROWS = 500_000
+
+
 @query(
     "A8 I19",
     """SELECT l_orderkey % 3 AS list, CASE WHEN l_orderkey % 7 > 0 THEN 'S-' || l_orderkey || '.' || l_linenumber END AS identifier, CASE WHEN l_orderkey % 3 <> 1 THEN l_returnflag END AS sign_type, CASE WHEN l_orderkey % 3 = 1 THEN l_linestatus END AS location, l_quantity::INT AS quantity
@@ -259,11 +263,13 @@ def title_rows(spark, root):
         ([("", "", "", ""), ("Project", "Tower", "", ""), ("as of", "May", "", ""), ("Count", "Room", "Sign No", "Size")], (count, place, ident, F.lit("6x6"))),
         ([("Identifier", "Type", "Quantity", "Finish")], (ident, kind, count, F.lit(None).cast("string"))),
     )
+    parts = l.count() // _LIST_ROWS + 1
     for n, (top, cells) in enumerate(layouts):
-        rows = l.where(k % 3 == n).select(*[c.alias(a) for c, a in zip(cells, "abcd", strict=True)])
-        # One task writes title, header and rows of a file in this order.
-        spark.createDataFrame(top, rows.schema).coalesce(1).unionByName(rows).coalesce(1).write.csv(f"{path}/list={n}")
-    d = S.sign_lists(spark, f"{path}/*/*.csv")
+        rows = l.where(k % 3 == n).select(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(parts)).alias("part"), F.lit(len(top)).alias("line"), *[c.alias(a) for c, a in zip(cells, "abcd", strict=True)])
+        heads = spark.createDataFrame([(i, *t) for i, t in enumerate(top)], "line int, a string, b string, c string, d string").join(spark.range(parts).withColumnRenamed("id", "part"))
+        # A list comes in as many files, each with title and header above its rows: a task writes a file in this order.
+        rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "line").drop("line").write.partitionBy("part").csv(f"{path}/list={n}")
+    d = S.sign_lists(spark, f"{path}/*/*/*.csv")
     return d.select(F.regexp_extract("file", "list=([0-9])", 1).cast("long").alias("list"), "identifier", "sign_type", "location", F.col("quantity").cast("int").alias("quantity"))
 
 

@@ -58,3 +58,13 @@ def test_pages(spark):
     assert [r["id"] for r in page.collect()] == [2, 3] and more.first()["has_next"]
     base, over = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, label string"), spark.createDataFrame([("b", "3"), ("c", "4")], "key string, label string")
     assert {r["key"]: (r["label"], r["origin"]) for r in V.provenance(base, over).collect()} == {"a": ("1", "built-in"), "b": ("3", "override"), "c": ("4", "custom")}
+
+
+def test_sign_lists_come_in_many_files(spark, monkeypatch):
+    from drawlake.plans import screens
+
+    root = "/root/testdata/sf0.001"
+    whole = sorted(screens.title_rows(spark, root).collect(), key=repr)
+    monkeypatch.setattr(screens, "_LIST_ROWS", 1000)
+    d = screens.title_rows(spark, root)
+    assert len(d.inputFiles()) > 9 and sorted(d.collect(), key=repr) == whole
