@@ -140,7 +140,7 @@ _LABEL_SQL = "lb AS (SELECT p_partkey AS id, p_partkey % 40 AS job_id, p_name ||
 def similar_labels(spark, root):
     """Every two labels of all parts of a similarity of .85 or more."""
     s = _labels(spark, root).select(F.col("label").alias("s"))
-    d = S.similar_strings(s, s, 0.85).where("s < t")
+    d = S.similar_pairs(s, 0.85)
     return d.select(F.col("s").alias("label"), F.col("t").alias("other"), F.round("similarity", 9).alias("similarity"))
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from drawlake.operators.sign_matcher import canonical_word, sign_places
-from drawlake.operators.similarity import similar_rows, similar_strings
+from drawlake.operators.similarity import similar_pairs, similar_rows, similar_strings
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,12 @@ def test_similar_strings_equal_brute_force(spark):
     left = spark.createDataFrame([(1, "x", "corridor"), (2, "y", "corridor"), (3, "x", None)], "id long, g string, name string")
     right = spark.createDataFrame([(7, "x", "coridor"), (8, "y", "kitchen")], "id long, g string, name string")
     assert [tuple(r)[:3] for r in similar_rows(left, right, "id", "id", F.col("name"), 0.8, ["g"]).collect()] == [("x", 1, 7)]
+
+
+def test_pairs_of_one_table_are_the_half_of_both_sides(spark):
+    rng = random.Random(2)
+    d = spark.createDataFrame([("".join(rng.choice("ab1") for _ in range(rng.randrange(0, 15))),) for _ in range(300)], "s string")
+    for least in (0.7, 0.85):
+        rows = sorted(map(tuple, similar_pairs(d, least).collect()))
+        assert rows and rows == sorted(tuple(r) for r in similar_strings(d, d, least).collect() if r["s"] < r["t"])
+        assert "Aggregate" not in similar_pairs(d.limit(0), least)._jdf.queryExecution().optimizedPlan().toString().split("Join")[0], "found pairs are not shuffled to be told apart"
