@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drawlake.functions import vocab as W
-from drawlake.operators import joins as J
 from drawlake.operators import sign_matcher as M
 from drawlake.operators import similarity as S
 from drawlake.operators import state as N
@@ -160,6 +159,5 @@ def paired_passes(spark, root):
     """What a text pass and an image pass found, paired one to one within a job by similar labels; the pairs gain confidence."""
     d = _labels(spark, root)
     text, image = d.where("id % 3 > 0"), d.where("id % 3 = 0")
-    alike = S.similar_rows(text, image, "id", "id", F.col("label"), 0.7, ["job_id"])
-    pairs = J.greedy_pairs(alike.select("job_id", F.col("id").alias("text_id"), F.col("other_id").alias("image_id"), "similarity"), ["job_id"], "text_id", "image_id", "similarity")
+    pairs = S.greedy_alike(text, image, "id", "id", F.col("label"), 0.7, ["job_id"]).select(F.col("id").alias("text_id"), F.col("other_id").alias("image_id"))
     return N.compared(text.select("id", "confidence"), image.select("id", "confidence"), pairs)

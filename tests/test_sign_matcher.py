@@ -7,7 +7,8 @@ import random
 import pytest
 
 from drawlake.operators.sign_matcher import canonical_word, sign_places
-from drawlake.operators.similarity import similar_pairs, similar_rows, similar_strings
+from drawlake.operators.joins import greedy_pairs
+from drawlake.operators.similarity import greedy_alike, similar_pairs, similar_rows, similar_strings
 from pyspark.sql import functions as F
 
 
@@ -96,3 +97,15 @@ def test_pairs_of_one_table_are_the_half_of_both_sides(spark):
         rows = sorted(map(tuple, similar_pairs(d, least).collect()))
         assert rows and rows == sorted(tuple(r) for r in similar_strings(d, d, least).collect() if r["s"] < r["t"])
         assert "Aggregate" not in similar_pairs(d.limit(0), least)._jdf.queryExecution().optimizedPlan().toString().split("Join")[0], "found pairs are not shuffled to be told apart"
+
+
+def test_greedy_by_likeness_equals_greedy_over_all_pairs(spark):
+    rng = random.Random(3)
+    rows = lambda n, at: spark.createDataFrame([(k + at, rng.randrange(3) if k % 17 else None, None if k % 19 == 0 else "".join(rng.choice("abé") for _ in range(rng.choice((0, 3, 5, 8, 70))))) for k in range(n)], "id long, g long, name string")
+    left, right = rows(150, 0), rows(90, 1000)
+    for least in (0.6, 0.8, 1.0):
+        alike = similar_rows(left, right, "id", "id", F.col("name"), least, ["g"])
+        want = sorted(map(tuple, greedy_pairs(alike, ["g"], "id", "other_id", "similarity").select("g", "id", "other_id", "similarity").collect()))
+        d = greedy_alike(left, right, "id", "id", F.col("name"), least, ["g"])
+        assert want and sorted(map(tuple, d.collect())) == want
+    assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString(), "no pairs are made"
