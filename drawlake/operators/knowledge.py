@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from drawlake.functions import vocab as V
 from drawlake.functions.text import chunk_id, trimmed
+from drawlake.session import scratch
 
 
 def knowledge_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,10 +29,11 @@ def front_matter(files: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.regexp_extract("_head", r"^---\r?\n([\s\S]*?)\r?\n---\r?\n?$", 1), r"\r?\n"), lambda x: F.instr(x, ":") > 1)
     entry = lambda x: F.struct(trimmed(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), F.regexp_replace(trimmed(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), "^[\"']|[\"']$", "").alias("v"))
     entries = F.filter(F.transform(lines, entry), lambda e: e["k"] != "")
-    # Of a repeated key the last line counts: earlier ones are left out before the map is made.
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+    # Of a repeated key the last line counts: earlier ones are left out before the map is made. Entries are a column, which the lambda does not make anew for each.
+    d, made = d.withColumn("_entries", entries), F.col("_entries")
+    last = F.filter(made, lambda e, i: ~F.exists(F.slice(made, i + 2, F.size(made)), lambda o: o["k"] == e["k"]))
     d = d.withColumn("metadata", F.when(F.col("_head") != "", F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>")))
-    return d.withColumn("body", trimmed(F.expr("substring(content, length(_head) + 1)"))).drop("_head")
+    return d.withColumn("body", trimmed(F.expr("substring(content, length(_head) + 1)"))).drop("_head", "_entries")
 
 
 def metadata_errors(metadata: Column) -> Column:
@@ -72,20 +74,33 @@ def chunk_spans(text: str | None, size: int = 2000, overlap: int = 200, least: i
         start = max(end - overlap, start + 1)
 
 
-def chunks(files: DataFrame, body: str = "body", **sizes: int) -> DataFrame:
-    """The rows of ``files``, one for each chunk, with ``chunk_index, start_char, end_char, chunk``; where a cut falls depends on the cuts before it."""
+#: Whole texts that a task hands to Python at a time.
+TEXTS = 1_000
 
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("chunk_index", "start_char", "end_char", "chunk"), c, strict=True)) for c in chunk_spans(t, **sizes)])
 
-    made = pandas_udf(split, "array<struct<chunk_index:int,start_char:int,end_char:int,chunk:string>>")(F.col(body))
+def chunks(files: DataFrame, body: str = "body", texts: bool = True, **sizes: int) -> DataFrame:
+    """The rows of ``files``, one for each chunk, with ``chunk_index, start_char, end_char, chunk``; where a cut falls depends on the cuts before it.
+
+    Without ``texts`` the column ``chunk`` is left out, and no text comes back from Python. Arrow batches hold TEXTS rows at most: the
+    session's setting is lowered and stays so, as plans run long after this returns.
+    """
+    conf, setting = files.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(setting)) <= TEXTS:
+        conf.set(setting, TEXTS)
+    names = ("chunk_index", "start_char", "end_char", "chunk")[: 4 if texts else 3]
+
+    def split(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda t: [dict(zip(names, c, strict=False)) for c in chunk_spans(t, **sizes)])
+
+    made = pandas_udf(split, f"array<struct<chunk_index:int,start_char:int,end_char:int{',chunk:string' if texts else ''}>>")(F.col(body))
     return files.withColumn("_c", F.explode(made)).select(*[c for c in files.columns if c != body], "_c.*")
 
 
-def chunk_rows(files: DataFrame) -> DataFrame:
-    """Chunks of the valid files with their ids and metadata, ready for the store (S3)."""
-    valid = files.where(F.size(metadata_errors(F.col("metadata"))) == 0)
-    c = chunks(valid.select("path", "metadata", "body"))
+def chunk_rows(files: DataFrame, texts: bool = True) -> DataFrame:
+    """Chunks of the valid files with their ids and metadata, ready for the store (S3); without their texts if not ``texts``."""
+    # A filter would be pushed below the header and read it anew for each field: an invalid file has a null body instead, which has no chunks.
+    valid = F.size(metadata_errors(F.col("metadata"))) == 0
+    c = chunks(files.select("path", "metadata", F.when(valid, F.col("body")).alias("body")), texts=texts)
     return c.withColumn("chunk_id", F.concat_ws("_", chunk_id(F.col("path")), F.col("chunk_index").cast("string")))
 
 
@@ -97,8 +112,11 @@ def last_of_key(rows: DataFrame, key: str, order: list[str] | None = None) -> Da
 
 
 def upserted(store: DataFrame, rows: DataFrame, key: str = "chunk_id", order: list[str] | None = None) -> DataFrame:
-    """The store with rows replaced or added by key (A20); of rows that repeat a key the last by ``order`` (see ``last_of_key``)."""
+    """The store with rows replaced or added by key (A20); of rows that repeat a key the last by ``order`` (see ``last_of_key``). They are written once, as they are read twice."""
     rows = last_of_key(rows, key, order)
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "upserted")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     return store.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 

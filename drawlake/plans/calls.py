@@ -195,7 +195,7 @@ k(id, t, s, i, a, b) AS (SELECT id, t, 0::BIGINT, 0, NULL::BIGINT, NULL::BIGINT
 
 @query("S2", f"""WITH RECURSIVE {_chunk_sql("SELECT doc_id AS id, coalesce(text, '') AS t FROM documents")} SELECT id AS doc_id, (i - 1)::INT AS chunk_index, a::INT AS start_char, b::INT AS end_char, (b - a)::INT AS n FROM k WHERE length({_TRIM.format("substr(t, a + 1, b - a)")}) >= 50""")
 def chunk_text(spark, root):
-    return K.chunks(table(spark, root, "documents", ["doc_id", "text"]), body="text").drop("chunk").withColumn("n", F.col("end_char") - F.col("start_char"))
+    return K.chunks(table(spark, root, "documents", ["doc_id", "text"]), body="text", texts=False).withColumn("n", F.col("end_char") - F.col("start_char"))
 
 
 @query(
@@ -206,7 +206,7 @@ def chunk_text(spark, root):
 def upserted_chunks(spark, root):
     """A store with a first chunk of every document, replaced and added to by the chunks of valid files."""
     n = _notes(spark, root)
-    rows = K.chunk_rows(n).select("chunk_id", (F.col("end_char") - F.col("start_char")).alias("n"))
+    rows = K.chunk_rows(n, texts=False).select("chunk_id", (F.col("end_char") - F.col("start_char")).alias("n"))
     store = n.select(F.concat(F.lit("codes_"), F.col("doc_id").cast("string"), F.lit("_md_0")).alias("chunk_id"), F.lit(-1).alias("n"))
     return K.upserted(store, rows)
 

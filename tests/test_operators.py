@@ -151,6 +151,13 @@ def test_knowledge(spark, tmp_path):
     c = K.chunk_rows(f).orderBy("chunk_index").collect()
     assert len(c) == 3 and all(len(r["chunk"]) <= 2000 and r["chunk"].endswith(".") for r in c) and c[1]["start_char"] == c[0]["end_char"] - 200
     assert list(K.chunk_spans("x" * 49)) == [] and [s[:3] for s in K.chunk_spans("x" * 4100)] == [(0, 0, 2000), (1, 1800, 3800), (2, 3600, 4100)]
+    bare = K.chunk_rows(f, texts=False).orderBy("chunk_index")
+    assert "chunk" not in bare.columns and [(r["chunk_id"], r["start_char"], r["end_char"]) for r in bare.collect()] == [(r["chunk_id"], r["start_char"], r["end_char"]) for r in c]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= K.TEXTS, "a batch holds few whole texts"
+    plan = K.chunk_rows(f)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x and "missing section" in x], "the header is read once, not in a filter for each field"
+    merged = K.upserted(bare, bare)._jdf.queryExecution().optimizedPlan().toString()
+    assert merged.count("ArrowEvalPython") == 1, "new rows are made once: here only the store is a plan"
     store = K.upserted(K.chunk_rows(f).limit(0), K.chunk_rows(f))
     assert K.upserted(store, K.chunk_rows(f)).count() == 3
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "vec_id int, embedding array<float>")
