@@ -3,7 +3,7 @@
 Phrases are indexed by what a pass looks for: pieces of an identifier, words, room numbers, runs of letters and digits.
 Each pass joins signs to the index by equality, within file and page; words that are only alike meet through the similarity
 join over the distinct words of both sides. No sign is held against all phrases of its page. Neighbourhoods are
-equi-joins on cells as wide as the reach. Every pass gives at most one row per sign, the first pass with a row wins, and an
+equi-joins on cells as wide as the reach. All of these meet by shuffles, so that nothing passes the driver. Every pass gives at most one row per sign, the first pass with a row wins, and an
 ambiguous pair is a row without a place, which ends the search.
 """
 
@@ -100,7 +100,7 @@ def _verbatim(s: DataFrame, p: DataFrame) -> DataFrame:
     """The identifier as it stands inside a drawn phrase; both meet under its first characters."""
     index = p.where("drawn").withColumn("up", F.upper(F.trim("text"))).select(*PAGE, "seq", "cx", "cy", "up", F.explode(F.expr("array_distinct(flatten(transform(sequence(2, 3), n -> transform(sequence(1, greatest(length(up) - n + 1, 1)), i -> substring(up, i, n)))))")).alias("gram"))
     q = s.where(F.length("verbatim") >= 2).withColumn("gram", F.substring("verbatim", 1, 3))
-    hits = q.join(index, [*PAGE, "gram"]).where(_in_range() & F.contains("up", "verbatim"))
+    hits = q.join(index.hint("merge"), [*PAGE, "gram"]).where(_in_range() & F.contains("up", "verbatim"))
     return _found(_best(hits, ["sign_id"], F.col("seq")), 1, F.lit(1.0))
 
 
@@ -108,7 +108,7 @@ def _shared_words(s: DataFrame, p: DataFrame) -> DataFrame:
     """Shared words, written out, over all words of both; words of the location count as often as they stand there."""
     q = s.withColumn("lw", F.transform(_blank_words(F.col("loc")), canonical_word)).where(F.size("lw") > 0)
     index = p.where("drawn").withColumn("pw", F.transform(_blank_words(F.col("text")), canonical_word)).select(*PAGE, "seq", "cx", "cy", "pw", F.explode(F.array_distinct("pw")).alias("word"))
-    hits = q.select(*PAGE, "sign_id", "lw", "x_low", "x_high", F.explode(F.array_distinct("lw")).alias("word")).join(index, [*PAGE, "word"]).where(_in_range()).dropDuplicates(["sign_id", "seq"])
+    hits = q.select(*PAGE, "sign_id", "lw", "x_low", "x_high", F.explode(F.array_distinct("lw")).alias("word")).join(index.hint("merge"), [*PAGE, "word"]).where(_in_range()).dropDuplicates(["sign_id", "seq"])
     shared = F.size(F.filter("lw", lambda w: F.array_contains(F.col("pw"), w)))
     hits = hits.withColumn("score", shared / F.size(F.array_union("lw", "pw"))).where("score >= 0.4")
     return _found(_best(hits, ["sign_id"], F.desc("score"), F.col("seq")), 2, F.col("score"))
@@ -117,7 +117,7 @@ def _shared_words(s: DataFrame, p: DataFrame) -> DataFrame:
 def _room_numbers(s: DataFrame, p: DataFrame) -> DataFrame:
     index = p.where("drawn").select(*PAGE, "seq", "cx", "cy", F.explode(F.array_distinct(_all(F.upper(F.trim("text")), V.SIGN_ROOM_NUMBER))).alias("number"))
     q = s.select(*PAGE, "sign_id", "x_low", "x_high", F.posexplode(_all(F.upper(F.trim("loc")), V.SIGN_ROOM_NUMBER)).alias("at", "number"))
-    hits = q.join(index, [*PAGE, "number"]).where(_in_range())
+    hits = q.join(index.hint("merge"), [*PAGE, "number"]).where(_in_range())
     return _found(_best(hits, ["sign_id"], F.col("at"), F.col("seq")), 3, F.lit(0.85))
 
 
@@ -132,14 +132,14 @@ def _near(hits: DataFrame, p: DataFrame, reach: float, keep: list[str]) -> DataF
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = hits.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumn("gx", cell("h_cx") + F.col("_dx")).withColumn("gy", cell("h_cy") + F.col("_dy")).drop("_dx", "_dy")
     b = p.select(*PAGE, "cx", "cy", cell("cx").alias("gx"), cell("cy").alias("gy"), *keep)
-    return a.join(b, [*PAGE, "gx", "gy"]).where(_in_range() & (_distance() <= reach))
+    return a.join(b.hint("merge"), [*PAGE, "gx", "gy"]).where(_in_range() & (_distance() <= reach))
 
 
 def _identifiers(s: DataFrame, p: DataFrame) -> DataFrame:
     """The identifier in full on the whole page: one place, or that whose neighbours within .12 are like the location, by .15 more than the next."""
     q = s.where((F.col("id_length") >= 3) & (F.length("id_sq") >= 3)).withColumn("run", F.get(_runs(F.col("id_sq")), F.lit(0)))
     index = p.select(*PAGE, "seq", "cx", "cy", "sq", F.explode("runs").alias("run"))
-    hits = q.join(index, [*PAGE, "run"]).where(_in_range() & _bounded("sq", "id_sq")).withColumn("n", F.count("*").over(Window.partitionBy("sign_id")))
+    hits = q.join(index.hint("merge"), [*PAGE, "run"]).where(_in_range() & _bounded("sq", "id_sq")).withColumn("n", F.count("*").over(Window.partitionBy("sign_id")))
     one = _found(hits.where("n = 1"), 4, F.lit(1.0))
     many = hits.where("n > 1 AND loc <> ''").select(*PAGE, "sign_id", "seq", "x_low", "x_high", "loc", F.col("cx").alias("h_cx"), F.col("cy").alias("h_cy"))
     said = _near(many, p, 0.12, ["words"]).groupBy("sign_id", "seq", "loc", "h_cx", "h_cy").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("said"))
@@ -159,9 +159,9 @@ def _alike(s: DataFrame, p: DataFrame) -> DataFrame:
     index = p.where("drawn").select(*PAGE, "seq", "text", "x0", "x1", "cx", "cy", "words", F.explode("words").alias("t"))
     ours = q.select(F.explode("qw").alias("s")).distinct()
     theirs = index.select(F.col("t").alias("s")).distinct()
-    same = ours.withColumn("c", canonical_word(F.col("s"))).join(theirs.select(F.col("s").alias("t"), canonical_word(F.col("s")).alias("c")), "c").select("s", "t")
+    same = ours.withColumn("c", canonical_word(F.col("s"))).join(theirs.select(F.col("s").alias("t"), canonical_word(F.col("s")).alias("c")).hint("merge"), "c").select("s", "t")
     pairs = similar_strings(ours, theirs, 0.6).select("s", "t").unionByName(same).distinct()
-    hits = q.select(*q.columns, F.explode("qw").alias("s")).join(pairs, "s").join(index, [*PAGE, "t"]).where(_in_range()).dropDuplicates(["sign_id", "seq"]).drop("s", "t")
+    hits = q.select(*q.columns, F.explode("qw").alias("s")).join(pairs.hint("merge"), "s").join(index.hint("merge"), [*PAGE, "t"]).where(_in_range()).dropDuplicates(["sign_id", "seq"]).drop("s", "t")
     like = {"like_kind": tokens_alnum(F.coalesce("kind", F.lit(""))), "like_loc": tokens_alnum(F.col("loc")), "like_both": F.col("qw")}
     hits = hits.select(*[c for c in hits.columns if c not in ("qw", "words")], *[word_score(w, F.col("words")).alias(n) for n, w in like.items()])
     hits = hits.where("like_kind >= 0.7 OR like_loc >= 0.65 OR like_both >= 0.6")
@@ -196,7 +196,7 @@ def _ranked(hits: DataFrame, p: DataFrame, source: str, exclude: Column, keys: l
     seen = around.groupBy(*keys, "seq").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("told")))).alias("n_told"), F.max("at_room").alias("at_room"), F.max(F.col("close") & (F.size("told") > 0)).alias("context")
     )
-    h = h.join(seen, [*keys, "seq"]).withColumn("told", F.when(F.size("ask") == 0, F.lit(1.0)).otherwise(F.col("n_told") / F.size("ask")))
+    h = h.join(seen.hint("merge"), [*keys, "seq"]).withColumn("told", F.when(F.size("ask") == 0, F.lit(1.0)).otherwise(F.col("n_told") / F.size("ask")))
     total = F.when(F.size("rooms") > 0, F.when(F.col("at_room"), 1.0).otherwise(0.0) * 0.6 + F.col("told") * 0.3 + F.col("score") * 0.1).otherwise(F.col("told") * 0.65 + F.col("score") * 0.35)
     return h.withColumn("total", total).withColumn("context", F.col("context") | (F.size("ask") == 0))
 
@@ -234,7 +234,7 @@ def _room_tokens(s: DataFrame, p: DataFrame) -> DataFrame:
     q = s.withColumn("tokens", _all(F.col("both"), V.SIGN_ROOM_TOKEN)).select("*", F.posexplode(longest).alias("at", "token")).drop("tokens").withColumn("run", F.lower("token"))
     keys = F.when(F.col("sq").rlike("^[a-z]"), F.array_union("runs", F.array(F.substring("sq", 2, 1 << 20)))).otherwise(F.col("runs"))
     index = p.where("drawn").select(*PAGE, "seq", "text", "x0", "x1", "cx", "cy", F.explode(keys).alias("run"))
-    hits = q.join(index, [*PAGE, "run"]).where(_in_range()).withColumn("score", F.lit(0.75))
+    hits = q.join(index.hint("merge"), [*PAGE, "run"]).where(_in_range()).withColumn("score", F.lit(0.75))
     best = _decided(_ranked(hits, p, "both", F.col("run"), ["sign_id", "at"]).where("context"), ["sign_id", "at"])
     return _found(_best(best, ["sign_id"], F.col("at")), 7, F.lit(0.75), _tight(F.col("token")))
 

@@ -109,3 +109,12 @@ def test_greedy_by_likeness_equals_greedy_over_all_pairs(spark):
         d = greedy_alike(left, right, "id", "id", F.col("name"), least, ["g"])
         assert want and sorted(map(tuple, d.collect())) == want
     assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString(), "no pairs are made"
+
+
+def test_what_signs_look_for_does_not_pass_the_driver(spark):
+    s = spark.range(40).selectExpr("id div 20 AS file_id", "1 AS page", "id AS sign_id", "concat('S-', id) AS identifier", "concat('stair B', 100 + id) AS location", "CAST(NULL AS string) AS message")
+    p = spark.range(40).selectExpr("id div 20 AS file_id", "1 AS page", "id AS seq", "concat('stair B', 100 + id) AS text", "0.5D AS x0", "0.1D + id % 20 * 0.04D AS y0", "0.55D AS x1", "0.11D + id % 20 * 0.04D AS y1")
+    d = sign_places(s, p)
+    assert len(d.collect()) == 40
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
