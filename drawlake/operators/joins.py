@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +109,33 @@ def greedy_pairs(pairs: DataFrame, group: list[str], left: str, right: str, scor
     return folded(d, group, [left, F.desc(score), right], step, [left, right], "_taken", "boolean").drop("_taken")
 
 
+def greedy_members(rows: DataFrame, group: list[str], left: str, right: str, score: Callable[[Column, Column], Column], least: float) -> DataFrame:
+    """What ``greedy_pairs`` gives over the pairs of each group's distinct left and right values with a score of ``least`` or more, without making the pairs.
+
+    Rows hold a left and a right value each; nulls pair with nothing. They meet once, by group, and a group's values are two
+    arrays, folded where they are: nothing is joined or sorted by pair. So a group's values must fit a task, and its work is their product.
+    The partitions are not joined up: their number is spark.sql.shuffle.partitions, so that a task's part stays small.
+    """
+    n, kinds = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), dict(rows.dtypes)
+    d = rows.select(*group, left, right).where(" AND ".join(f"`{g}` IS NOT NULL" for g in group)).repartition(n, *group)
+    d = d.groupBy(*group).agg(F.sort_array(F.collect_set(left)).alias("_l"), F.sort_array(F.collect_set(right)).alias("_r"))
+
+    def take(state: Column, a: Column) -> Column:
+        scored = F.transform(state["free"], lambda b: F.struct((-score(a, b).cast("double")).alias("s"), b.alias("r")))
+        best = F.array_min(F.filter(scored, lambda c: c["s"] <= -least))
+
+        def after(b: Column) -> Column:
+            pair = F.struct(a.alias("l"), b["r"].alias("r"), (-b["s"]).alias("s"))
+            return F.struct(F.filter(state["free"], lambda r: r != b["r"]).alias("free"), F.concat(state["out"], F.array(pair)).alias("out"))
+
+        # An array of one, so that the best is sought once.
+        return F.transform(F.array(best), lambda b: F.when(b.isNull(), state).otherwise(after(b)))[0]
+
+    start = F.struct(F.col("_r").alias("free"), F.array().cast(f"array<struct<l:{kinds[left]},r:{kinds[right]},s:double>>").alias("out"))
+    taken = F.aggregate("_l", start, take, lambda state: state["out"])
+    return d.select(*group, F.explode(taken).alias("_")).select(*group, F.col("_.l").alias(left), F.col("_.r").alias(right), F.col("_.s").alias("score"))
+
+
 def or_join_first(left: DataFrame, right: DataFrame, conditions: list[tuple[list[Column], list[Column]]], left_id: str, right_id: str, right_columns: list[str]) -> DataFrame:
     """An OR of equalities as a union of equi-joins; of several right rows the first by id (C20)."""
     found = None

@@ -168,12 +168,10 @@ gr AS (SELECT {group}, i, l, c[1] AS b, [c[1].r] AS used FROM gc WHERE i = 1
 )
 def greedy_match(spark, root):
     """One-to-one pairs of the parts and suppliers of an order, best score first; the score is made up from the keys, not from words."""
-    from drawlake.operators.joins import greedy_pairs
+    from drawlake.operators.joins import greedy_members
 
     l = table(spark, root, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey"])
-    a, b = l.select("l_orderkey", "l_partkey").distinct(), l.select("l_orderkey", "l_suppkey").distinct()
-    pairs = a.join(b, "l_orderkey").withColumn("score", F.pmod(F.col("l_partkey") * 7 + F.col("l_suppkey") * 13, F.lit(10)).cast("double")).where("score >= 4")
-    return greedy_pairs(pairs, ["l_orderkey"], "l_partkey", "l_suppkey", "score")
+    return greedy_members(l, ["l_orderkey"], "l_partkey", "l_suppkey", lambda part, supplier: F.pmod(part * 7 + supplier * 13, F.lit(10)), 4)
 
 
 _REACH_SQL = """rg AS (SELECT file_id, page, cy - lag(cy) OVER (PARTITION BY file_id, page ORDER BY cy, seq) AS gap FROM hn WHERE is_name),

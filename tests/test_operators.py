@@ -109,6 +109,27 @@ def test_folds_equal_plain_loops(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_greedy_members_give_the_pairs_of_greedy_pairs_without_making_them(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 1, 2, 3, None]), *(rng.choice([*range(12), None]) for _ in range(2))) for _ in range(300)]
+    d = spark.createDataFrame([*rows, (9, 1, None), (10, None, 1), (11, None, None)], "k int, a int, b int")
+    score = lambda a, b: F.pmod(a * 7 + b * 5, F.lit(6)) - 1
+    pairs = d.select("k", "a").distinct().join(d.select("k", "b").distinct(), "k").withColumn("s", score(F.col("a"), F.col("b")).cast("double"))
+    for least in (-1, 0, 3):
+        want = J.greedy_pairs(pairs.where(F.col("s") >= least), ["k"], "a", "b", "s")
+        got = J.greedy_members(d, ["k"], "a", "b", score, least)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+        assert [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+
+
+def test_greedy_match_reads_its_table_once_and_sorts_no_pairs(spark):
+    from drawlake.plans import REGISTRY
+
+    plan = REGISTRY["greedy_match"].run(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Sort [" not in plan
+    assert "REPARTITION_BY_NUM" in plan, "adaptive execution does not join the parts up"
+
+
 def test_band_join_equals_a_loop(spark):
     rng = random.Random(4)
     a = [(i, i % 3, rng.uniform(0, 50)) for i in range(60)]
