@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions.text import phrase_score, straight, tokens_alnum
+from drawlake.operators.joins import dealt_join
 from drawlake.operators.windows import sessions
 
 
@@ -129,7 +130,7 @@ def best_phrase(signs: DataFrame, phrases: DataFrame, least: float = 0.5, number
     """
     q = signs.withColumn("_q", tokens_alnum(F.col("query")))
     p = phrases.withColumn("_t", tokens_alnum(F.col("text"))).select("file_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "_t")
-    pairs = q.join(p, ["file_id", "page"])
+    pairs = dealt_join(q, p, ["file_id", "page"])
     number = F.coalesce(F.array_contains("_t", F.lower("room_number")), F.lit(False))
     pairs = pairs.withColumn("score", F.greatest(phrase_score(F.col("_q"), F.col("_t")), F.when(number, F.lit(number_bonus)).otherwise(0.0))).where(F.col("score") >= least)
     best = F.max_by(F.struct("seq", "text", "score", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), F.struct("score", (-F.col("seq")).alias("s")))

@@ -53,6 +53,16 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], x: str, rx: str,
     return near.join(other, [*on, "_cell"]).where(F.abs(F.col(x) - F.col(rx)) <= width).drop("_cell")
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An equi-join whose pairs cost more than its rows: both sides are dealt by the key to spark.sql.shuffle.partitions parts, which are not joined up.
+
+    Pairs that are compared at length (the texts of a page) come from few bytes. By those alone adaptive execution would make one part of
+    them, or leave them with the few tasks that read the table.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(n, *on).join(right.repartition(n, *on).hint("merge"), on)
+
+
 def nearest(pairs: DataFrame, key: list[str], distance: str, tie: str, columns: list[str]) -> DataFrame:
     """Of each key's candidate pairs the closest; ties by ``tie``."""
     return pairs.groupBy(*key).agg(F.min_by(F.struct(*columns, distance), F.struct(distance, tie)).alias("_")).select(*key, "_.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drawlake.functions import vocab as V
 from drawlake.functions.text import jaccard, phrase_score, squeezed_id, tokens_alnum
+from drawlake.operators.joins import dealt_join
 from drawlake.operators.windows import first_of
 
 #: Room tokens: a letter or two and digits, or digits and a letter or two.
@@ -35,15 +36,17 @@ def matched(signs: DataFrame, phrases: DataFrame) -> DataFrame:
     s = signs.withColumn("_id", F.lower(squeezed_id(F.coalesce("identifier", F.lit(""))))).withColumn("_loc", location_parts(F.coalesce("location", F.lit(""))))
     s = s.withColumn("_room", F.lower(squeezed_id(F.coalesce("_loc.room", F.lit(""))))).withColumn("_w", tokens_alnum(F.coalesce("location", F.lit(""))))
     p = phrases.select("file_id", "page", "seq", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.lower(squeezed_id(F.col("text"))).alias("_p"), tokens_alnum(F.col("text")).alias("_t"))
-    d = s.join(p, ["file_id", "page"]).withColumn("_s", phrase_score(F.col("_w"), F.col("_t"))).withColumn("_j", jaccard(F.col("_w"), F.col("_t")))
-    hit = (
-        F.when((F.length("_id") >= 2) & (F.col("_p") == F.col("_id")), F.struct(F.lit(1).alias("pass"), F.lit(1.0).alias("score")))
-        .when((F.size("_w") > 0) & (F.col("_j") >= 0.4), F.struct(F.lit(2).alias("pass"), F.col("_j").alias("score")))
-        .when((F.col("_room") != "") & (F.col("_p") == F.col("_room")), F.struct(F.lit(3).alias("pass"), F.lit(0.85).alias("score")))
-        .when(F.col("_s") >= 0.65, F.struct(F.lit(4).alias("pass"), F.col("_s").alias("score")))
-        .when((F.col("_room") != "") & near_room(F.col("_p"), F.col("_room")), F.struct(F.lit(5).alias("pass"), F.lit(0.75).alias("score")))
-        .when(F.col("_s") >= 0.6, F.struct(F.lit(6).alias("pass"), F.col("_s").alias("score")))
+    d = dealt_join(s, p, ["file_id", "page"]).withColumn("_j", jaccard(F.col("_w"), F.col("_t")))
+    of = lambda n, score: F.struct(F.lit(n).alias("pass"), score.alias("score"))
+    plain = (
+        F.when((F.length("_id") >= 2) & (F.col("_p") == F.col("_id")), of(1, F.lit(1.0)))
+        .when((F.size("_w") > 0) & (F.col("_j") >= 0.4), of(2, F.col("_j")))
+        .when((F.col("_room") != "") & (F.col("_p") == F.col("_room")), of(3, F.lit(0.85)))
     )
+    near = (F.col("_room") != "") & near_room(F.col("_p"), F.col("_room"))
+    # An array of one, so that the phrase is scored once, and only where the plain passes found nothing.
+    scored = F.transform(F.array(phrase_score(F.col("_w"), F.col("_t"))), lambda s: F.when(s >= 0.65, of(4, s)).when(near, of(5, F.lit(0.75))).when(s >= 0.6, of(6, s)))[0]
+    hit = F.coalesce(plain, scored)
     d = d.withColumn("_h", hit).where(F.col("_h").isNotNull())
     best = F.min_by(F.struct("_h.pass", "_h.score", "x", "y"), F.struct(F.col("_h.pass"), (-F.col("_h.score")).alias("m"), "seq"))
     return d.groupBy("sign_id").agg(best.alias("b")).select("sign_id", "b.*")

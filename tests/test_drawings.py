@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawlake.operators import geometry as G
+from drawlake.operators import joins as J
 from drawlake.operators import labels as L
 from drawlake.operators import matching as M
 from drawlake.operators import schedule as S
@@ -93,6 +94,19 @@ def test_matching(spark):
     assert {r["sign_id"]: r["outcome"] for r in M.auto_located(c, signs.selectExpr("*", "1 AS job_id", "'Hall' AS location")).collect()} == {"b": "applied", "e": "failed"}
 
 
+def test_pairs_of_a_page_are_scored_in_all_parts(spark):
+    """Few bytes make many pairs: neither side is broadcast to the one task that reads the other, and the parts are not joined up."""
+    d = spark.createDataFrame([phrase(k, f"ROOM {k}", 0.1, 0.1, page=k % 40) for k in range(200)], PHRASES).coalesce(1)
+    s = d.selectExpr("file_id", "page", "CAST(seq AS STRING) AS sign_id", "'' AS identifier", "'' AS sign_type", "text AS location").coalesce(1)
+    q = s.selectExpr("file_id", "page", "sign_id", "location AS query", "'1' AS room_number")
+    for m in (M.matched(s, d), G.best_phrase(q, d)):
+        plan = m._jdf.queryExecution().executedPlan().toString()
+        assert m.count() == 200
+        assert plan.count("REPARTITION_BY_NUM") == 2 and "SortMergeJoin" in plan and "Broadcast" not in plan
+    both = J.dealt_join(s.select("page"), d.select("page"), ["page"])
+    assert both.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and both.count() == 1000
+
+
 def test_nudged_markers(spark):
     rows = [(1, 1, 1, 0.5, 0.5, 1.0), (1, 1, 2, 0.506, 0.5, 0.8), (1, 1, 3, 0.5, 0.5005, 0.8), (1, 1, 4, 0.7, 0.7, 0.0), (1, 1, 5, 0.705, 0.7, 0.8), (1, 1, 6, 0.975, 0.3, 0.7), (1, 1, 7, 0.979, 0.3, 0.7), (1, 1, 8, 0.504, 0.5, 1.0), (1, 1, 9, None, 0.5, 0.8), (1, 2, 1, 0.506, 0.5, None)]
     d = spark.createDataFrame(rows, "file_id int, page int, seq int, x double, y double, score double")
