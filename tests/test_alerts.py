@@ -59,3 +59,22 @@ def test_late_rows_and_a_restart(spark):
     assert rows.where("kind = 'raised'").count() == rows.where("kind <> 'raised'").count() == 5
     assert rows.where("kind = 'merged'").count() == 1
     assert found.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_keys_of_a_bucket_share_state_and_a_timer(spark):
+    """Many keys with several alerts each: calls to the state store grow with the buckets, not with keys and alerts."""
+    rng = random.Random(8)
+    events = [(u, m, "error") for u in range(300) for m in rng.sample(range(200), 8)]
+    folder, out, state = scratch(spark, "events"), scratch(spark, "alerts"), scratch(spark, "state")
+    at = lambda ts: round((ts - START).total_seconds() / 60)
+    for part in (events[::2], events[1::2], [(1, 120, "view"), (7, 150, "error")], [(1, 9000, "view")]):
+        spark.createDataFrame([(u, START + timedelta(minutes=m), kind) for u, m, kind in part], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+        found = run_alerts(alerts(stream, "user_id", 600, 2, 5, "300 minutes", buckets=8), out, state)
+        timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in found.recentProgress if p["stateOperators"]]
+        assert timers and max(timers) <= 8
+    rows = spark.read.parquet(out)
+    closed = sorted((r["user_id"], at(r["opened"]), at(r["raised"]), at(r["last"]), r["n"]) for r in rows.where("kind = 'closed'").collect())
+    assert closed == plain([*events, (7, 150, "error")], 10, 2)
+    assert rows.where("kind = 'raised'").count() == rows.where("kind <> 'raised'").count()
+    assert found.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
